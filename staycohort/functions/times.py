@@ -13,7 +13,7 @@ def hours_span(hours: int) -> Column:
 
 def days_between(start: Column, end: Column) -> Column:
     """Midnights crossed from start to end."""
-    return F.datediff(end, start)
+    return F.datediff(end, start).cast("long")
 
 
 def hours_between(start: Column, stop: Column) -> Column:
@@ -29,5 +29,5 @@ def hours_between(start: Column, stop: Column) -> Column:
 
 def bin_start(column: Column, hours: int) -> Column:
     """First hour, counted from 1970, of the `hours`-wide bin that holds the time."""
-    hour = F.datediff(column, F.lit(_EPOCH).cast("date")).cast("long") * 24 + F.hour(column)
+    hour = days_between(F.lit(_EPOCH).cast("date"), column) * 24 + F.hour(column)
     return hour - F.pmod(hour, F.lit(hours))

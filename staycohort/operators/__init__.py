@@ -8,6 +8,7 @@ from staycohort.operators.cultures import (
     admissions_of,
     distinct_cultures,
     exclude_specimens,
+    numbered_cultures,
     representative_culture,
     single_organism_stays,
     stay_cultures,
@@ -37,6 +38,7 @@ __all__ = [
     "exclude_comorbidities",
     "exclude_specimens",
     "listed_starts",
+    "numbered_cultures",
     "representative_culture",
     "single_organism_stays",
     "stay_cultures",

@@ -74,6 +74,35 @@ def representative_culture(df: DataFrame, keys=("stay_id", "org_name")) -> DataF
     )
 
 
+def numbered_cultures(df: DataFrame, keys=("stay_id", "org_name")) -> DataFrame:
+    """Add row_num, the place of each culture in the order of `representative_culture`.
+
+    Rows are numbered inside (key, result, hour), and each hour starts after the rows of
+    the earlier ones. A hot key is thereby spread over its hours; only one count per hour
+    meets in the window over the whole key.
+    """
+    split = df.withColumn("_rank", interpretation_rank(F.col("interpretation"))).withColumn(
+        "_hour", F.date_trunc("hour", F.col("charttime")).cast("timestamp_ntz")
+    )
+    in_hour = Window.partitionBy(*keys, "_rank", "_hour").orderBy("charttime", "microevent_id")
+    up_to_hour = Window.partitionBy(*keys).orderBy("_rank", "_hour")
+    earlier = up_to_hour.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        split.groupBy(*keys, "_rank", "_hour")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_offset", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        .drop("_rows")
+    )
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, "_rank", "_hour")]
+    place = (F.col("_in_hour") + F.col("_offset")).alias("row_num")
+    return (
+        split.withColumn("_in_hour", F.row_number().over(in_hour))
+        .alias("a")
+        .join(offsets.alias("b"), same)
+        .select(*[F.col(f"a.{c}") for c in df.columns], place)
+    )
+
+
 def single_organism_stays(df: DataFrame, keys=("stay_id",)) -> DataFrame:
     """Keys whose rows name exactly one organism."""
     return (
