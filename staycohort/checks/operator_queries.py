@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from staycohort import operators as op
 from staycohort.functions import (
+    all_known,
     antibiotic_class,
     days_between,
     hours_between,
@@ -90,9 +91,7 @@ def op_project_star(t):
 @_query
 def op_filter_notnull(t):
     return t.cultures.where(
-        F.col("charttime").isNotNull()
-        & F.col("org_name").isNotNull()
-        & F.col("interpretation").isNull()
+        all_known("charttime", "org_name") & F.col("interpretation").isNull()
     ).select("microevent_id", "charttime", "org_name")
 
 
@@ -207,7 +206,7 @@ def op_join_left_multi(t):
 def op_join_left_filtered(t):
     """Prescriptions are counted per admission before they meet its stays."""
     complete = (
-        t.prescriptions.dropna(subset=["starttime", "stoptime"])
+        t.prescriptions.where(all_known("starttime", "stoptime"))
         .groupBy("hadm_id")
         .agg(F.count(F.lit(1)).alias("n"), F.max("stoptime").alias("last_stop"))
     )

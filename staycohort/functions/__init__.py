@@ -6,6 +6,7 @@ from staycohort.functions.labels import (
     resistance_block,
 )
 from staycohort.functions.matching import (
+    all_known,
     any_of,
     contains_any,
     lower_in,
@@ -19,6 +20,7 @@ from staycohort.functions.times import (
 )
 
 __all__ = [
+    "all_known",
     "antibiotic_class",
     "any_of",
     "bin_start",

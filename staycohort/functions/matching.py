@@ -2,7 +2,7 @@
 
 from collections.abc import Iterable
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +13,11 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(or_, conditions)
 
 
+def all_known(*names: str) -> Column:
+    """None of the columns is NULL; each test reaches the Parquet scan."""
+    return reduce(and_, (F.col(name).isNotNull() for name in names))
+
+
 def lower_in(column: Column, values: Iterable[str]) -> Column:
     """Lower-cased text is one of the (lower-case) values; NULL stays NULL."""
     return F.lower(column).isin(*values)

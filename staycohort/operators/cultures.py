@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from staycohort import vocabulary as v
 from staycohort.functions import (
+    all_known,
     antibiotic_class,
     contains_any,
     interpretation_rank,
@@ -23,7 +24,7 @@ def stay_cultures(stays: DataFrame, cultures: DataFrame) -> DataFrame:
 
 def admissions_of(cultures: DataFrame) -> DataFrame:
     """Distinct admissions; deduplicated in each task before anything is shuffled."""
-    return cultures.select("hadm_id").where(F.col("hadm_id").isNotNull()).distinct()
+    return cultures.where(all_known("hadm_id")).select("hadm_id").distinct()
 
 
 def stays_with(stays: DataFrame, cultures: DataFrame) -> DataFrame:
@@ -48,8 +49,9 @@ def exclude_specimens(df: DataFrame, specimens=v.EXCLUDED_SPECIMENS) -> DataFram
 
 def tested_cultures(df: DataFrame, interpretations=v.INTERPRETATIONS) -> DataFrame:
     """Rows with a susceptibility result, a time, an admission and an organism."""
-    return df.where(F.col("interpretation").isin(*interpretations)).dropna(
-        subset=["charttime", "hadm_id", "org_name"]
+    return df.where(
+        F.col("interpretation").isin(*interpretations)
+        & all_known("charttime", "hadm_id", "org_name")
     )
 
 

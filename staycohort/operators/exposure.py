@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staycohort import vocabulary as v
-from staycohort.functions import bin_start, hours_span, lower_in
+from staycohort.functions import all_known, bin_start, hours_span, lower_in
 
 
 def listed_starts(prescriptions: DataFrame, drugs=v.TREATMENT_DRUGS) -> DataFrame:
     """Admission and start time of every listed drug."""
     return prescriptions.where(
-        lower_in(F.col("drug"), drugs) & F.col("starttime").isNotNull()
+        lower_in(F.col("drug"), drugs) & all_known("hadm_id", "starttime")
     ).select("hadm_id", "starttime")
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staycohort import vocabulary as v
-from staycohort.functions import days_between, hours_between, resistance_block
+from staycohort.functions import all_known, days_between, hours_between, resistance_block
 from staycohort.operators.exposure import treatment_exposure
 
 
@@ -43,43 +43,55 @@ def stay_outcomes(
     `cases` needs bloque, stay_id, hadm_id, subject_id, intime and outtime (see
     `stay_windows`), with windows that come from `stays`.
     """
-    complete = prescriptions.dropna(subset=["starttime", "stoptime"])
+    complete = prescriptions.where(all_known("starttime", "stoptime"))
     people = (
         cases.select("bloque", "stay_id", "hadm_id", "subject_id", "intime", "outtime")
-        .join(patients.select("subject_id", "gender"), "subject_id")
         .join(admissions.select("hadm_id", "deathtime"), "hadm_id")
+        .join(patients.select("subject_id", "gender"), "subject_id")
     )
     people = treatment_exposure(
         people, complete, after=None, at="intime", prior_flag="_prior"
     ).withColumn("_prior", F.col("_prior").cast("int"))
 
-    known = F.col("intime").isNotNull() & F.col("outtime").isNotNull()
+    known = all_known("intime", "outtime")
     timed = _with_treatment_hours(people.where(known), stays, complete)
-    untimed = (
-        people.where(~known)
-        .groupBy(*_OUTCOME_KEYS)
-        .agg(
-            F.max("_prior").alias("tratamiento_previo"),
-            F.lit(None).cast("double").alias("duracion_tratamiento"),
-        )
-    )
-
-    days = days_between(F.col("intime"), F.col("outtime"))
-    death = F.col("deathtime")
-    return timed.unionByName(untimed).select(
+    days, death = days_between(F.col("intime"), F.col("outtime")), F.col("deathtime")
+    return _outcome_columns(
+        timed,
+        length=days,
+        hours=F.col("duracion_tratamiento"),
+        died=death.between(F.col("intime"), F.col("outtime")),
+        improved=death.isNull() & (days <= v.IMPROVEMENT_MAX_DAYS),
+    ).unionByName(_untimed_outcomes(people.where(~known)))
+
+
+def _outcome_columns(
+    df: DataFrame, length: Column, hours: Column, died: Column, improved: Column
+) -> DataFrame:
+    return df.select(
         "bloque",
         "stay_id",
         "hadm_id",
         "subject_id",
         "gender",
-        days.alias("estancia_dias"),
-        "duracion_tratamiento",
-        "tratamiento_previo",
-        _flag(death.between(F.col("intime"), F.col("outtime"))).alias("fallecio_en_uci"),
-        _flag(death.isNull() & (days <= v.IMPROVEMENT_MAX_DAYS)).alias("mejoria"),
+        length.cast("long").alias("estancia_dias"),
+        hours.cast("double").alias("duracion_tratamiento"),
+        F.col("_prior").alias("tratamiento_previo"),
+        _flag(died).alias("fallecio_en_uci"),
+        _flag(improved).alias("mejoria"),
     )
 
 
+def _untimed_outcomes(people: DataFrame) -> DataFrame:
+    """Stays without a complete window have no length, hours, death in it or improvement.
+
+    The length is a literal NULL, so a report that asks for a known length never runs this.
+    """
+    unknown, no = F.lit(None), F.lit(False)
+    grouped = people.groupBy(*_OUTCOME_KEYS).agg(F.max("_prior").alias("_prior"))
+    return _outcome_columns(grouped, length=unknown, hours=unknown, died=no, improved=no)
+
+
 def _flag(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0)
 
@@ -99,7 +111,7 @@ def _with_treatment_hours(people: DataFrame, stays: DataFrame, complete: DataFra
     orders = (
         complete.select("hadm_id", "starttime", "stoptime", F.lit(1).alias("_weight"))
         .unionAll(
-            stays.dropna(subset=["intime", "outtime"]).select(
+            stays.where(all_known("intime", "outtime")).select(
                 "hadm_id", "intime", "outtime", F.lit(0)
             )
         )
@@ -119,7 +131,7 @@ def _with_treatment_hours(people: DataFrame, stays: DataFrame, complete: DataFra
         .where(F.col("_day") == F.greatest("_order_day", "_stay_day"))
         .groupBy(*_OUTCOME_KEYS)
         .agg(
-            F.max("_prior").alias("tratamiento_previo"),
+            F.max("_prior").alias("_prior"),
             F.round(F.try_divide(hours, weight), 1).alias("duracion_tratamiento"),
         )
     )

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staycohort import vocabulary as v
+from staycohort.functions import all_known
 from staycohort.operators import (
     block_report,
     distinct_cultures,
@@ -58,7 +59,7 @@ def _first_details(tables: ClinicalTables, cultures: DataFrame, rows: int) -> Da
 
 
 def _positive(tables: ClinicalTables) -> DataFrame:
-    dated = tables.cultures.dropna(subset=["hadm_id", "charttime", "org_name"])
+    dated = tables.cultures.where(all_known("hadm_id", "charttime", "org_name"))
     return target_organisms(dated, "contains")
 
 
