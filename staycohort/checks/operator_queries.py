@@ -14,7 +14,6 @@ from staycohort.functions import (
     antibiotic_class,
     days_between,
     hours_between,
-    hours_span,
     interpretation_rank,
     lower_in,
 )
@@ -99,7 +98,7 @@ def op_filter_notnull(t):
 def op_filter_in(t):
     return t.cultures.where(
         F.col("interpretation").isin("R", "S", "I")
-        & lower_in(F.col("org_name"), TARGET_ORGANISMS)
+        & lower_in("org_name", TARGET_ORGANISMS)
     ).select("microevent_id", "interpretation", "org_name")
 
 
@@ -128,7 +127,7 @@ def op_like_multi(t):
 def op_filter_compare(t):
     start, stop = F.col("starttime"), F.col("stoptime")
     return t.prescriptions.where(
-        (start < stop) & ((stop >= start + hours_span(24)) | (F.col("drug") != "Heparin"))
+        (start < stop) & ((stop >= start + F.expr("INTERVAL '24' HOUR")) | (F.col("drug") != "Heparin"))
     ).select("hadm_id", "starttime", "stoptime", "drug")
 
 
@@ -140,7 +139,7 @@ def op_case_searched(t):
 @_query
 def op_case_simple(t):
     return t.cultures.select(
-        "microevent_id", interpretation_rank(F.col("interpretation")).alias("result_rank")
+        "microevent_id", interpretation_rank("interpretation").alias("result_rank")
     )
 
 
@@ -148,7 +147,7 @@ def op_case_simple(t):
 def op_case_null(t):
     start, stop = F.col("starttime"), F.col("stoptime")
     return t.prescriptions.select(
-        "hadm_id", "starttime", F.when(stop >= start, hours_between(start, stop)).alias("hours")
+        "hadm_id", "starttime", F.when(stop >= start, hours_between("starttime", "stoptime")).alias("hours")
     )
 
 
@@ -298,7 +297,7 @@ def op_count_distinct_if(t):
 
 
 def _rx_hours(t):
-    hours = hours_between(F.col("starttime"), F.col("stoptime"))
+    hours = hours_between("starttime", "stoptime")
     return t.prescriptions.select("hadm_id", "starttime", "drug", hours.alias("hours"))
 
 
@@ -317,7 +316,7 @@ def op_max_flag(t):
 
 @_query
 def op_stddev(t):
-    days = days_between(F.col("intime"), F.col("outtime"))
+    days = days_between("intime", "outtime")
     return t.stays.groupBy("subject_id").agg(
         F.count(F.lit(1)).alias("stays"), F.round(F.stddev_samp(days), 3).alias("days_stddev")
     )
@@ -366,7 +365,7 @@ def op_limit(t):
 @_query
 def op_lower(t):
     """The class labels hold accents."""
-    label = F.lower(antibiotic_class(F.col("ab_name"))).alias("label")
+    label = F.lower(antibiotic_class("ab_name")).alias("label")
     return t.cultures.groupBy(label, F.lower("ab_name").alias("antibiotic")).agg(
         F.count(F.lit(1)).alias("cultures")
     )
@@ -374,7 +373,7 @@ def op_lower(t):
 
 @_query
 def op_diff_days(t):
-    days = days_between(F.col("intime"), F.col("outtime")).alias("days")
+    days = days_between("intime", "outtime").alias("days")
     return t.stays.select("stay_id", days)
 
 

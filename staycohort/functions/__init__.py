@@ -7,29 +7,23 @@ from staycohort.functions.labels import (
 )
 from staycohort.functions.matching import (
     all_known,
-    any_of,
     contains_any,
     lower_in,
     starts_with_any,
 )
-from staycohort.functions.times import (
-    bin_start,
-    days_between,
-    hours_between,
-    hours_span,
-)
+from staycohort.functions.text import quoted_list
+from staycohort.functions.times import bin_start, days_between, hours_between
 
 __all__ = [
     "all_known",
     "antibiotic_class",
-    "any_of",
     "bin_start",
     "contains_any",
     "days_between",
     "hours_between",
-    "hours_span",
     "interpretation_rank",
     "lower_in",
+    "quoted_list",
     "resistance_block",
     "starts_with_any",
 ]

@@ -1,34 +1,28 @@
-"""Predicates over text columns."""
+"""Predicates over text columns, given by column name."""
 
 from collections.abc import Iterable
-from functools import reduce
-from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from staycohort.functions.text import quoted, quoted_list
 
-def any_of(conditions: Iterable[Column]) -> Column:
-    """OR of the conditions."""
-    return reduce(or_, conditions)
 
-
-def all_known(*names: str) -> Column:
+def all_known(*columns: str) -> Column:
     """None of the columns is NULL; each test reaches the Parquet scan."""
-    return reduce(and_, (F.col(name).isNotNull() for name in names))
+    return F.expr(" AND ".join(f"{column} IS NOT NULL" for column in columns))
 
 
-def lower_in(column: Column, values: Iterable[str]) -> Column:
+def lower_in(column: str, values: Iterable[str]) -> Column:
     """Lower-cased text is one of the (lower-case) values; NULL stays NULL."""
-    return F.lower(column).isin(*values)
+    return F.expr(f"lower({column}) IN ({quoted_list(values)})")
 
 
-def contains_any(column: Column, needles: Iterable[str]) -> Column:
+def contains_any(column: str, needles: Iterable[str]) -> Column:
     """Lower-cased text contains one of the (lower-case) needles."""
-    lowered = F.lower(column)
-    return any_of(lowered.contains(needle) for needle in needles)
+    return F.expr(" OR ".join(f"contains(lower({column}), {quoted(n)})" for n in needles))
 
 
-def starts_with_any(column: Column, prefixes: Iterable[str]) -> Column:
+def starts_with_any(column: str, prefixes: Iterable[str]) -> Column:
     """Text starts with one of the prefixes, case kept; reaches the Parquet scan."""
-    return any_of(column.startswith(prefix) for prefix in prefixes)
+    return F.expr(" OR ".join(f"startswith({column}, {quoted(p)})" for p in prefixes))

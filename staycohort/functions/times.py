@@ -1,33 +1,30 @@
-"""Time arithmetic on zone-free timestamps, independent of the session zone."""
+"""Time arithmetic on zone-free timestamps, independent of the session zone.
+
+Arguments are column names or other SQL text.
+"""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EPOCH = "1970-01-01"
-
-
-def hours_span(hours: int) -> Column:
-    """An interval of whole hours."""
-    return F.make_dt_interval(F.lit(0), F.lit(hours))
-
 
-def days_between(start: Column, end: Column) -> Column:
+def days_between(start: str, end: str) -> Column:
     """Midnights crossed from start to end."""
-    return F.datediff(end, start).cast("long")
+    return F.expr(f"CAST(datediff({end}, {start}) AS BIGINT)")
 
 
-def hours_between(start: Column, stop: Column) -> Column:
+def hours_between(start: str, stop: str) -> Column:
     """Whole hours from start to stop, cut toward zero.
 
-    Subtracting the two timestamps gives an exact interval. A difference function
-    that converts to instants first would be an hour off where clocks change.
+    Subtracting the two timestamps gives an exact interval. A difference function that
+    converts to instants first would be an hour off where clocks change.
     """
-    span = stop - start
-    days = F.extract(F.lit("DAY"), span).cast("long")
-    return days * 24 + F.extract(F.lit("HOUR"), span).cast("long")
+    span = f"({stop} - {start})"
+    return F.expr(
+        f"CAST(extract(DAY FROM {span}) AS BIGINT) * 24 + CAST(extract(HOUR FROM {span}) AS BIGINT)"
+    )
 
 
-def bin_start(column: Column, hours: int) -> Column:
+def bin_start(time: str, hours: int, shift: str = "0") -> Column:
     """First hour, counted from 1970, of the `hours`-wide bin that holds the time."""
-    hour = days_between(F.lit(_EPOCH).cast("date"), column) * 24 + F.hour(column)
-    return hour - F.pmod(hour, F.lit(hours))
+    hour = f"(CAST(datediff({time}, DATE'1970-01-01') AS BIGINT) * 24 + hour({time}))"
+    return F.expr(f"{hour} - pmod({hour}, {hours}) + {shift}")

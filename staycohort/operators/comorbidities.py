@@ -1,7 +1,6 @@
 """Excluding admissions by diagnosis code."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from staycohort import vocabulary as v
 from staycohort.functions import starts_with_any
@@ -10,7 +9,7 @@ from staycohort.functions import starts_with_any
 def comorbid_admissions(diagnoses: DataFrame, prefixes=v.COMORBIDITY_PREFIXES) -> DataFrame:
     """Distinct admissions with a listed diagnosis; the prefixes reach the scan."""
     return (
-        diagnoses.where(starts_with_any(F.col("icd_code"), prefixes)).select("hadm_id").distinct()
+        diagnoses.where(starts_with_any("icd_code", prefixes)).select("hadm_id").distinct()
     )
 
 

@@ -10,6 +10,7 @@ from staycohort.functions import (
     contains_any,
     interpretation_rank,
     lower_in,
+    quoted_list,
 )
 
 
@@ -39,25 +40,25 @@ def target_organisms(
     if mode not in ("contains", "exact"):
         raise ValueError(f"mode must be 'contains' or 'exact', not {mode!r}")
     matches = contains_any if mode == "contains" else lower_in
-    return df.where(matches(F.col("org_name"), organisms))
+    return df.where(matches("org_name", organisms))
 
 
 def exclude_specimens(df: DataFrame, specimens=v.EXCLUDED_SPECIMENS) -> DataFrame:
     """Drop the listed specimen types, and rows without a specimen type."""
-    return df.where(~lower_in(F.col("spec_type_desc"), specimens))
+    return df.where(~lower_in("spec_type_desc", specimens))
 
 
 def tested_cultures(df: DataFrame, interpretations=v.INTERPRETATIONS) -> DataFrame:
     """Rows with a susceptibility result, a time, an admission and an organism."""
     return df.where(
-        F.col("interpretation").isin(*interpretations)
+        F.expr(f"interpretation IN ({quoted_list(interpretations)})")
         & all_known("charttime", "hadm_id", "org_name")
     )
 
 
 def with_antibiotic_class(df: DataFrame) -> DataFrame:
     """Add antibiotic_class."""
-    return df.withColumn("antibiotic_class", antibiotic_class(F.col("ab_name")))
+    return df.withColumn("antibiotic_class", antibiotic_class("ab_name"))
 
 
 def representative_culture(df: DataFrame, keys=("stay_id", "org_name")) -> DataFrame:
@@ -67,13 +68,10 @@ def representative_culture(df: DataFrame, keys=("stay_id", "org_name")) -> DataF
     hot key arrives as one row per task.
     """
     preference = Window.partitionBy(*keys).orderBy(
-        interpretation_rank(F.col("interpretation")), "charttime", "microevent_id"
-    )
-    return (
-        df.withColumn("_place", F.row_number().over(preference))
-        .where(F.col("_place") == 1)
-        .drop("_place")
+        interpretation_rank("interpretation"), "charttime", "microevent_id"
     )
+    place = F.row_number().over(preference)
+    return df.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
 def numbered_cultures(df: DataFrame, keys=("stay_id", "org_name")) -> DataFrame:
@@ -83,7 +81,7 @@ def numbered_cultures(df: DataFrame, keys=("stay_id", "org_name")) -> DataFrame:
     the earlier ones. A hot key is thereby spread over its hours; only one count per hour
     meets in the window over the whole key.
     """
-    split = df.withColumn("_rank", interpretation_rank(F.col("interpretation"))).withColumn(
+    split = df.withColumn("_rank", interpretation_rank("interpretation")).withColumn(
         "_hour", F.date_trunc("hour", F.col("charttime")).cast("timestamp_ntz")
     )
     in_hour = Window.partitionBy(*keys, "_rank", "_hour").orderBy("charttime", "microevent_id")
@@ -110,7 +108,7 @@ def single_organism_stays(df: DataFrame, keys=("stay_id",)) -> DataFrame:
     return (
         df.groupBy(*keys)
         .agg(F.count_distinct("org_name").alias("_organisms"))
-        .where(F.col("_organisms") == 1)
+        .where("_organisms = 1")
         .select(*keys)
     )
 

@@ -17,14 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staycohort import vocabulary as v
-from staycohort.functions import all_known, bin_start, hours_span, lower_in
+from staycohort.functions import all_known, bin_start, lower_in
 
 
 def listed_starts(prescriptions: DataFrame, drugs=v.TREATMENT_DRUGS) -> DataFrame:
     """Admission and start time of every listed drug."""
-    return prescriptions.where(
-        lower_in(F.col("drug"), drugs) & all_known("hadm_id", "starttime")
-    ).select("hadm_id", "starttime")
+    listed = lower_in("drug", drugs) & all_known("hadm_id", "starttime")
+    return prescriptions.where(listed).select("hadm_id", "starttime")
 
 
 def treated_ever_before(
@@ -45,7 +44,7 @@ def treated_ever_before(
     )
     return (
         df.join(earliest, "hadm_id", "left")
-        .withColumn(flag, F.coalesce(F.col("_earliest") < F.col(at), F.lit(False)))
+        .withColumn(flag, F.expr(f"coalesce(_earliest < {at}, false)"))
         .drop("_earliest")
     )
 
@@ -65,36 +64,39 @@ def treatment_exposure(
     prior: start in [at - before, at). post: start in [at, at + after]. A width of None
     leaves that flag out. Equal widths share one join.
     """
-    starts, time = listed_starts(prescriptions, drugs), F.col(at)
+    starts, columns = listed_starts(prescriptions, drugs), df.columns
     for hours in dict.fromkeys(width for width in (before, after) if width):
-        df = df.withColumn("_bin", bin_start(time, hours)).join(
-            _starts_around_bin(starts, hours), ["hadm_id", "_bin"], "left"
-        )
+        width = f"INTERVAL '{hours}' HOUR"
+        flags = []
         if hours == before:
-            near = (F.col("_first") < time) | (F.col("_last_before") >= time - hours_span(hours))
-            df = df.withColumn(prior_flag, F.coalesce(near, F.lit(False)))
+            near = f"_first < {at} OR _last_before >= {at} - {width}"
+            flags.append((prior_flag, near))
         if hours == after:
-            near = (F.col("_last") >= time) | (F.col("_first_after") <= time + hours_span(hours))
-            df = df.withColumn(post_flag, F.coalesce(near, F.lit(False)))
-        df = df.drop("_bin", "_first", "_last", "_last_before", "_first_after")
+            near = f"_last >= {at} OR _first_after <= {at} + {width}"
+            flags.append((post_flag, near))
+        df = (
+            df.withColumn("_bin", bin_start(at, hours))
+            .join(_starts_around_bin(starts, hours), ["hadm_id", "_bin"], "left")
+            .selectExpr(*columns, *[f"coalesce({near}, false) AS {flag}" for flag, near in flags])
+        )
+        columns = df.columns
     return df
 
 
 def _starts_around_bin(starts: DataFrame, hours: int) -> DataFrame:
     """Per (admission, bin): first and last start in it, last before, first after."""
-    start, shift = F.col("starttime"), F.col("_shift")
     return (
-        starts.withColumn("_shift", F.explode(F.array(F.lit(-hours), F.lit(0), F.lit(hours))))
-        .groupBy("hadm_id", (bin_start(start, hours) + shift).alias("_bin"))
+        starts.selectExpr("*", f"explode(array(-{hours}, 0, {hours})) AS _shift")
+        .groupBy("hadm_id", bin_start("starttime", hours, "_shift").alias("_bin"))
         .agg(
-            F.min(F.when(shift == 0, start)).alias("_first"),
-            F.max(F.when(shift == 0, start)).alias("_last"),
-            F.max(F.when(shift > 0, start)).alias("_last_before"),
-            F.min(F.when(shift < 0, start)).alias("_first_after"),
+            F.expr("min(CASE WHEN _shift = 0 THEN starttime END) AS _first"),
+            F.expr("max(CASE WHEN _shift = 0 THEN starttime END) AS _last"),
+            F.expr("max(CASE WHEN _shift > 0 THEN starttime END) AS _last_before"),
+            F.expr("min(CASE WHEN _shift < 0 THEN starttime END) AS _first_after"),
         )
     )
 
 
 def untreated_then_treated(df: DataFrame) -> DataFrame:
     """Rows without prior treatment and with treatment afterwards."""
-    return df.where(~F.col("has_prior_treatment") & F.col("has_post_treatment"))
+    return df.where("NOT has_prior_treatment AND has_post_treatment")

@@ -1,6 +1,6 @@
 """Resistance blocks, per-stay outcomes and the report per block."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staycohort import vocabulary as v
@@ -10,7 +10,7 @@ from staycohort.operators.exposure import treatment_exposure
 
 def with_resistance_block(df: DataFrame) -> DataFrame:
     """Add bloque from org_name and antibiotic_class."""
-    return df.withColumn("bloque", resistance_block(F.col("org_name"), F.col("antibiotic_class")))
+    return df.withColumn("bloque", resistance_block("org_name", "antibiotic_class"))
 
 
 def stay_windows(df: DataFrame, stays: DataFrame) -> DataFrame:
@@ -49,36 +49,35 @@ def stay_outcomes(
         .join(admissions.select("hadm_id", "deathtime"), "hadm_id")
         .join(patients.select("subject_id", "gender"), "subject_id")
     )
-    people = treatment_exposure(
-        people, complete, after=None, at="intime", prior_flag="_prior"
-    ).withColumn("_prior", F.col("_prior").cast("int"))
+    people = treatment_exposure(people, complete, after=None, at="intime", prior_flag="_prior")
 
     known = all_known("intime", "outtime")
-    timed = _with_treatment_hours(people.where(known), stays, complete)
-    days, death = days_between(F.col("intime"), F.col("outtime")), F.col("deathtime")
+    timed = _with_treatment_hours(people.where(known), stays, complete).withColumn(
+        "_days", days_between("intime", "outtime")
+    )
     return _outcome_columns(
         timed,
-        length=days,
-        hours=F.col("duracion_tratamiento"),
-        died=death.between(F.col("intime"), F.col("outtime")),
-        improved=death.isNull() & (days <= v.IMPROVEMENT_MAX_DAYS),
+        length="_days",
+        hours="_hours",
+        died="deathtime BETWEEN intime AND outtime",
+        improved=f"deathtime IS NULL AND _days <= {v.IMPROVEMENT_MAX_DAYS}",
     ).unionByName(_untimed_outcomes(people.where(~known)))
 
 
 def _outcome_columns(
-    df: DataFrame, length: Column, hours: Column, died: Column, improved: Column
+    df: DataFrame, length: str, hours: str, died: str, improved: str
 ) -> DataFrame:
-    return df.select(
+    return df.selectExpr(
         "bloque",
         "stay_id",
         "hadm_id",
         "subject_id",
         "gender",
-        length.cast("long").alias("estancia_dias"),
-        hours.cast("double").alias("duracion_tratamiento"),
-        F.col("_prior").alias("tratamiento_previo"),
-        _flag(died).alias("fallecio_en_uci"),
-        _flag(improved).alias("mejoria"),
+        f"CAST({length} AS BIGINT) AS estancia_dias",
+        f"CAST({hours} AS DOUBLE) AS duracion_tratamiento",
+        "CAST(_prior AS INT) AS tratamiento_previo",
+        f"IF({died}, 1, 0) AS fallecio_en_uci",
+        f"IF({improved}, 1, 0) AS mejoria",
     )
 
 
@@ -87,13 +86,8 @@ def _untimed_outcomes(people: DataFrame) -> DataFrame:
 
     The length is a literal NULL, so a report that asks for a known length never runs this.
     """
-    unknown, no = F.lit(None), F.lit(False)
-    grouped = people.groupBy(*_OUTCOME_KEYS).agg(F.max("_prior").alias("_prior"))
-    return _outcome_columns(grouped, length=unknown, hours=unknown, died=no, improved=no)
-
-
-def _flag(condition: Column) -> Column:
-    return F.when(condition, 1).otherwise(0)
+    grouped = people.groupBy(*_OUTCOME_KEYS).agg(F.expr("bool_or(_prior) AS _prior"))
+    return _outcome_columns(grouped, length="NULL", hours="NULL", died="false", improved="false")
 
 
 def _with_treatment_hours(people: DataFrame, stays: DataFrame, complete: DataFrame) -> DataFrame:
@@ -107,63 +101,61 @@ def _with_treatment_hours(people: DataFrame, stays: DataFrame, complete: DataFra
     Each stay adds a prescription of its own length and weight 0. It keeps stays without
     treatment under an inner join, where a hot day can be split on either side.
     """
-    start, stop = F.col("starttime"), F.col("stoptime")
+    own_windows = stays.where(all_known("intime", "outtime")).selectExpr(
+        "hadm_id", "intime", "outtime", "0"
+    )
     orders = (
-        complete.select("hadm_id", "starttime", "stoptime", F.lit(1).alias("_weight"))
-        .unionAll(
-            stays.where(all_known("intime", "outtime")).select(
-                "hadm_id", "intime", "outtime", F.lit(0)
-            )
+        complete.selectExpr("hadm_id", "starttime", "stoptime", "1 AS _weight")
+        .unionAll(own_windows)
+        .selectExpr("*", "CAST(least(starttime, stoptime) AS DATE) AS _order_day")
+        .selectExpr(
+            "*",
+            "explode(sequence(_order_day, greatest(_order_day, CAST(starttime AS DATE)))) AS _day",
         )
-        .withColumn("_order_day", F.least(start, stop).cast("date"))
-        .withColumn("_day", F.explode(_days(F.col("_order_day"), start.cast("date"))))
     )
-    first_day = F.least("intime", "outtime").cast("date")
-    last_day = F.greatest("intime", "outtime").cast("date")
-    stay_days = people.withColumn("_stay_day", first_day).withColumn(
-        "_day", F.explode(_days(first_day, last_day))
+    stay_days = people.selectExpr(
+        "*", "CAST(least(intime, outtime) AS DATE) AS _stay_day"
+    ).selectExpr(
+        "*",
+        "explode(sequence(_stay_day, CAST(greatest(intime, outtime) AS DATE))) AS _day",
     )
-    weight = F.sum("_weight")
-    hours = F.sum(hours_between(start, stop) * F.col("_weight"))
+    hours = F.sum(hours_between("starttime", "stoptime") * F.col("_weight"))
     return (
         stay_days.join(orders, ["hadm_id", "_day"])
-        .where((start >= F.col("intime")) & (stop <= F.col("outtime")))
-        .where(F.col("_day") == F.greatest("_order_day", "_stay_day"))
+        .where("starttime >= intime AND stoptime <= outtime")
+        .where("_day = greatest(_order_day, _stay_day)")
         .groupBy(*_OUTCOME_KEYS)
         .agg(
-            F.max("_prior").alias("_prior"),
-            F.round(F.try_divide(hours, weight), 1).alias("duracion_tratamiento"),
+            F.expr("bool_or(_prior) AS _prior"),
+            F.round(F.try_divide(hours, F.sum("_weight")), 1).alias("_hours"),
         )
     )
 
 
-def _days(first: Column, last: Column) -> Column:
-    return F.sequence(first, F.greatest(first, last))
-
-
 def block_report(outcomes: DataFrame) -> DataFrame:
-    """Nine measures per block over the stays with a known length, in block order."""
-    rows = F.count(F.lit(1))
-    # Tenths of hours summed as decimals: the mean does not depend on the row order.
-    tenths = F.sum(F.col("duracion_tratamiento").cast("decimal(18,1)")).cast("double")
+    """Nine measures per block over the stays with a known length, in block order.
+
+    Treatment hours are summed as decimals, so their mean does not depend on row order.
+    """
 
-    def percent(condition: Column) -> Column:
-        return F.round(F.sum(_flag(condition)) / rows * 100, 1)
+    def percent(condition: str, name: str):
+        return F.expr(f"round(sum(IF({condition}, 1, 0)) / count(*) * 100, 1) AS {name}")
 
     return (
-        outcomes.where(F.col("estancia_dias").isNotNull() & (F.col("bloque") != v.OTHER_BLOCK))
+        outcomes.where(f"estancia_dias IS NOT NULL AND bloque <> '{v.OTHER_BLOCK}'")
         .groupBy("bloque")
         .agg(
-            F.count_distinct("stay_id").alias("num_pacientes"),
-            percent(F.col("gender") == "M").alias("porcentaje_hombres"),
-            percent(F.col("estancia_dias").isNotNull()).alias("porcentaje_uci"),
-            F.round(F.avg("estancia_dias"), 1).alias("estancia_media"),
-            F.round(F.stddev_samp("estancia_dias"), 1).alias("desviacion_estancia"),
-            F.round(F.try_divide(tenths, F.count("duracion_tratamiento")), 1).alias(
-                "duracion_tratamiento_horas"
+            F.expr("count(DISTINCT stay_id) AS num_pacientes"),
+            percent("gender = 'M'", "porcentaje_hombres"),
+            percent("estancia_dias IS NOT NULL", "porcentaje_uci"),
+            F.expr("round(avg(estancia_dias), 1) AS estancia_media"),
+            F.expr("round(stddev_samp(estancia_dias), 1) AS desviacion_estancia"),
+            F.expr(
+                "round(try_divide(CAST(sum(CAST(duracion_tratamiento AS DECIMAL(18, 1))) AS DOUBLE),"
+                " count(duracion_tratamiento)), 1) AS duracion_tratamiento_horas"
             ),
-            percent(F.col("fallecio_en_uci") == 1).alias("mortalidad_pct"),
-            percent(F.col("mejoria") == 1).alias("proporcion_mejora_pct"),
+            percent("fallecio_en_uci = 1", "mortalidad_pct"),
+            percent("mejoria = 1", "proporcion_mejora_pct"),
         )
         .orderBy("bloque")
     )

@@ -104,35 +104,37 @@ def p05_stays_tested(tables: ClinicalTables) -> DataFrame:
     return _count_stays(stays, "total_estancias_uci_cultivos")
 
 
-def _single_organism(tables: ClinicalTables, cultures: DataFrame) -> DataFrame:
-    organisms = cultures.select("hadm_id", "org_name").distinct()
-    stays = single_organism_stays(_case_stays(tables, organisms))
+def _single_organism(tables: ClinicalTables, admissions: DataFrame) -> DataFrame:
+    stays = tables.stays.join(admissions, "hadm_id", "left_semi")
     return _count_stays(stays, "total_estancias_uci_cultivos_monoinfeccion")
 
 
 def p06_single_organism(tables: ClinicalTables) -> DataFrame:
-    """Stays whose tested cultures name one organism."""
-    return _single_organism(tables, _tested(tables, "contains"))
+    """Stays whose tested cultures name one organism.
+
+    All stays of an admission share its cultures, so the admission is what is tested.
+    """
+    cultures = _tested(tables, "contains")
+    return _single_organism(tables, single_organism_stays(cultures, ("hadm_id",)))
 
 
 def p07_single_organism_specimen(tables: ClinicalTables) -> DataFrame:
     """As p06, without the excluded specimens."""
-    return _single_organism(tables, exclude_specimens(_tested(tables, "contains")))
+    cultures = exclude_specimens(_tested(tables, "contains"))
+    return _single_organism(tables, single_organism_stays(cultures, ("hadm_id",)))
 
 
 def p08_single_organism_no_comorb(tables: ClinicalTables) -> DataFrame:
     """As p07 per stay and admission, without comorbid admissions."""
     cultures = exclude_specimens(_tested(tables, "contains"))
     single = single_organism_stays(cultures, ("hadm_id",))
-    kept = exclude_comorbidities(single, tables.diagnoses)
-    stays = tables.stays.join(kept, "hadm_id", "left_semi")
-    return _count_stays(stays, "total_estancias_uci_cultivos_monoinfeccion")
+    return _single_organism(tables, exclude_comorbidities(single, tables.diagnoses))
 
 
 def _cases_with_prior_treatment(tables: ClinicalTables, mode: str) -> DataFrame:
     cases = exclude_comorbidities(_representatives(tables, mode), tables.diagnoses)
     return treated_ever_before(cases, tables.prescriptions).withColumn(
-        "has_prior_treatment", F.col("has_prior_treatment").cast("int")
+        "has_prior_treatment", F.expr("CAST(has_prior_treatment AS INT)")
     )
 
 
@@ -161,18 +163,22 @@ def p10_prior_treatment_counts(tables: ClinicalTables) -> DataFrame:
     Counted per stay first: one narrow row per stay instead of one per measure and case.
     """
     cases = _case_stays(tables, _cases_with_prior_treatment(tables, "exact"))
-    treated = F.col("_treated") > 0
+    keys = [
+        "stay_id",
+        "hadm_id",
+        "charttime",
+        "org_name",
+        "interpretation",
+        "has_prior_treatment",
+    ]
     return (
-        distinct_cultures(
-            cases,
-            ["stay_id", "hadm_id", "charttime", "org_name", "interpretation", "has_prior_treatment"],
-        )
+        distinct_cultures(cases, keys)
         .groupBy("stay_id")
         .agg(F.sum("has_prior_treatment").alias("_treated"))
         .agg(
             F.count("stay_id").alias("total_estancias_uci_monoinfeccion"),
             F.sum("_treated").alias("total_con_tratamiento_previo"),
-            F.count(F.when(treated, F.col("stay_id"))).alias("estancias_distintas_con_tratamiento"),
+            F.expr("count(IF(_treated > 0, stay_id, NULL)) AS estancias_distintas_con_tratamiento"),
         )
     )
 
@@ -190,7 +196,7 @@ def p11_untreated_then_treated_48h(tables: ClinicalTables) -> DataFrame:
 def _block_cases(tables: ClinicalTables) -> DataFrame:
     """Cases of a block, untreated before and treated after; comorbid ones stay in."""
     cases = with_resistance_block(_representatives(tables, "exact"))
-    blocks = cases.where(F.col("bloque") != v.OTHER_BLOCK)
+    blocks = cases.where(f"bloque <> '{v.OTHER_BLOCK}'")
     return untreated_then_treated(treatment_exposure(blocks, tables.prescriptions))
 
 

@@ -5,10 +5,10 @@ and antibiotic, one prescription per 'purchase', one diagnosis per 'view'. Used
 no clinical warehouse is at hand; every row of events takes part.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staycohort.functions import hours_span
+from staycohort.functions import quoted_list
 from staycohort.sources.tables import ClinicalTables
 
 # Names picked by index; an index past the end gives NULL.
@@ -70,19 +70,26 @@ ICD_CODES = (
 RESULTS = ("R", "S", "R", "I")
 
 
-def _pick(names, index: Column) -> Column:
-    return F.get(F.array(*[F.lit(name) for name in names]), index.cast("int"))
+# Only the columns the views use; a declared schema saves reading file footers first.
+_EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING"
+
+
+def _pick(names, index: str) -> str:
+    return f"get(array({quoted_list(names)}), CAST({index} AS INT))"
 
 
 def tables_from_events(spark: SparkSession, sf_dir: str) -> ClinicalTables:
     """Derive the six tables from `sf_dir/events.parquet`."""
-    week = F.floor((F.dayofmonth("ts") - 1) / 7)
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        "event_id",
-        "ts",
-        "event_type",
-        F.col("user_id").alias("subject_id"),
-        (F.col("user_id") * 100 + week).alias("hadm_id"),
+    events = (
+        spark.read.schema(_EVENTS)
+        .parquet(f"{sf_dir}/events.parquet")
+        .selectExpr(
+            "event_id",
+            "ts",
+            "event_type",
+            "user_id AS subject_id",
+            "user_id * 100 + floor((day(ts) - 1) / 7) AS hadm_id",
+        )
     )
     return ClinicalTables(
         stays=_stays(events),
@@ -95,66 +102,66 @@ def tables_from_events(spark: SparkSession, sf_dir: str) -> ClinicalTables:
 
 
 def _stays(events: DataFrame) -> DataFrame:
-    second = F.when(F.col("hadm_id") % 4 == 0, F.col("event_id") % 2).otherwise(0)
+    stay_id = "hadm_id * 10 + IF(hadm_id % 4 = 0, event_id % 2, 0) AS stay_id"
     return (
-        events.groupBy("subject_id", "hadm_id", (F.col("hadm_id") * 10 + second).alias("stay_id"))
+        events.selectExpr("subject_id", "hadm_id", stay_id, "ts")
+        .groupBy("subject_id", "hadm_id", "stay_id")
         .agg(F.min("ts").alias("intime"), F.max("ts").alias("outtime"))
     )
 
 
 def _cultures(events: DataFrame) -> DataFrame:
-    event, hadm, k = F.col("event_id"), F.col("hadm_id"), F.col("k")
-    shift = F.when(event % 4 == 0, 1).otherwise(0)
+    organism = "(hadm_id + IF(event_id % 4 = 0, 1, 0)) % 13"
+    antibiotic = "(hadm_id * 7 + event_id % 5 + k) % 12"
+    result = _pick(RESULTS, "(event_id + k) % 5")
     return (
-        events.where(F.col("event_type") == "error")
-        .withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2))))
-        .select(
-            (event * 3 + k).alias("microevent_id"),
+        events.where("event_type = 'error'")
+        .selectExpr("*", "explode(array(0, 1, 2)) AS k")
+        .selectExpr(
+            "event_id * 3 + k AS microevent_id",
             "subject_id",
-            F.when(event % 47 != 0, hadm).alias("hadm_id"),
-            F.when(event % 53 != 0, F.col("ts")).alias("charttime"),
-            _pick(SPECIMENS, event % 8).alias("spec_type_desc"),
-            _pick(ORGANISMS, (hadm + shift) % 13).alias("org_name"),
-            _pick(ANTIBIOTICS, (hadm * 7 + event % 5 + k) % 12).alias("ab_name"),
-            F.when(event % 4 != 1, _pick(RESULTS, (event + k) % 5)).alias("interpretation"),
+            "IF(event_id % 47 = 0, NULL, hadm_id) AS hadm_id",
+            "IF(event_id % 53 = 0, NULL, ts) AS charttime",
+            f"{_pick(SPECIMENS, 'event_id % 8')} AS spec_type_desc",
+            f"{_pick(ORGANISMS, organism)} AS org_name",
+            f"{_pick(ANTIBIOTICS, antibiotic)} AS ab_name",
+            f"IF(event_id % 4 = 1, NULL, {result}) AS interpretation",
         )
     )
 
 
 def _prescriptions(events: DataFrame) -> DataFrame:
-    event, ts = F.col("event_id"), F.col("ts")
-    length = F.make_dt_interval(F.lit(0), (event % 90 - 3).cast("int"), F.lit(25))
-    return events.where(F.col("event_type") == "purchase").select(
+    length = "make_dt_interval(0, CAST(event_id % 90 - 3 AS INT), 25)"
+    return events.where("event_type = 'purchase'").selectExpr(
         "subject_id",
         "hadm_id",
-        F.when(event % 41 != 0, ts).alias("starttime"),
-        F.when(event % 43 != 0, ts + length).alias("stoptime"),
-        _pick(DRUGS, event % 13).alias("drug"),
+        "IF(event_id % 41 = 0, NULL, ts) AS starttime",
+        f"IF(event_id % 43 = 0, NULL, ts + {length}) AS stoptime",
+        f"{_pick(DRUGS, 'event_id % 13')} AS drug",
     )
 
 
 def _diagnoses(events: DataFrame) -> DataFrame:
-    code = (F.col("hadm_id") + F.col("event_id") % 2) % 10
+    code = _pick(ICD_CODES, "(hadm_id + event_id % 2) % 10")
     return (
-        events.where(F.col("event_type") == "view")
-        .select("subject_id", "hadm_id", _pick(ICD_CODES, code).alias("icd_code"))
+        events.where("event_type = 'view'")
+        .selectExpr("subject_id", "hadm_id", f"{code} AS icd_code")
         .distinct()
     )
 
 
 def _patients(events: DataFrame) -> DataFrame:
-    return (
-        events.select("subject_id")
-        .distinct()
-        .withColumn("gender", F.when(F.col("subject_id") % 3 == 0, "F").otherwise("M"))
-    )
+    gender = "IF(subject_id % 3 = 0, 'F', 'M') AS gender"
+    return events.select("subject_id").distinct().selectExpr("subject_id", gender)
 
 
 def _admissions(events: DataFrame) -> DataFrame:
-    last, hadm = F.col("last_seen"), F.col("hadm_id")
-    death = F.when(hadm % 7 == 0, last).when(hadm % 11 == 0, last + hours_span(48))
+    death = (
+        "CASE WHEN hadm_id % 7 = 0 THEN last_seen"
+        " WHEN hadm_id % 11 = 0 THEN last_seen + INTERVAL '48' HOUR END AS deathtime"
+    )
     return (
         events.groupBy("subject_id", "hadm_id")
         .agg(F.max("ts").alias("last_seen"))
-        .select("subject_id", "hadm_id", death.alias("deathtime"))
+        .selectExpr("subject_id", "hadm_id", death)
     )
