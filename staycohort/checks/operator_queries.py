@@ -1,6 +1,7 @@
 """One query per operator, over whole clinical tables.
 
-A query is a function of the tables; its name is its key.
+A query is a function of the tables; its name is its key. Where raw rows meet a table
+with one row per admission, hot admissions are spread (see `join_lookup`).
 """
 
 from collections.abc import Callable
@@ -161,36 +162,37 @@ def op_join_inner(t):
 
 @_query
 def op_join_anti(t):
-    return op.exclude_comorbidities(t.stays, t.diagnoses).select("stay_id", "hadm_id")
+    kept = op.exclude_comorbidities(t.stays, t.diagnoses, spread=op.SPREAD)
+    return kept.select("stay_id", "hadm_id")
 
 
 @_query
 def op_join_range_prior(t):
-    flagged = op.treated_ever_before(op.tested_cultures(t.cultures), t.prescriptions)
+    cultures = op.tested_cultures(t.cultures)
+    flagged = op.treated_ever_before(cultures, t.prescriptions, spread=op.SPREAD)
     return flagged.select("microevent_id", "has_prior_treatment")
 
 
 @_query
 def op_join_interval_before(t):
     cultures = op.tested_cultures(t.cultures)
-    flagged = op.treatment_exposure(cultures, t.prescriptions, after=None)
+    flagged = op.treatment_exposure(cultures, t.prescriptions, after=None, spread=op.SPREAD)
     return flagged.select("microevent_id", "has_prior_treatment")
 
 
 @_query
 def op_join_interval_after(t):
     cultures = op.tested_cultures(t.cultures)
-    flagged = op.treatment_exposure(cultures, t.prescriptions, before=None)
+    flagged = op.treatment_exposure(cultures, t.prescriptions, before=None, spread=op.SPREAD)
     return flagged.select("microevent_id", "has_post_treatment")
 
 
 @_query
 def op_join_dims(t):
-    return (
-        t.stays.join(t.patients, "subject_id")
-        .join(t.admissions.select("hadm_id", "deathtime"), "hadm_id")
-        .select("stay_id", "gender", "deathtime")
-    )
+    deaths = t.admissions.select("hadm_id", "deathtime")
+    with_gender = op.join_lookup(t.stays, t.patients, ["subject_id"], "inner", op.SPREAD)
+    with_death = op.join_lookup(with_gender, deaths, ["hadm_id"], "inner", op.SPREAD)
+    return with_death.select("stay_id", "gender", "deathtime")
 
 
 @_query
@@ -209,7 +211,8 @@ def op_join_left_filtered(t):
         .groupBy("hadm_id")
         .agg(F.count(F.lit(1)).alias("n"), F.max("stoptime").alias("last_stop"))
     )
-    return t.stays.join(complete, "hadm_id", "left").select(
+    joined = op.join_lookup(t.stays, complete, ["hadm_id"], "left", op.SPREAD)
+    return joined.select(
         "stay_id", F.coalesce("n", F.lit(0)).alias("prescriptions"), "last_stop"
     )
 
@@ -219,9 +222,8 @@ def op_join_left_filtered(t):
 
 @_query
 def op_count_distinct(t):
-    return op.stays_with(t.stays, t.cultures).agg(
-        F.count_distinct("stay_id").alias("stays")
-    )
+    stays = op.stays_with(t.stays, t.cultures, op.SPREAD)
+    return stays.agg(F.count_distinct("stay_id").alias("stays"))
 
 
 @_query
@@ -251,24 +253,22 @@ def op_distinct(t):
     return t.prescriptions.select("hadm_id", "drug").distinct()
 
 
-def _listed_count(t):
-    return (
-        op.listed_starts(t.prescriptions)
-        .groupBy("hadm_id")
-        .agg(F.count("starttime").alias("n"))
-    )
+def _stays_with_listed_count(t):
+    starts = op.listed_starts(t.prescriptions).groupBy("hadm_id")
+    counts = starts.agg(F.count("starttime").alias("n"))
+    return op.join_lookup(t.stays, counts, ["hadm_id"], "left", op.SPREAD)
 
 
 @_query
 def op_flag_int(t):
     flag = F.when(F.col("n") > 0, 1).otherwise(0).alias("treated")
-    return t.stays.join(_listed_count(t), "hadm_id", "left").select("stay_id", flag)
+    return _stays_with_listed_count(t).select("stay_id", flag)
 
 
 @_query
 def op_flag_bool(t):
     flag = (F.coalesce("n", F.lit(0)) > 0).alias("treated")
-    return t.stays.join(_listed_count(t), "hadm_id", "left").select("stay_id", flag)
+    return _stays_with_listed_count(t).select("stay_id", flag)
 
 
 @_query
@@ -343,8 +343,10 @@ def op_row_number(t):
 
 @_query
 def op_top1_per_group(t):
-    joined = op.stay_cultures(t.stays, op.tested_cultures(t.cultures))
-    return op.representative_culture(joined).select("stay_id", "org_name", "microevent_id")
+    """The first of an admission's first cultures: cut before the join with its stays."""
+    cultures = op.representative_culture(op.tested_cultures(t.cultures), ("hadm_id", "org_name"))
+    first = op.representative_culture(op.stay_cultures(t.stays, cultures))
+    return first.select("stay_id", "org_name", "microevent_id")
 
 
 @_query
@@ -464,13 +466,15 @@ def op_exclude_comorb(t):
 
 @_query
 def op_treatment_exposure(t):
-    flagged = op.treatment_exposure(op.tested_cultures(t.cultures), t.prescriptions)
+    cultures = op.tested_cultures(t.cultures)
+    flagged = op.treatment_exposure(cultures, t.prescriptions, spread=op.SPREAD)
     return flagged.select("microevent_id", "has_prior_treatment", "has_post_treatment")
 
 
 @_query
 def op_untreated_then_treated(t):
-    flagged = op.treatment_exposure(op.tested_cultures(t.cultures), t.prescriptions)
+    cultures = op.tested_cultures(t.cultures)
+    flagged = op.treatment_exposure(cultures, t.prescriptions, spread=op.SPREAD)
     return op.untreated_then_treated(flagged).select("microevent_id", "hadm_id")
 
 

@@ -8,10 +8,12 @@ from staycohort.operators.cultures import (
     admissions_of,
     distinct_cultures,
     exclude_specimens,
+    first_stays,
     numbered_cultures,
     representative_culture,
     single_organism_stays,
     stay_cultures,
+    stays_per_admission,
     stays_with,
     target_organisms,
     tested_cultures,
@@ -23,6 +25,7 @@ from staycohort.operators.exposure import (
     treatment_exposure,
     untreated_then_treated,
 )
+from staycohort.operators.lookup import SPREAD, join_lookup
 from staycohort.operators.outcomes import (
     block_report,
     stay_outcomes,
@@ -31,12 +34,15 @@ from staycohort.operators.outcomes import (
 )
 
 __all__ = [
+    "SPREAD",
     "admissions_of",
     "block_report",
     "comorbid_admissions",
     "distinct_cultures",
     "exclude_comorbidities",
     "exclude_specimens",
+    "first_stays",
+    "join_lookup",
     "listed_starts",
     "numbered_cultures",
     "representative_culture",
@@ -44,6 +50,7 @@ __all__ = [
     "stay_cultures",
     "stay_outcomes",
     "stay_windows",
+    "stays_per_admission",
     "stays_with",
     "target_organisms",
     "tested_cultures",

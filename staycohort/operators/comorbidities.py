@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 
 from staycohort import vocabulary as v
 from staycohort.functions import starts_with_any
+from staycohort.operators.lookup import join_lookup
 
 
 def comorbid_admissions(diagnoses: DataFrame, prefixes=v.COMORBIDITY_PREFIXES) -> DataFrame:
@@ -14,7 +15,8 @@ def comorbid_admissions(diagnoses: DataFrame, prefixes=v.COMORBIDITY_PREFIXES) -
 
 
 def exclude_comorbidities(
-    df: DataFrame, diagnoses: DataFrame, prefixes=v.COMORBIDITY_PREFIXES
+    df: DataFrame, diagnoses: DataFrame, prefixes=v.COMORBIDITY_PREFIXES, spread: int = 1
 ) -> DataFrame:
     """Rows whose admission has no listed diagnosis."""
-    return df.join(comorbid_admissions(diagnoses, prefixes), "hadm_id", "left_anti")
+    comorbid = comorbid_admissions(diagnoses, prefixes)
+    return join_lookup(df, comorbid, ["hadm_id"], "left_anti", spread)

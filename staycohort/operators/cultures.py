@@ -12,6 +12,7 @@ from staycohort.functions import (
     lower_in,
     quoted_list,
 )
+from staycohort.operators.lookup import join_lookup
 
 
 def stay_cultures(stays: DataFrame, cultures: DataFrame) -> DataFrame:
@@ -28,9 +29,25 @@ def admissions_of(cultures: DataFrame) -> DataFrame:
     return cultures.where(all_known("hadm_id")).select("hadm_id").distinct()
 
 
-def stays_with(stays: DataFrame, cultures: DataFrame) -> DataFrame:
+def stays_with(stays: DataFrame, cultures: DataFrame, spread: int = 1) -> DataFrame:
     """Stays of the admissions that have at least one of the cultures."""
-    return stays.join(admissions_of(cultures), "hadm_id", "left_semi")
+    return join_lookup(stays, admissions_of(cultures), ["hadm_id"], "left_semi", spread)
+
+
+def stays_per_admission(stays: DataFrame) -> DataFrame:
+    """Number of stays of each admission.
+
+    A stay has one admission, so these numbers add up to a distinct count of stays. They
+    are counted from (admission, stay) pairs: no task sees all stays of an admission.
+    """
+    return stays.groupBy("hadm_id").agg(F.count_distinct("stay_id").alias("stays"))
+
+
+def first_stays(stays: DataFrame, count: int) -> DataFrame:
+    """The `count` lowest stay_ids of each admission; cut in every task before the shuffle."""
+    by_id = Window.partitionBy("hadm_id").orderBy("stay_id")
+    places = stays.select("stay_id", "hadm_id").withColumn("_place", F.dense_rank().over(by_id))
+    return places.where(f"_place <= {count}").drop("_place")
 
 
 def target_organisms(

@@ -9,8 +9,8 @@ exactly whether a start lies inside:
 - in the bin of t, any start before t is less than one window away;
 - the same holds mirrored for the window after t.
 
-Both sides of the join are therefore small per key: minima and maxima combine in each
-task before the shuffle, and a hot admission spreads over its bins.
+The drug side of the join is therefore one row per key, with minima and maxima combined
+in each task before the shuffle, and a hot admission spreads over its bins.
 """
 
 from pyspark.sql import DataFrame
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from staycohort import vocabulary as v
 from staycohort.functions import all_known, bin_start, lower_in
+from staycohort.operators.lookup import join_lookup
 
 
 def listed_starts(prescriptions: DataFrame, drugs=v.TREATMENT_DRUGS) -> DataFrame:
@@ -32,6 +33,7 @@ def treated_ever_before(
     at: str = "charttime",
     flag: str = "has_prior_treatment",
     drugs=v.TREATMENT_DRUGS,
+    spread: int = 1,
 ) -> DataFrame:
     """Add a boolean flag: some listed drug of the admission started before `at`.
 
@@ -43,7 +45,7 @@ def treated_ever_before(
         .agg(F.min("starttime").alias("_earliest"))
     )
     return (
-        df.join(earliest, "hadm_id", "left")
+        join_lookup(df, earliest, ["hadm_id"], "left", spread)
         .withColumn(flag, F.expr(f"coalesce(_earliest < {at}, false)"))
         .drop("_earliest")
     )
@@ -58,6 +60,7 @@ def treatment_exposure(
     prior_flag: str = "has_prior_treatment",
     post_flag: str = "has_post_treatment",
     drugs=v.TREATMENT_DRUGS,
+    spread: int = 1,
 ) -> DataFrame:
     """Add boolean flags for listed drugs started around `at`.
 
@@ -74,11 +77,13 @@ def treatment_exposure(
         if hours == after:
             near = f"_last >= {at} OR _first_after <= {at} + {width}"
             flags.append((post_flag, near))
-        df = (
-            df.withColumn("_bin", bin_start(at, hours))
-            .join(_starts_around_bin(starts, hours), ["hadm_id", "_bin"], "left")
-            .selectExpr(*columns, *[f"coalesce({near}, false) AS {flag}" for flag, near in flags])
-        )
+        df = join_lookup(
+            df.withColumn("_bin", bin_start(at, hours)),
+            _starts_around_bin(starts, hours),
+            ["hadm_id", "_bin"],
+            "left",
+            spread,
+        ).selectExpr(*columns, *[f"coalesce({near}, false) AS {flag}" for flag, near in flags])
         columns = df.columns
     return df
 

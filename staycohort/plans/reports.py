@@ -2,7 +2,8 @@
 
 Cultures are filtered and reduced per admission first: what a report asks of a culture
 (organism, class, comorbidity, exposure) depends on the admission only. Stays are joined
-last, so an admission with many stays multiplies only what is left.
+last, counted per admission wherever only their number is asked for, so that neither
+many cultures nor many stays of one admission meet in one task.
 """
 
 from collections.abc import Callable
@@ -13,14 +14,17 @@ from pyspark.sql import functions as F
 from staycohort import vocabulary as v
 from staycohort.functions import all_known
 from staycohort.operators import (
+    admissions_of,
     block_report,
     distinct_cultures,
     exclude_comorbidities,
     exclude_specimens,
+    first_stays,
     representative_culture,
     single_organism_stays,
     stay_cultures,
     stay_outcomes,
+    stays_per_admission,
     stays_with,
     target_organisms,
     tested_cultures,
@@ -33,8 +37,13 @@ from staycohort.operators import (
 from staycohort.sources.tables import ClinicalTables
 
 
-def _count_stays(stays: DataFrame, name: str) -> DataFrame:
-    return stays.agg(F.count_distinct("stay_id").alias(name))
+def _count_stays(tables: ClinicalTables, admissions: DataFrame, name: str) -> DataFrame:
+    """Distinct stays of the admissions; both sides hold one row per admission."""
+    return (
+        stays_per_admission(tables.stays)
+        .join(admissions, "hadm_id", "left_semi")
+        .agg(F.expr(f"coalesce(sum(stays), 0) AS {name}"))
+    )
 
 
 def _first_details(tables: ClinicalTables, cultures: DataFrame, rows: int) -> DataFrame:
@@ -45,8 +54,7 @@ def _first_details(tables: ClinicalTables, cultures: DataFrame, rows: int) -> Da
     needs no shuffle.
     """
     stays = (
-        stays_with(tables.stays, cultures)
-        .select("stay_id", "hadm_id")
+        stays_with(first_stays(tables.stays, rows), cultures)
         .orderBy("stay_id", "hadm_id")
         .limit(rows)
     )
@@ -73,13 +81,9 @@ def _representatives(tables: ClinicalTables, mode: str) -> DataFrame:
     return with_antibiotic_class(representative_culture(cultures, ("hadm_id", "org_name")))
 
 
-def _case_stays(tables: ClinicalTables, cases: DataFrame, *columns: str) -> DataFrame:
-    return stay_cultures(tables.stays.select("stay_id", "hadm_id", *columns), cases)
-
-
 def p01_stays_with_culture(tables: ClinicalTables) -> DataFrame:
     """Stays with any culture."""
-    return _count_stays(stays_with(tables.stays, tables.cultures), "total_estancias_uci")
+    return _count_stays(tables, admissions_of(tables.cultures), "total_estancias_uci")
 
 
 def p02_culture_detail(tables: ClinicalTables) -> DataFrame:
@@ -89,8 +93,8 @@ def p02_culture_detail(tables: ClinicalTables) -> DataFrame:
 
 def p03_stays_positive(tables: ClinicalTables) -> DataFrame:
     """Stays with a target organism, tested or not."""
-    stays = stays_with(tables.stays, _positive(tables))
-    return _count_stays(stays, "total_estancias_uci_cultivos_positivos")
+    admissions = admissions_of(_positive(tables))
+    return _count_stays(tables, admissions, "total_estancias_uci_cultivos_positivos")
 
 
 def p04_positive_detail(tables: ClinicalTables) -> DataFrame:
@@ -100,13 +104,12 @@ def p04_positive_detail(tables: ClinicalTables) -> DataFrame:
 
 def p05_stays_tested(tables: ClinicalTables) -> DataFrame:
     """Stays with a tested culture of a target organism."""
-    stays = stays_with(tables.stays, _tested(tables, "contains"))
-    return _count_stays(stays, "total_estancias_uci_cultivos")
+    admissions = admissions_of(_tested(tables, "contains"))
+    return _count_stays(tables, admissions, "total_estancias_uci_cultivos")
 
 
 def _single_organism(tables: ClinicalTables, admissions: DataFrame) -> DataFrame:
-    stays = tables.stays.join(admissions, "hadm_id", "left_semi")
-    return _count_stays(stays, "total_estancias_uci_cultivos_monoinfeccion")
+    return _count_stays(tables, admissions, "total_estancias_uci_cultivos_monoinfeccion")
 
 
 def p06_single_organism(tables: ClinicalTables) -> DataFrame:
@@ -149,9 +152,10 @@ def p09_prior_treatment_detail(tables: ClinicalTables) -> DataFrame:
         "interpretation",
         "has_prior_treatment",
     ]
-    cases = _case_stays(tables, _cases_with_prior_treatment(tables, "contains"))
+    cases = _cases_with_prior_treatment(tables, "contains")
+    stays = first_stays(tables.stays, v.PRIOR_TREATMENT_ROWS)
     return (
-        distinct_cultures(cases, columns)
+        distinct_cultures(stay_cultures(stays, cases), columns)
         .orderBy("stay_id", "charttime", "org_name")
         .limit(v.PRIOR_TREATMENT_ROWS)
     )
@@ -160,25 +164,23 @@ def p09_prior_treatment_detail(tables: ClinicalTables) -> DataFrame:
 def p10_prior_treatment_counts(tables: ClinicalTables) -> DataFrame:
     """Stays, treated cultures and treated stays, by exact organism name.
 
-    Counted per stay first: one narrow row per stay instead of one per measure and case.
+    Every case counts once for each stay of its admission, so the cases of an admission
+    are counted first and multiplied by its stays.
     """
-    cases = _case_stays(tables, _cases_with_prior_treatment(tables, "exact"))
-    keys = [
-        "stay_id",
-        "hadm_id",
-        "charttime",
-        "org_name",
-        "interpretation",
-        "has_prior_treatment",
-    ]
+    treated = (
+        _cases_with_prior_treatment(tables, "exact")
+        .groupBy("hadm_id")
+        .agg(F.sum("has_prior_treatment").alias("treated"))
+    )
     return (
-        distinct_cultures(cases, keys)
-        .groupBy("stay_id")
-        .agg(F.sum("has_prior_treatment").alias("_treated"))
+        stays_per_admission(tables.stays)
+        .join(treated, "hadm_id")
         .agg(
-            F.count("stay_id").alias("total_estancias_uci_monoinfeccion"),
-            F.sum("_treated").alias("total_con_tratamiento_previo"),
-            F.expr("count(IF(_treated > 0, stay_id, NULL)) AS estancias_distintas_con_tratamiento"),
+            F.expr("coalesce(sum(stays), 0) AS total_estancias_uci_monoinfeccion"),
+            F.expr("sum(stays * treated) AS total_con_tratamiento_previo"),
+            F.expr(
+                "coalesce(sum(IF(treated > 0, stays, 0)), 0) AS estancias_distintas_con_tratamiento"
+            ),
         )
     )
 
@@ -188,7 +190,8 @@ def p11_untreated_then_treated_48h(tables: ClinicalTables) -> DataFrame:
     cases = treatment_exposure(_representatives(tables, "contains"), tables.prescriptions)
     kept = exclude_comorbidities(untreated_then_treated(cases), tables.diagnoses)
     return _count_stays(
-        stays_with(tables.stays, kept),
+        tables,
+        admissions_of(kept),
         "estancias_distintas_sin_tratamiento_previo_y_posterior_48h",
     )
 
@@ -204,19 +207,24 @@ def p12_blocks(tables: ClinicalTables) -> DataFrame:
     """Stays per resistance block."""
     cases = _block_cases(tables).select("hadm_id", "bloque").distinct()
     return (
-        _case_stays(tables, cases)
+        stays_per_admission(tables.stays)
+        .join(cases, "hadm_id")
         .groupBy("bloque")
-        .agg(F.count_distinct("stay_id").alias("estancias_unicas"))
+        .agg(F.sum("stays").alias("estancias_unicas"))
         .orderBy("bloque")
     )
 
 
 def p13_clinical_metrics(tables: ClinicalTables) -> DataFrame:
     """Length of stay, treatment, mortality and improvement per resistance block."""
-    cases = _case_stays(tables, _block_cases(tables), "intime", "outtime")
+    windows = tables.stays.select("stay_id", "hadm_id", "intime", "outtime")
     return block_report(
         stay_outcomes(
-            cases, tables.stays, tables.patients, tables.admissions, tables.prescriptions
+            stay_cultures(windows, _block_cases(tables)),
+            tables.stays,
+            tables.patients,
+            tables.admissions,
+            tables.prescriptions,
         )
     )
 
