@@ -127,8 +127,9 @@ def op_like_multi(t):
 @_query
 def op_filter_compare(t):
     start, stop = F.col("starttime"), F.col("stoptime")
+    day = F.expr("INTERVAL '24' HOUR")
     return t.prescriptions.where(
-        (start < stop) & ((stop >= start + F.expr("INTERVAL '24' HOUR")) | (F.col("drug") != "Heparin"))
+        (start < stop) & ((stop >= start + day) | (F.col("drug") != "Heparin"))
     ).select("hadm_id", "starttime", "stoptime", "drug")
 
 
@@ -147,9 +148,8 @@ def op_case_simple(t):
 @_query
 def op_case_null(t):
     start, stop = F.col("starttime"), F.col("stoptime")
-    return t.prescriptions.select(
-        "hadm_id", "starttime", F.when(stop >= start, hours_between("starttime", "stoptime")).alias("hours")
-    )
+    hours = F.when(stop >= start, hours_between("starttime", "stoptime")).alias("hours")
+    return t.prescriptions.select("hadm_id", "starttime", hours)
 
 
 # Joins
@@ -183,7 +183,9 @@ def op_join_interval_before(t):
 @_query
 def op_join_interval_after(t):
     cultures = op.tested_cultures(t.cultures)
-    flagged = op.treatment_exposure(cultures, t.prescriptions, before=None, spread=op.SPREAD)
+    flagged = op.treatment_exposure(
+        cultures, t.prescriptions, before=None, spread=op.SPREAD
+    )
     return flagged.select("microevent_id", "has_post_treatment")
 
 
@@ -351,9 +353,8 @@ def op_top1_per_group(t):
 
 @_query
 def op_order_by(t):
-    return (
-        t.diagnoses.groupBy("icd_code").agg(F.count(F.lit(1)).alias("admissions")).orderBy("icd_code")
-    )
+    counts = t.diagnoses.groupBy("icd_code").agg(F.count(F.lit(1)).alias("admissions"))
+    return counts.orderBy("icd_code")
 
 
 @_query

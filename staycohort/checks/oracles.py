@@ -19,7 +19,12 @@ def _rows(rows):
 
 
 _CLASS_ROWS = [(i, p, label) for i, (p, label) in enumerate(v.ANTIBIOTIC_CLASS_PATTERNS)]
-_BLOCK_ROWS = [(b, o, c) for b, organisms, classes in v.RESISTANCE_BLOCKS for o in organisms for c in classes]
+_BLOCK_ROWS = [
+    (block, organism, label)
+    for block, organisms, labels in v.RESISTANCE_BLOCKS
+    for organism in organisms
+    for label in labels
+]
 
 _TABLES = f"""
 ev AS (
@@ -39,7 +44,8 @@ microbiologyevents AS (
          CASE WHEN event_id % 47 = 0 THEN NULL ELSE hadm_id END AS hadm_id,
          CASE WHEN event_id % 53 = 0 THEN NULL ELSE ts END AS charttime,
          {_array(ev.SPECIMENS)}[event_id % 8 + 1] AS spec_type_desc,
-         {_array(ev.ORGANISMS)}[(hadm_id + CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END) % 13 + 1] AS org_name,
+         {_array(ev.ORGANISMS)}[
+             (hadm_id + CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END) % 13 + 1] AS org_name,
          {_array(ev.ANTIBIOTICS)}[(hadm_id * 7 + event_id % 5 + k) % 12 + 1] AS ab_name,
          CASE WHEN event_id % 4 = 1 THEN NULL
               ELSE {_array(ev.RESULTS)}[(event_id + k) % 5 + 1] END AS interpretation
@@ -50,7 +56,8 @@ prescriptions AS (
   SELECT subject_id, hadm_id,
          CASE WHEN event_id % 41 = 0 THEN NULL ELSE ts END AS starttime,
          CASE WHEN event_id % 43 = 0 THEN NULL
-              ELSE ts + (event_id % 90 - 3) * INTERVAL '1' HOUR + INTERVAL '25' MINUTE END AS stoptime,
+              ELSE ts + (event_id % 90 - 3) * INTERVAL '1' HOUR + INTERVAL '25' MINUTE
+         END AS stoptime,
          {_array(ev.DRUGS)}[event_id % 13 + 1] AS drug
   FROM ev WHERE event_type = 'purchase'
 ),
@@ -225,7 +232,8 @@ FROM flagged""",
         f"flagged AS (SELECT c.*, {_EVER} AS prior FROM cases c WHERE {_NOT_CHRONIC})",
     ),
     "p11_untreated_then_treated_48h": _with(
-        f"""SELECT count(DISTINCT stay_id) AS estancias_distintas_sin_tratamiento_previo_y_posterior_48h
+        f"""SELECT
+  count(DISTINCT stay_id) AS estancias_distintas_sin_tratamiento_previo_y_posterior_48h
 FROM cases c WHERE {_NOT_CHRONIC} AND NOT {_PRIOR} AND {_POST}""",
         *_cases(_CONTAINS),
     ),
@@ -359,7 +367,8 @@ FROM icustays s LEFT JOIN listed d ON d.hadm_id = s.hadm_id GROUP BY s.stay_id""
     ),
     "op_percentages": _with(
         f"""SELECT spec_type_desc, count(*) AS cultures,
-       round(sum(CASE WHEN interpretation = 'R' THEN 1 ELSE 0 END) / count(*) * 100, 1) AS resistant_pct
+       round(sum(CASE WHEN interpretation = 'R' THEN 1 ELSE 0 END) / count(*) * 100, 1)
+         AS resistant_pct
 FROM {_M} GROUP BY spec_type_desc"""
     ),
     "op_conditional_sum": _with(
@@ -393,7 +402,8 @@ FROM icustays GROUP BY subject_id"""
 FROM {_M} GROUP BY org_name"""
     ),
     "op_row_number": _with(
-        f"""SELECT hadm_id, org_name, microevent_id, {_PLACE.format(keys="hadm_id, org_name")} AS row_num
+        f"""SELECT hadm_id, org_name, microevent_id,
+       {_PLACE.format(keys="hadm_id, org_name")} AS row_num
 FROM {_TESTED_ROWS}"""
     ),
     "op_top1_per_group": _with(
@@ -442,11 +452,14 @@ FROM {_M} WHERE {_SPECIMEN} GROUP BY spec_type_desc"""
 FROM {_M} GROUP BY 1, 2"""
     ),
     "op_representative": _with(
-        "SELECT hadm_id, org_name, microevent_id, antibiotic_class, interpretation FROM first_culture",
+        """SELECT hadm_id, org_name, microevent_id, antibiotic_class, interpretation
+FROM first_culture""",
         f"kept AS (SELECT * FROM {_M} WHERE {_TESTED} AND {_CONTAINS} AND {_SPECIMEN})",
         _first_per("hadm_id, org_name", "kept"),
     ),
-    "op_single_organism": _with("SELECT stay_id FROM single", *_single("stay_id", _TESTED, _CONTAINS)),
+    "op_single_organism": _with(
+        "SELECT stay_id FROM single", *_single("stay_id", _TESTED, _CONTAINS)
+    ),
     "op_distinct_cultures": _with("SELECT * FROM cases", *_cases(_CONTAINS)),
     "op_exclude_comorb": _with(
         f"SELECT hadm_id, org_name, microevent_id FROM first_culture c WHERE {_NOT_CHRONIC}",

@@ -151,8 +151,9 @@ def block_report(outcomes: DataFrame) -> DataFrame:
             F.expr("round(avg(estancia_dias), 1) AS estancia_media"),
             F.expr("round(stddev_samp(estancia_dias), 1) AS desviacion_estancia"),
             F.expr(
-                "round(try_divide(CAST(sum(CAST(duracion_tratamiento AS DECIMAL(18, 1))) AS DOUBLE),"
-                " count(duracion_tratamiento)), 1) AS duracion_tratamiento_horas"
+                "round(try_divide("
+                "CAST(sum(CAST(duracion_tratamiento AS DECIMAL(18, 1))) AS DOUBLE), "
+                "count(duracion_tratamiento)), 1) AS duracion_tratamiento_horas"
             ),
             percent("fallecio_en_uci = 1", "mortalidad_pct"),
             percent("mejoria = 1", "proporcion_mejora_pct"),

@@ -62,8 +62,9 @@ def starts_by_admission(tables):
     return starts
 
 
+@pytest.mark.parametrize("spread", [1, 5])
 @pytest.mark.parametrize("before, after", [(48, 48), (24, 72), (7, None), (None, 5)])
-def test_exposure(tables, before, after):
+def test_exposure(tables, before, after, spread):
     starts = starts_by_admission(tables)
     expected = []
     for row in tables.cultures.collect():
@@ -71,7 +72,9 @@ def test_exposure(tables, before, after):
         prior = any(-before <= gap < 0 for gap in gaps) if before else None
         post = any(0 <= gap <= after for gap in gaps) if after else None
         expected.append((row.microevent_id, prior, post))
-    flagged = op.treatment_exposure(tables.cultures, tables.prescriptions, before, after)
+    flagged = op.treatment_exposure(
+        tables.cultures, tables.prescriptions, before, after, spread=spread
+    )
     if not before:
         flagged = flagged.selectExpr("*", "NULL AS has_prior_treatment")
     if not after:
@@ -80,6 +83,32 @@ def test_exposure(tables, before, after):
     assert values(flagged, *columns) == sorted(expected, key=repr)
 
 
+@pytest.mark.parametrize("spread", [1, 5])
+def test_any_earlier_treatment(tables, spread):
+    starts = starts_by_admission(tables)
+    expected = [
+        (row.microevent_id, any(start < row.charttime for start in starts[row.hadm_id]))
+        for row in tables.cultures.collect()
+    ]
+    flagged = op.treated_ever_before(tables.cultures, tables.prescriptions, spread=spread)
+    assert values(flagged, "microevent_id", "has_prior_treatment") == sorted(expected, key=repr)
+
+
+@pytest.mark.parametrize("spread", [1, 5])
+def test_stays_per_admission_and_first_stays(tables, spread):
+    ids = defaultdict(list)
+    for row in tables.stays.collect():
+        ids[row.hadm_id].append(row.stay_id)
+    counts = op.stays_per_admission(tables.stays)
+    assert dict(tuple(row) for row in counts.collect()) == {h: len(s) for h, s in ids.items()}
+    first = op.first_stays(tables.stays, 3)
+    lowest = [(stay_id, h) for h, s in ids.items() for stay_id in sorted(s)[:3]]
+    assert values(first, "stay_id", "hadm_id") == sorted(lowest, key=repr)
+    hot = tables.cultures.where(f"hadm_id = {HOT}")
+    kept = op.stays_with(tables.stays, hot, spread)
+    assert values(kept, "stay_id") == sorted([(s,) for s in ids[HOT]], key=repr)
+
+
 def mean_hours(tables, row):
     inside = [
         int((o.stoptime - o.starttime) / timedelta(hours=1))
@@ -118,7 +147,8 @@ def test_numbering_and_first_agree_with_sorting(tables):
     )
     keys = ("hadm_id", "org_name")
     numbered = op.numbered_cultures(tables.cultures, keys)
-    assert sorted(tuple(r) for r in numbered.select("microevent_id", "row_num").collect()) == expected
+    found = sorted(tuple(r) for r in numbered.select("microevent_id", "row_num").collect())
+    assert found == expected
     first = op.representative_culture(tables.cultures, keys)
     assert values(first, "microevent_id") == sorted(
         [(event,) for event, place in expected if place == 1], key=repr

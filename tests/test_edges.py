@@ -184,7 +184,9 @@ def outcomes(spark, windows, orders=(), deathtime=None):
         admissions=[{"hadm_id": 10, "deathtime": deathtime}],
         prescriptions=list(orders),
     )
-    cases = tables.stays.drop("subject_id").selectExpr("*", "1L AS subject_id", "'Bloque 1' AS bloque")
+    cases = tables.stays.drop("subject_id").selectExpr(
+        "*", "1L AS subject_id", "'Bloque 1' AS bloque"
+    )
     return op.stay_outcomes(
         cases, tables.stays, tables.patients, tables.admissions, tables.prescriptions
     )
