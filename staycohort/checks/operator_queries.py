@@ -162,21 +162,23 @@ def op_join_inner(t):
 
 @_query
 def op_join_anti(t):
-    kept = op.exclude_comorbidities(t.stays, t.diagnoses, spread=op.SPREAD)
+    kept = op.exclude_comorbidities(t.stays, t.diagnoses, spread="stay_id")
     return kept.select("stay_id", "hadm_id")
 
 
 @_query
 def op_join_range_prior(t):
     cultures = op.tested_cultures(t.cultures)
-    flagged = op.treated_ever_before(cultures, t.prescriptions, spread=op.SPREAD)
+    flagged = op.treated_ever_before(cultures, t.prescriptions, spread="microevent_id")
     return flagged.select("microevent_id", "has_prior_treatment")
 
 
 @_query
 def op_join_interval_before(t):
     cultures = op.tested_cultures(t.cultures)
-    flagged = op.treatment_exposure(cultures, t.prescriptions, after=None, spread=op.SPREAD)
+    flagged = op.treatment_exposure(
+        cultures, t.prescriptions, after=None, spread="microevent_id"
+    )
     return flagged.select("microevent_id", "has_prior_treatment")
 
 
@@ -184,7 +186,7 @@ def op_join_interval_before(t):
 def op_join_interval_after(t):
     cultures = op.tested_cultures(t.cultures)
     flagged = op.treatment_exposure(
-        cultures, t.prescriptions, before=None, spread=op.SPREAD
+        cultures, t.prescriptions, before=None, spread="microevent_id"
     )
     return flagged.select("microevent_id", "has_post_treatment")
 
@@ -192,8 +194,8 @@ def op_join_interval_after(t):
 @_query
 def op_join_dims(t):
     deaths = t.admissions.select("hadm_id", "deathtime")
-    with_gender = op.join_lookup(t.stays, t.patients, ["subject_id"], "inner", op.SPREAD)
-    with_death = op.join_lookup(with_gender, deaths, ["hadm_id"], "inner", op.SPREAD)
+    with_gender = op.join_lookup(t.stays, t.patients, ["subject_id"], "inner", "stay_id")
+    with_death = op.join_lookup(with_gender, deaths, ["hadm_id"], "inner", "stay_id")
     return with_death.select("stay_id", "gender", "deathtime")
 
 
@@ -213,7 +215,7 @@ def op_join_left_filtered(t):
         .groupBy("hadm_id")
         .agg(F.count(F.lit(1)).alias("n"), F.max("stoptime").alias("last_stop"))
     )
-    joined = op.join_lookup(t.stays, complete, ["hadm_id"], "left", op.SPREAD)
+    joined = op.join_lookup(t.stays, complete, ["hadm_id"], "left", "stay_id")
     return joined.select(
         "stay_id", F.coalesce("n", F.lit(0)).alias("prescriptions"), "last_stop"
     )
@@ -224,7 +226,7 @@ def op_join_left_filtered(t):
 
 @_query
 def op_count_distinct(t):
-    stays = op.stays_with(t.stays, t.cultures, op.SPREAD)
+    stays = op.stays_with(t.stays, t.cultures, spread="stay_id")
     return stays.agg(F.count_distinct("stay_id").alias("stays"))
 
 
@@ -258,7 +260,7 @@ def op_distinct(t):
 def _stays_with_listed_count(t):
     starts = op.listed_starts(t.prescriptions).groupBy("hadm_id")
     counts = starts.agg(F.count("starttime").alias("n"))
-    return op.join_lookup(t.stays, counts, ["hadm_id"], "left", op.SPREAD)
+    return op.join_lookup(t.stays, counts, ["hadm_id"], "left", "stay_id")
 
 
 @_query
@@ -468,14 +470,14 @@ def op_exclude_comorb(t):
 @_query
 def op_treatment_exposure(t):
     cultures = op.tested_cultures(t.cultures)
-    flagged = op.treatment_exposure(cultures, t.prescriptions, spread=op.SPREAD)
+    flagged = op.treatment_exposure(cultures, t.prescriptions, spread="microevent_id")
     return flagged.select("microevent_id", "has_prior_treatment", "has_post_treatment")
 
 
 @_query
 def op_untreated_then_treated(t):
     cultures = op.tested_cultures(t.cultures)
-    flagged = op.treatment_exposure(cultures, t.prescriptions, spread=op.SPREAD)
+    flagged = op.treatment_exposure(cultures, t.prescriptions, spread="microevent_id")
     return op.untreated_then_treated(flagged).select("microevent_id", "hadm_id")
 
 

@@ -15,7 +15,10 @@ def comorbid_admissions(diagnoses: DataFrame, prefixes=v.COMORBIDITY_PREFIXES) -
 
 
 def exclude_comorbidities(
-    df: DataFrame, diagnoses: DataFrame, prefixes=v.COMORBIDITY_PREFIXES, spread: int = 1
+    df: DataFrame,
+    diagnoses: DataFrame,
+    prefixes=v.COMORBIDITY_PREFIXES,
+    spread: str | None = None,
 ) -> DataFrame:
     """Rows whose admission has no listed diagnosis."""
     comorbid = comorbid_admissions(diagnoses, prefixes)

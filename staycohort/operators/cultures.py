@@ -29,7 +29,7 @@ def admissions_of(cultures: DataFrame) -> DataFrame:
     return cultures.where(all_known("hadm_id")).select("hadm_id").distinct()
 
 
-def stays_with(stays: DataFrame, cultures: DataFrame, spread: int = 1) -> DataFrame:
+def stays_with(stays: DataFrame, cultures: DataFrame, spread: str | None = None) -> DataFrame:
     """Stays of the admissions that have at least one of the cultures."""
     return join_lookup(stays, admissions_of(cultures), ["hadm_id"], "left_semi", spread)
 

@@ -33,7 +33,7 @@ def treated_ever_before(
     at: str = "charttime",
     flag: str = "has_prior_treatment",
     drugs=v.TREATMENT_DRUGS,
-    spread: int = 1,
+    spread: str | None = None,
 ) -> DataFrame:
     """Add a boolean flag: some listed drug of the admission started before `at`.
 
@@ -60,7 +60,7 @@ def treatment_exposure(
     prior_flag: str = "has_prior_treatment",
     post_flag: str = "has_post_treatment",
     drugs=v.TREATMENT_DRUGS,
-    spread: int = 1,
+    spread: str | None = None,
 ) -> DataFrame:
     """Add boolean flags for listed drugs started around `at`.
 

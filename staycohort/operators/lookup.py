@@ -3,26 +3,31 @@
 from pyspark.sql import DataFrame
 
 # Parts a key is split into where the left side may hold very many rows of it.
-SPREAD = 8
+PARTS = 8
 
 
 def join_lookup(
-    df: DataFrame, table: DataFrame, keys: list[str], how: str, spread: int = 1
+    df: DataFrame,
+    table: DataFrame,
+    keys: list[str],
+    how: str,
+    spread: str | None = None,
+    parts: int = PARTS,
 ) -> DataFrame:
     """Join `df` with `table`, which has at most one row per key.
 
-    With a spread above 1 each key is split into that many parts: a row goes to the part
-    of its hash, the one row of the table to every part. The exchange this puts on both
-    sides also lets adaptive execution split a part that is still too large, which it
-    cannot do right above an aggregate. Leave it at 1 where `df` is reduced per key.
+    `spread` names a column of `df` that differs between the rows of a key, such as an
+    event id. Each key is then split into parts: a row goes to the part of that column's
+    hash, the one row of the table to every part. The exchange this puts on both sides
+    also lets adaptive execution split a part that is still too large, which it cannot do
+    right above an aggregate. Leave it out where `df` is already reduced per key.
     """
-    if spread == 1:
+    if spread is None:
         return df.join(table, keys, how)
-    columns = ", ".join(f"`{column}`" for column in df.columns)
-    part = f"CAST(pmod(xxhash64({columns}), {spread}) AS INT) AS _part"
-    parts = ", ".join(str(i) for i in range(spread))
+    part = f"CAST(pmod(xxhash64({spread}), {parts}) AS INT) AS _part"
+    every = ", ".join(str(i) for i in range(parts))
     return (
         df.selectExpr("*", part)
-        .join(table.selectExpr("*", f"explode(array({parts})) AS _part"), [*keys, "_part"], how)
+        .join(table.selectExpr("*", f"explode(array({every})) AS _part"), [*keys, "_part"], how)
         .drop("_part")
     )

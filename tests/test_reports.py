@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as contract
 from staycohort import REPORTS, ClinicalTables, report, tables_from_events
+from staycohort import operators as op
 from staycohort.schemas import SCHEMAS, TABLE_NAMES
 
 SF = "/root/testdata/sf0.001"
@@ -116,3 +117,11 @@ def test_plan_shapes(spark, stored, no_broadcast):
     assert metrics.count("FileScan") == 7
     detail = plan_of(report("p04_positive_detail", tables))
     assert "IsNotNull(charttime)" in detail
+
+
+def test_spreading_reads_only_the_columns_it_needs(spark, stored, no_broadcast):
+    tables = ClinicalTables.from_files(spark, str(stored))
+    kept = op.exclude_comorbidities(tables.stays, tables.diagnoses, spread="stay_id")
+    plan = plan_of(kept.select("stay_id"))
+    assert "ReadSchema: struct<hadm_id:bigint,stay_id:bigint>" in plan
+    assert "LeftAnti" in plan and "_part" in plan
