@@ -31,6 +31,16 @@ def test_longer_organism_name_only_matches_by_part(spark):
         op.target_organisms(cultures, "prefix")
 
 
+def test_parts_of_names_are_taken_literally(spark):
+    names = ["FLUID, OTHER (A.B)", "fluid, other (axb)", "it's + one", None]
+    rows = [culture(microevent_id=i, org_name=name) for i, name in enumerate(names)]
+    cultures = table(spark, "cultures", rows)
+    kept = op.target_organisms(cultures, "contains", ["other (a.b)", "'s + o"])
+    assert values(kept, "microevent_id") == [(0,), (2,)]
+    exact = op.target_organisms(cultures, "exact", ["it's + one", "back\\slash"])
+    assert values(exact, "microevent_id") == [(2,)]
+
+
 def test_tie_goes_to_the_lower_microevent_id(spark):
     rows = [
         culture(microevent_id=7, ab_name="CEFEPIME"),
