@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staycohort.llm import mixing, quality_rules, url_rules
+from staycohort.llm import mixing, quality_rules, trie_bpe, url_rules
 
 #: Share of a language's good documents that the quality rules may reject, and the
 #: probability that they reject more.
@@ -59,8 +59,27 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mixture(docs, mixing.smoothed_weights(docs, MIXING_EXPONENT), MIXING_SEED)
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies; every executor has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = trie_bpe.encode_and_decode(docs, tokenizer_file("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op7_url_filters": op7_url_filters,
     "op8_source_mixing": op8_source_mixing,
+    "op9_trie_bpe": op9_trie_bpe,
 }
