@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staycohort.llm import mixing, quality_rules, trie_bpe, url_rules
+from staycohort.llm import factorisation, mixing, quality_rules, trie_bpe, url_rules
+from staycohort.llm.common import crc_of_id
 
 #: Share of a language's good documents that the quality rules may reject, and the
 #: probability that they reject more.
@@ -33,6 +34,18 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(docs, labels, QUALITY_RISK, QUALITY_DOUBT)
 
 
+def op4_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.coalesce(crc_of_id() % 3 == 1, F.lit(False))
+    model = factorisation.fit(docs, labels.where(~held_out).select("doc_id", "quality"))
+    return factorisation.scored(docs, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def url_rule_list() -> list[url_rules.Rule]:
     base = [url_rules.prefix_rule(verdict, rule) for verdict, rule in BASE_URL_RULES]
     hosts = [
@@ -79,6 +92,7 @@ def op9_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op4_factorisation_machine": op4_factorisation_machine,
     "op7_url_filters": op7_url_filters,
     "op8_source_mixing": op8_source_mixing,
     "op9_trie_bpe": op9_trie_bpe,
