@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staycohort.llm import factorisation, mixing, quality_rules, trie_bpe, url_rules
+from staycohort.llm import factorisation, mixing, quality_rules, simhash, trie_bpe, url_rules
 from staycohort.llm.common import crc_of_id
 
 #: Share of a language's good documents that the quality rules may reject, and the
@@ -15,6 +15,9 @@ QUALITY_RISK, QUALITY_DOUBT = 0.04, 0.05
 #: Sources are mixed in proportion to their size to this power.
 MIXING_EXPONENT, MIXING_SEED = 0.7, "mix-1"
 
+#: Words of a shingle, and most differing bits of two linked fingerprints.
+SIMHASH_WIDTH, SIMHASH_LIMIT = 4, 4
+
 BASE_URL_RULES = (
     ("block", "net/"),
     ("allow", "example.net/en/"),
@@ -46,6 +49,13 @@ def op4_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return simhash.near_duplicates(docs, SIMHASH_WIDTH, SIMHASH_LIMIT).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 def url_rule_list() -> list[url_rules.Rule]:
     base = [url_rules.prefix_rule(verdict, rule) for verdict, rule in BASE_URL_RULES]
     hosts = [
@@ -93,6 +103,7 @@ def op9_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_factorisation_machine": op4_factorisation_machine,
+    "op6_simhash": op6_simhash,
     "op7_url_filters": op7_url_filters,
     "op8_source_mixing": op8_source_mixing,
     "op9_trie_bpe": op9_trie_bpe,
