@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staycohort.llm import factorisation, mixing, quality_rules, simhash, trie_bpe, url_rules
+from staycohort.llm import factorisation, lattice, mixing, quality_rules, simhash, trie_bpe, url_rules
 from staycohort.llm.common import crc_of_id
 
 #: Share of a language's good documents that the quality rules may reject, and the
@@ -32,11 +32,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies; every executor has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return quality_rules.verdicts(docs, labels, QUALITY_RISK, QUALITY_DOUBT)
 
 
+def op3_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    pieces = lattice.load_pieces(tokenizer_file("piece_bpe_32k.model"))
+    return lattice.scored(docs, crc_of_id() % 7 == 2, pieces)
+
+
 def op4_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     held_out = F.coalesce(crc_of_id() % 3 == 1, F.lit(False))
@@ -82,13 +95,6 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mixture(docs, mixing.smoothed_weights(docs, MIXING_EXPONENT), MIXING_SEED)
 
 
-def tokenizer_file(name: str) -> str:
-    """Where a public tokenizer's file lies; every executor has the package."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op9_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = trie_bpe.encode_and_decode(docs, tokenizer_file("word_bpe_49k.json"))
@@ -102,6 +108,7 @@ def op9_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_lattice_score": op3_lattice_score,
     "op4_factorisation_machine": op4_factorisation_machine,
     "op6_simhash": op6_simhash,
     "op7_url_filters": op7_url_filters,
