@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staycohort.llm import factorisation, lattice, mixing, quality_rules, simhash, trie_bpe, url_rules
+from staycohort.llm import factorisation, lattice, mixing, quality_rules, recompression, simhash, trie_bpe, url_rules
 from staycohort.llm.common import crc_of_id
 
 #: Share of a language's good documents that the quality rules may reject, and the
@@ -62,6 +62,13 @@ def op4_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return recompression.remove_repeats(docs, joined=True).select(
+        "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return simhash.near_duplicates(docs, SIMHASH_WIDTH, SIMHASH_LIMIT).select(
@@ -110,6 +117,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_lattice_score": op3_lattice_score,
     "op4_factorisation_machine": op4_factorisation_machine,
+    "op5_recompression": op5_recompression,
     "op6_simhash": op6_simhash,
     "op7_url_filters": op7_url_filters,
     "op8_source_mixing": op8_source_mixing,
