@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staycohort.llm import factorisation, lattice, mixing, quality_rules, recompression, simhash, trie_bpe, url_rules
+from staycohort.llm import factorisation, hilbert, lattice, mixing, quality_rules, recompression, simhash, trie_bpe, url_rules
 from staycohort.llm.common import crc_of_id
 
 #: Share of a language's good documents that the quality rules may reject, and the
@@ -113,6 +113,10 @@ def op9_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, places=20)
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_lattice_score": op3_lattice_score,
@@ -122,4 +126,5 @@ QUERIES = {
     "op7_url_filters": op7_url_filters,
     "op8_source_mixing": op8_source_mixing,
     "op9_trie_bpe": op9_trie_bpe,
+    "op10_hilbert_neighbours": op10_hilbert_neighbours,
 }
