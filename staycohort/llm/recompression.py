@@ -221,7 +221,7 @@ def _candidates(words: list[bytes], found: dict[str, np.ndarray], begin: int, sh
 def _searched(batch: pa.RecordBatch, namer: Namer) -> Iterator[tuple[int, list[bytes], np.ndarray, int, np.ndarray | None, bool]]:
     """For each row: its words, the names of its part, where it begins there, its candidate
     windows (None if another document searches in its place) and whether it has copies."""
-    shared_of = batch["shared"]
+    shared_of = batch["__shared"]
     for rows, words, names, doc in _parsed(batch, namer):
         found = symbols(names, doc)
         edges = np.searchsorted(found["doc"], np.arange(rows.start, rows.stop + 1))
@@ -246,7 +246,7 @@ def _send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     here one row, marked as known to repeat."""
     namer = Namer()
     for batch in batches:
-        key_id, key_text = batch["key_id"].to_numpy(), batch["key_text"].to_numpy()
+        key_id, key_text = batch["__key_id"].to_numpy(), batch["__key_text"].to_numpy()
         of, at, part, hashes = [], [], None, None
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -350,35 +350,36 @@ def remove_repeats(docs: DataFrame, joined: bool = False) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     kept = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    texts = docs.select(*_keys(), "text")
+    texts = docs.select(*_keys(), "text")  # only below do keys stand beside the caller's columns
     sent = texts.mapInArrow(_send_symbols, "sym bigint, spread int, key_id bigint, key_text int, idx int")
     place = F.when(F.col("spread") < 2, 0).otherwise(F.col("spread"))
     met = sent.repartition("sym", place).sortWithinPartitions("sym", "spread", "key_id", "key_text", "idx")
     shared = materialised(
         met.mapInArrow(_shared_symbols, "key_id bigint, key_text int, idx int")
-        .groupBy("key_id", "key_text")
-        .agg(F.collect_set("idx").alias("shared"))
+        .groupBy(F.col("key_id").alias("__key_id"), F.col("key_text").alias("__key_text"))
+        .agg(F.collect_set("idx").alias("__shared"))
     )
 
     id_key, text_key = _keys()
-    keyed = docs.select(*kept).withColumns({"key_id": id_key, "key_text": text_key})
-    searched = keyed.join(shared, ["key_id", "key_text"], "left")
-    windows = searched.select("key_id", "key_text", "text", "shared").mapInArrow(
+    keyed = docs.select(*kept).withColumns({"__key_id": id_key, "__key_text": text_key})
+    keys = ["__key_id", "__key_text"]
+    searched = keyed.join(shared, keys, "left")
+    windows = searched.select(*keys, "text", "__shared").mapInArrow(
         _send_windows, "h bigint, c int, known boolean, key_id bigint, key_text int, pos int"
     )
     lone = (
         windows.repartition("h")
         .sortWithinPartitions("h", "c")
         .mapInArrow(_lone_windows, "key_id bigint, key_text int, pos int")
-        .groupBy("key_id", "key_text")
-        .agg(F.collect_set("pos").alias("lone"))
+        .groupBy(F.col("key_id").alias("__key_id"), F.col("key_text").alias("__key_text"))
+        .agg(F.collect_set("pos").alias("__lone"))
     )
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         namer = Namer()
         for batch in batches:
             out, totals, removed = [], [], []
-            lone_of, texts = batch["lone"], batch["text"]
+            lone_of, texts = batch["__lone"], batch["text"]
             for row, words, _, _, found, copied in _searched(batch, namer):
                 covered = _covered(len(words), None if copied else found, lone_of[row].as_py() or [])
                 totals.append(len(words))
@@ -393,4 +394,4 @@ def remove_repeats(docs: DataFrame, joined: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_pydict(columns)
 
     fields = docs.select(*kept).schema.fields + [T.StructField(c, T.LongType()) for c in ("n_words", "n_removed")]
-    return searched.join(lone, ["key_id", "key_text"], "left").mapInArrow(finish, T.StructType(fields))
+    return searched.join(lone, keys, "left").mapInArrow(finish, T.StructType(fields))

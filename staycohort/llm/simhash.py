@@ -215,11 +215,11 @@ def keep_one(docs: DataFrame, width: int, limit: int) -> DataFrame:
         found.join(_classes(found, limit), F.col("__fp") == F.col("fp"))
         .groupBy("root")
         .agg(F.min(F.struct(F.col("doc_id").isNull(), "key_id", "key_text")).alias("one"))
-        .select("one.key_id", "one.key_text")
+        .select(F.col("one.key_id").alias("__one_id"), F.col("one.key_text").alias("__one_text"))
         .distinct()
     )
     id_key, text_key = row_key()
     keyed = docs.withColumns({"__key_id": id_key, "__key_text": text_key})
-    same = (F.col("__key_id") == F.col("key_id")) & (F.col("__key_text") == F.col("key_text"))
+    same = (F.col("__key_id") == F.col("__one_id")) & (F.col("__key_text") == F.col("__one_text"))
     rows = keyed.join(kept, same, "left_semi").dropDuplicates(["__key_id", "__key_text"])
     return rows.select(*docs.columns)
