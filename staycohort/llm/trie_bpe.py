@@ -19,9 +19,11 @@ other columns are kept, and ones named ids or decoded are replaced.
 
 from __future__ import annotations
 
+import gc
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -32,8 +34,8 @@ from pyspark.sql import types as T
 
 from staycohort.llm.common import small_batches
 
-#: Words whose encodings a task keeps between batches.
-KEPT_WORDS = 500_000
+#: Words whose encodings a task keeps between batches: up to so many of late, and as many before.
+KEPT_WORDS = 350_000
 
 _NEVER = float("inf")
 
@@ -68,6 +70,7 @@ class TrieEncoder:
         self._starts: dict[int, list[tuple[int, float, float]]] = {}
         self._may_follow: dict[tuple[int, int], bool] = {}
         self._whole: dict[str, int | None] = {}
+        self.endings = {t[k:] for t in ids for k in range(len(t.removesuffix(self.suffix)))}
         self.longest = max(len(t.removesuffix(self.suffix)) for t in ids)
         self.characters = byte_characters()
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
@@ -76,6 +79,7 @@ class TrieEncoder:
         self.words = regex.compile(split.replace(r"[^\s", f"[^{spaces}")).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def _spine(self, token: int, side: int, kept: dict) -> list[tuple[int, float, float]]:
         """The tokens that stood at one end of `token` while it was built: each with
@@ -129,8 +133,11 @@ class TrieEncoder:
     def _last_token(self, letters: str, end: int, mark: str, tokens: list[int]) -> tuple[int, int]:
         """The last token of letters[:end] + mark, and where it starts."""
         ids, follows = self.ids, self._may_follow
-        for start in range(max(0, end - self.longest), end):
+        # one token fits, so the order of trial is free: short ones first, to stop early
+        for start in range(end - 1, max(0, end - self.longest) - 1, -1):
             piece = letters[start:end] + mark if mark else letters[start:end]
+            if piece not in self.endings:
+                break
             if piece in ids:
                 token = self._whole[piece] if piece in self._whole else self.whole(piece)
                 if token is None:
@@ -141,7 +148,9 @@ class TrieEncoder:
 
     def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """Ids of each distinct word, by one depth-first walk."""
-        spelled = sorted(("".join(map(self.characters.__getitem__, w.encode("utf-8"))), w) for w in set(words))
+        spell = self.characters.__getitem__
+        # printable ASCII stands for itself
+        spelled = sorted((w if w.isascii() and w.isprintable() else "".join(map(spell, w.encode("utf-8"))), w) for w in set(words))
         out: dict[str, tuple[int, ...]] = {}
         tokens, starts, before = [-1], [-1], ""
         for letters, word in spelled:
@@ -189,8 +198,11 @@ class TrieEncoder:
         split = [self._chunks(t) for t in texts]
         present = set(chain.from_iterable(split))
         if len(self.known) + len(present) > KEPT_WORDS:
-            self.known = {c: self.known[c] for c in present if c in self.known}
-        new = {c: self.pieces(c) for c in present if c not in self.known}
+            self.older, self.known = self.known, {}
+        missing = present.difference(self.known)
+        for chunk in missing & self.older.keys():
+            self.known[chunk] = self.older[chunk]
+        new = {c: self.pieces(c) for c in missing.difference(self.known)}
         ids_of_word = self.encode_words(set(chain.from_iterable(new.values())).difference(self.specials))
         ids_of_word.update({s: (i,) for s, i in self.specials.items()})
         for chunk, words in new.items():
@@ -205,6 +217,12 @@ class TrieEncoder:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> TrieEncoder:
+    """The encoder of this process; its kept words serve the tasks that follow, too."""
+    return TrieEncoder(path)
+
+
 def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
     """`docs` with `ids` (array of int) and `decoded`, the ids decoded again."""
     small_batches(docs.sparkSession)
@@ -213,7 +231,8 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
     at = kept.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = TrieEncoder(path)
+        coder = encoder(path)
+        gc.disable()  # kept words form no cycles, and scanning them over and over is slow
         for batch in batches:
             found = coder.encode(batch.column(at).to_pylist())
             ends = np.cumsum([0, *map(len, found)])
