@@ -25,7 +25,7 @@ import math
 import struct
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +38,12 @@ from staycohort.llm.common import materialised, row_key, small_batches
 HEAD_WORDS, HEAD_BYTES = 150_000, 64
 #: Distinct words that a task counts before it hands them on.
 COUNTED_WORDS = 300_000
+#: Words whose lattices are worked out together, and cells (words by length) at once.
+GATHERED_WORDS, LATTICE_CELLS = 20_000, 400_000
 ROUNDS = 2
 _SMOOTHING = 0.1
 _SPACE = "▁"
+_CHARACTER_BITS = 21
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -50,16 +53,26 @@ def words(text: str | None) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Pieces:
-    """`ids`: a piece's id, -1 for a string that only begins pieces; `spelled`: ids of the
-    byte pieces; `end`: the id of the end of a text; `log_p`: natural logarithms by id."""
-
-    ids: dict[str, int]
-    spelled: tuple[int, ...]
+    """A vocabulary as a trie of characters. Step k goes by character `steps[k] % 2**21` from
+    node `steps[k] >> 21` to node k + 1, node 0 being the root; `piece` is the id at each
+    node, -1 for none; `spelled`: ids of the byte pieces; `end`: the id of the end of a
+    text; `log_p`: natural logarithms by id."""
+
+    steps: np.ndarray
+    reached: np.ndarray
+    piece: np.ndarray
+    spelled: np.ndarray
     end: int
     log_p: np.ndarray
 
     def weighted(self, log_p: np.ndarray) -> Pieces:
-        return Pieces(self.ids, self.spelled, self.end, log_p)
+        return replace(self, log_p=log_p)
+
+    def step(self, nodes: np.ndarray, characters: np.ndarray) -> np.ndarray:
+        """The nodes reached, -1 where no piece goes on so."""
+        wanted = (nodes << _CHARACTER_BITS) | characters
+        at = np.minimum(np.searchsorted(self.steps, wanted), len(self.steps) - 1)
+        return np.where(self.steps[at] == wanted, self.reached[at], -1)
 
 
 def load_pieces(path: str) -> Pieces:
@@ -68,74 +81,126 @@ def load_pieces(path: str) -> Pieces:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     n = model.get_piece_size()
-    ids: dict[str, int] = {}
+    steps: dict[int, int] = {}
+    piece = [-1]
     for i in range(n):
         if model.is_byte(i) or model.is_control(i) or model.is_unknown(i):
             continue
-        piece = model.id_to_piece(i)
-        for k in range(1, len(piece)):
-            ids.setdefault(piece[:k], -1)
-        ids[piece] = i
+        node = 0
+        for character in model.id_to_piece(i):
+            key = (node << _CHARACTER_BITS) | ord(character)
+            if key not in steps:
+                steps[key] = len(piece)
+                piece.append(-1)
+            node = steps[key]
+        piece[node] = i
+    keys = np.array(sorted(steps), np.int64)
     by_score = np.argsort([-model.get_score(i) for i in range(n)], kind="stable")
     odds = np.empty(n)
     odds[by_score] = 1 / (np.arange(n) + 10.0)
-    spelled = tuple(model.piece_to_id(f"<0x{b:02X}>") for b in range(256))
-    return Pieces(ids, spelled, model.eos_id(), np.log(odds / odds.sum()))
-
-
-def _edges(text: str, pieces: Pieces) -> list[list[tuple[int, tuple[int, ...]]]]:
-    """For each position, the (start, ids) of the lattice's edges that end there."""
-    n, ids = len(text), pieces.ids
-    ending: list[list[tuple[int, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
-    for start in range(n):
-        if ids.get(text[start], -1) < 0:
-            spelled = text[start].encode("utf-8", "surrogatepass")
-            ending[start + 1].append((start, tuple(pieces.spelled[b] for b in spelled)))
-        for end in range(start + 1, n + 1):
-            piece = ids.get(text[start:end])
-            if piece is None:
-                break
-            if piece >= 0:
-                ending[end].append((start, (piece,)))
-    return ending
-
-
-def _sum(logs: list[float]) -> float:
-    if len(logs) == 1:
-        return logs[0]
-    top = max(logs)
-    return top + math.log(math.fsum([math.exp(x - top) for x in logs]))
-
-
-def _forward(ending: list[list[tuple[int, tuple[int, ...]]]], log_p: list[float]) -> list[float]:
-    forward = [0.0] * len(ending)
-    for end in range(1, len(ending)):
-        forward[end] = _sum(
-            [forward[s] + (log_p[i[0]] if len(i) == 1 else math.fsum(log_p[k] for k in i)) for s, i in ending[end]]
-        )
-    return forward
+    spelled = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
+    return Pieces(
+        keys, np.array([steps[k] for k in keys.tolist()]), np.array(piece), spelled, model.eos_id(), np.log(odds / odds.sum())
+    )
 
 
-def log_likelihood(word: bytes, pieces: Pieces, log_p: list[float]) -> float:
-    """The natural logarithm of a word's probability over all its segmentations."""
-    return _forward(_edges(_SPACE + word.decode("utf-8", "surrogatepass"), pieces), log_p)[-1]
+class Lattices:
+    """The lattices of words of one length, with all forward sums.
 
+    `ending[e]` holds (start, rows, ids): the words in which a piece lies between two
+    positions, and which piece. `bytes_of[e]` holds (rows, ids a row) for the characters
+    before e that are no piece and are spelled in bytes.
+    """
 
-def expected_counts(word: bytes, times: float, pieces: Pieces, log_p: list[float], into: np.ndarray) -> None:
-    """Add to `into` how often each piece is expected in `times` copies of a word."""
-    ending = _edges(_SPACE + word.decode("utf-8", "surrogatepass"), pieces)
-    forward = _forward(ending, log_p)
-    share = [0.0] * len(ending)  # copies whose segmentation has a border here
-    share[-1] = times
-    for end in range(len(ending) - 1, 0, -1):
-        if share[end] == 0.0:
-            continue
-        for start, ids in ending[end]:
-            weight = forward[start] + math.fsum(log_p[i] for i in ids) - forward[end]
-            part = share[end] * math.exp(weight)
-            share[start] += part
-            for i in ids:
-                into[i] += part
+    def __init__(self, characters: np.ndarray, pieces: Pieces) -> None:
+        count, size = characters.shape
+        self.pieces, self.size = pieces, size
+        self.ending: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(size + 1)]
+        self.bytes_of: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(size + 1)]
+        for start in range(size):
+            rows, nodes = np.arange(count), np.zeros(count, np.int64)
+            for end in range(start + 1, size + 1):
+                nodes = pieces.step(nodes, characters[rows, end - 1])
+                alive = nodes >= 0
+                rows, nodes = rows[alive], nodes[alive]
+                if not len(rows):
+                    break
+                ids = pieces.piece[nodes]
+                whole = ids >= 0
+                if whole.any():
+                    self.ending[end].append((start, rows[whole], ids[whole]))
+            single = np.zeros(count, bool)
+            if self.ending[start + 1] and self.ending[start + 1][-1][0] == start:
+                single[self.ending[start + 1][-1][1]] = True
+            for character in np.unique(characters[~single, start]):
+                rows = np.flatnonzero(~single & (characters[:, start] == character))
+                spelled = chr(character).encode("utf-8", "surrogatepass")
+                self.bytes_of[start + 1].append((rows, pieces.spelled[list(spelled)]))
+        self.forward = np.full((count, size + 1), -np.inf)
+        self.forward[:, 0] = 0
+        for end in range(1, size + 1):
+            for start, rows, ids in self.ending[end]:
+                reach = self.forward[rows, start] + pieces.log_p[ids]
+                self.forward[rows, end] = np.logaddexp(self.forward[rows, end], reach)
+            for rows, ids in self.bytes_of[end]:
+                reach = self.forward[rows, end - 1] + pieces.log_p[ids].sum()
+                self.forward[rows, end] = np.logaddexp(self.forward[rows, end], reach)
+
+    def add_expected(self, times: np.ndarray, into: np.ndarray) -> None:
+        """Add to `into` how often each piece is expected in `times` copies of the words."""
+        log_p, forward = self.pieces.log_p, self.forward
+        share = np.zeros_like(forward)  # copies whose segmentation has a border here
+        share[:, -1] = times
+        for end in range(self.size, 0, -1):
+            for start, rows, ids in self.ending[end]:
+                part = share[rows, end] * np.exp(forward[rows, start] + log_p[ids] - forward[rows, end])
+                share[rows, start] += part
+                np.add.at(into, ids, part)
+            for rows, ids in self.bytes_of[end]:
+                part = share[rows, end] * np.exp(forward[rows, end - 1] + log_p[ids].sum() - forward[rows, end])
+                share[rows, end - 1] += part
+                np.add.at(into, ids, part.sum())
+
+
+def lattices(found: list[bytes], pieces: Pieces) -> Iterator[tuple[np.ndarray, Lattices]]:
+    """Places in `found` and the lattices of the words there, by length, in bounded parts."""
+    texts = [_SPACE + w.decode("utf-8", "surrogatepass") for w in found]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    for size in np.unique(sizes).tolist():
+        places = np.flatnonzero(sizes == size)
+        most = max(1, LATTICE_CELLS // size)
+        for k in range(0, len(places), most):
+            part = places[k : k + most]
+            data = "".join([texts[i] for i in part]).encode("utf-32-le", "surrogatepass")
+            yield part, Lattices(np.frombuffer(data, "<u4").reshape(len(part), size).astype(np.int64), pieces)
+
+
+def log_likelihoods(found: list[bytes], pieces: Pieces) -> np.ndarray:
+    """Natural logarithms of the words' probabilities over all their segmentations."""
+    out = np.zeros(len(found))
+    for places, lattice in lattices(found, pieces):
+        out[places] = lattice.forward[:, -1]
+    return out
+
+
+def expected_counts(found: list[bytes], times: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """How often each piece is expected in so many copies of each word."""
+    into = np.zeros(len(pieces.log_p))
+    for places, lattice in lattices(found, pieces):
+        lattice.add_expected(times[places], into)
+    return into
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together, so that many words of one length meet."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        kept.append(batch)
+        if sum(b.num_rows for b in kept) >= GATHERED_WORDS:
+            yield pa.Table.from_batches(kept)
+            kept = []
+    if kept:
+        yield pa.Table.from_batches(kept)
 
 
 def word_counts(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -174,18 +239,16 @@ def fit(counts: DataFrame, texts: int, pieces: Pieces, rounds: int = ROUNDS) ->
     """
     trained = counts.where("trained > 0").select("word", "trained")
     for _ in range(rounds):
-        log_p = pieces.log_p.tolist()
 
-        def expect(batches: Iterator[pa.RecordBatch], pieces: Pieces = pieces, log_p: list[float] = log_p):
-            into = np.zeros(len(log_p))
-            for batch in batches:
-                for word, n in zip(batch["word"].to_pylist(), batch["trained"].to_pylist(), strict=True):
-                    expected_counts(word, float(n), pieces, log_p, into)
+        def expect(batches: Iterator[pa.RecordBatch], pieces: Pieces = pieces) -> Iterator[pa.RecordBatch]:
+            into = np.zeros(len(pieces.log_p))
+            for table in _gathered(batches):
+                into += expected_counts(table["word"].to_pylist(), table["trained"].to_numpy().astype(float), pieces)
             at = np.nonzero(into)[0]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(into[at])], ["piece", "n"])
 
         summed = trained.mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-        expected = np.full(len(log_p), _SMOOTHING)
+        expected = np.full(len(pieces.log_p), _SMOOTHING)
         for row in summed:
             expected[row["piece"]] += row["n"]
         expected[pieces.end] += texts
@@ -197,10 +260,9 @@ def with_likelihood(counts: DataFrame, pieces: Pieces) -> DataFrame:
     """(word, trained, log_p) of every distinct word; log_p to base 10."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_p = pieces.log_p.tolist()
-        for batch in batches:
-            found = [log_likelihood(w, pieces, log_p) / math.log(10) for w in batch["word"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["word"], batch["trained"], pa.array(found, pa.float64())], ["word", "trained", "log_p"])
+        for table in _gathered(batches):
+            found = log_likelihoods(table["word"].to_pylist(), pieces) / math.log(10)
+            yield from table.append_column("log_p", pa.array(found, pa.float64())).to_batches()
 
     return counts.select("word", "trained").mapInArrow(run, "word binary, trained bigint, log_p double")
 

@@ -80,6 +80,14 @@ def base_score(tokens, counts):
     return sum(math.log10((counts[t] + 1) / (total + distinct + 1)) for t in tokens)
 
 
+def piece_names(path):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    special = (model.is_byte, model.is_control, model.is_unknown)
+    return {model.id_to_piece(i): i for i in range(model.get_piece_size()) if not any(f(i) for f in special)}
+
+
 def segmentations(text, ids):
     """Every way to write a text as pieces."""
     if not text:
