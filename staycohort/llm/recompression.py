@@ -17,7 +17,7 @@ within the rows a task holds is sent there once, and its other rows are spread,
 passage that a third of all documents share makes no hot key. Documents of equal words
 meet as wholes first, and one of them stands for all in the search for windows.
 
-Nulls, ties and the rest: a null text has no words; all occurrences of a repeat go, the
+Nulls, ties and the rest: a null text has no words and stays null unless joined; all occurrences of a repeat go, the
 first too; fewer words than a window are never touched; rows equal in id and text are each
 other's repeat; other columns are kept; no documents give no rows. Two different windows
 are taken for equal if all 96 bits agree, about once in 10^16 pairs of 10^6 windows.
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from staycohort.llm.common import materialised, small_batches, words_of
+from staycohort.llm.common import materialised, small_batches
 
 WINDOW = 35
 #: Rounds of pairing: symbols of about seven words, decided by about three times as many.
 ROUNDS = 7
-#: Words that a task parses at once, and names of words that it remembers.
-PARSED_WORDS, REMEMBERED_WORDS = 400_000, 1_000_000
+#: Bytes of text that a task parses at once.
+PARSED_BYTES = 2_000_000
 
 _FAR = 1 << 40
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -59,19 +60,25 @@ def _pair(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     return _mix(a * _U(0x9E3779B97F4A7C15) + _mix(b + _U(salt)))
 
 
-class Namer:
-    """Names of words, remembered up to a bound."""
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LETTER = _mix(np.arange(1, 257, dtype=_U) * _U(0xA0761D6478BD642F))
 
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > REMEMBERED_WORDS:
-            known.clear()
-        for word in set(words).difference(known):
-            known[word] = xxh64_intdigest(word)
-        return np.fromiter(map(known.__getitem__, words), _U, len(words))
+def word_names(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the words of some UTF-8 text, hashed from all their bytes, and where each begins."""
+    text = np.frombuffer(data, np.uint8)
+    inside = ~_SPACE[text]
+    change = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
+    begins, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+    if not len(begins):
+        return np.zeros(0, _U), begins
+    sizes = ends - begins
+    first = np.cumsum(sizes) - sizes
+    powers = np.full(int(sizes.max()), 0x9E3779B97F4A7C15, _U)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    weighted = _LETTER[text[inside]] * powers[np.arange(int(sizes.sum())) - np.repeat(first, sizes)]
+    return _mix(np.add.reduceat(weighted, first) + sizes.astype(_U)), begins
 
 
 def symbols(names: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
@@ -129,41 +136,56 @@ def window_hashes(names: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray
     return out[0].view(np.int64), (out[1] >> _U(32)).astype(np.uint32).view(np.int32)
 
 
-def _parsed(batch: pa.RecordBatch, namer: Namer) -> Iterator[tuple[range, list[list[bytes]], np.ndarray, np.ndarray]]:
-    """Parts of a batch of bounded size: its rows, their words, names and row numbers."""
-    rows, words, size = [], [], 0
+@dataclass(frozen=True)
+class _Part:
+    """Some rows of a batch, laid end to end: `rows`, `data` of each, and by word its name
+    and place in `rows`; `begin` has the first word of each row and the number of all."""
+
+    rows: range
+    data: list[bytes]
+    names: np.ndarray
+    doc: np.ndarray
+    begin: np.ndarray
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.begin)
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[_Part]:
+    """Parts of a batch of bounded size; a longer text is a part of its own."""
+    data, size, begin = [], 0, 0
     texts = batch["text"]
     for row in range(batch.num_rows):
-        found = words_of(texts[row].as_py())
-        rows.append(row)
-        words.append(found)
-        size += len(found)
-        if size >= PARSED_WORDS or row == batch.num_rows - 1:
-            flat = [w for part in words for w in part]
-            doc = np.repeat(np.array(rows), [len(w) for w in words])
-            yield range(rows[0], row + 1), words, namer(flat), doc
-            rows, words, size = [], [], 0
+        data.append((texts[row].as_py() or "").encode("utf-8", "surrogatepass"))
+        size += len(data[-1]) + 1
+        if size >= PARSED_BYTES or row == batch.num_rows - 1:
+            names, at = word_names(b" ".join(data))
+            starts = np.cumsum([0, *(len(d) + 1 for d in data)])[:-1]
+            doc = np.searchsorted(starts, at, "right") - 1
+            yield _Part(range(begin, row + 1), data, names, doc, np.searchsorted(doc, np.arange(len(data) + 1)))
+            data, size, begin = [], 0, row + 1
 
 
-def _whole(words: list[bytes]) -> int:
-    return xxh64_intdigest(b" ".join(words), seed=5) - (1 << 63)
+def _whole(data: bytes) -> int:
+    """A name for all words of a text together."""
+    return xxh64_intdigest(b" ".join(data.split()), seed=5) - (1 << 63)
 
 
 def _send_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(sym, spread, key_id, key_text, idx): symbols by place in their document, and each
     document as a whole with idx -1. spread: 0 once here, 1 the first of several here,
     from 2 a further one."""
-    namer = Namer()
     for batch in batches:
         key_id, key_text = batch["key_id"].to_numpy(), batch["key_text"].to_numpy()
-        for rows, words, names, doc in _parsed(batch, namer):
-            found = symbols(names, doc)
-            sizes = np.bincount(found["doc"] - rows.start, minlength=len(rows))
+        for part in _parts(batch):
+            found = symbols(part.names, part.doc)
+            sizes = np.bincount(found["doc"], minlength=len(part.data))
             place = np.arange(len(found["doc"])) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            long = [r for r, w in zip(rows, words, strict=True) if len(w) >= WINDOW]
-            wholes = np.array([_whole(words[r - rows.start]) for r in long], np.int64)
+            long = np.flatnonzero(part.sizes >= WINDOW)
+            wholes = np.array([_whole(part.data[i]) for i in long], np.int64)
             sym = np.concatenate([found["name"], wholes])
-            of = np.concatenate([found["doc"], np.array(long, np.int64)])
+            of = np.concatenate([found["doc"], long]) + part.rows.start
             idx = np.concatenate([place, np.full(len(long), -1)])
             _, first, where, times = np.unique(sym, return_index=True, return_inverse=True, return_counts=True)
             spread = np.where(times[where] == 1, 0, 2 + np.arange(len(sym)))
@@ -204,82 +226,65 @@ def _shared_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield sift(pending, last_sym, None)
 
 
-def _candidates(words: list[bytes], found: dict[str, np.ndarray], begin: int, shared: list[int]) -> np.ndarray:
-    """Which windows of a document hold no symbol that occurs once in the corpus."""
-    n = len(words) - WINDOW + 1
-    lone = np.ones(len(found["low"]), bool)
-    lone[[i for i in shared if i >= 0]] = False
-    start = np.maximum(found["high"][lone] - begin - WINDOW, 0)
-    stop = np.minimum(found["low"][lone] - begin, n - 1) + 1
+def _lists(batch: pa.RecordBatch, column: str, rows: range) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in the rows' lists, and the place in `rows` of each."""
+    part = batch[column].slice(rows.start, len(rows))
+    sizes = np.array([0 if n is None else n for n in part.value_lengths().to_pylist()], np.int64)
+    return part.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(rows)), sizes)
+
+
+def _candidates(part: _Part, shared: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """By word, whether the window from there holds no symbol that occurs once in the corpus."""
+    found = symbols(part.names, part.doc)
+    first = np.searchsorted(found["doc"], np.arange(len(part.data)))
+    lone = np.ones(len(found["doc"]), bool)
+    inner = shared >= 0
+    lone[first[of[inner]] + shared[inner]] = False
+    doc = found["doc"][lone]
+    last = part.begin[1:][doc] - WINDOW
+    start = np.maximum(found["high"][lone] - WINDOW, part.begin[doc])
+    stop = np.minimum(found["low"][lone], last) + 1
     real = start < stop
-    ruled_out = np.zeros(n + 1, np.int64)
-    np.add.at(ruled_out, start[real], 1)
-    np.add.at(ruled_out, stop[real], -1)
-    return np.cumsum(ruled_out[:-1]) == 0
-
-
-def _searched(batch: pa.RecordBatch, namer: Namer) -> Iterator[tuple[int, list[bytes], np.ndarray, int, np.ndarray | None, bool]]:
-    """For each row: its words, the names of its part, where it begins there, its candidate
-    windows (None if another document searches in its place) and whether it has copies."""
-    shared_of = batch["__shared"]
-    for rows, words, names, doc in _parsed(batch, namer):
-        found = symbols(names, doc)
-        edges = np.searchsorted(found["doc"], np.arange(rows.start, rows.stop + 1))
-        begin = 0
-        for i, row in enumerate(rows):
-            n = len(words[i])
-            shared = shared_of[row].as_py() or []
-            copied = n >= WINDOW and (-1 in shared or -2 in shared)
-            if n < WINDOW:
-                windows = np.zeros(0, bool)
-            elif copied and -2 not in shared:
-                windows = None
-            else:
-                own = {k: v[edges[i] : edges[i + 1]] for k, v in found.items()}
-                windows = _candidates(words[i], own, begin, shared)
-            yield row, words[i], names, begin, windows, copied
-            begin += n
+    n = len(part.names) + 1
+    ruled_out = np.cumsum(np.bincount(start[real], minlength=n) - np.bincount(stop[real], minlength=n))[:-1]
+    return (ruled_out == 0) & (np.arange(len(part.names)) <= part.begin[1:][part.doc] - WINDOW)
+
+
+def _searched(batch: pa.RecordBatch) -> Iterator[tuple[_Part, np.ndarray, np.ndarray, np.ndarray]]:
+    """Parts with their candidate windows, and by row whether it has copies and whether one
+    of them searches in its place."""
+    for part in _parts(batch):
+        shared, of = _lists(batch, "__shared", part.rows)
+        copied, first = np.zeros(len(part.data), bool), np.zeros(len(part.data), bool)
+        copied[of[shared < 0]] = True
+        first[of[shared == -2]] = True
+        yield part, _candidates(part, shared, of), copied, copied & ~first
 
 
 def _send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, c, known, key_id, key_text, pos) of the candidate windows; of those that repeat
     here one row, marked as known to repeat."""
-    namer = Namer()
     for batch in batches:
         key_id, key_text = batch["__key_id"].to_numpy(), batch["__key_text"].to_numpy()
-        of, at, part, hashes = [], [], None, None
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def close() -> None:
-            if of:
-                parts.append((np.concatenate(of), np.concatenate(at), *[np.concatenate(x) for x in zip(*picked, strict=True)]))
-
-        picked: list[tuple[np.ndarray, np.ndarray]] = []
-        for row, _, names, begin, windows, _ in _searched(batch, namer):
-            if part is not names:
-                close()
-                of, at, picked, part = [], [], [], names
-                hashes = window_hashes(names, WINDOW) if len(names) >= WINDOW else None
-            if windows is not None and windows.any():
-                pos = np.flatnonzero(windows)
-                of.append(np.full(len(pos), row))
-                at.append(pos)
-                picked.append((hashes[0][begin + pos], hashes[1][begin + pos]))
-        close()
-        for rows, pos, h, c in parts:
-            both = np.stack([h, c.astype(np.int64)], 1)
-            order = np.lexsort((both[:, 1], both[:, 0]))
-            differs = np.concatenate([[True], (both[order][1:] != both[order][:-1]).any(1)])
+        for part, windows, _, silent in _searched(batch):
+            at = np.flatnonzero(windows & ~silent[part.doc])
+            if not len(at):
+                continue
+            hashes, checks = window_hashes(part.names, WINDOW)
+            h, c = hashes[at], checks[at]
+            order = np.lexsort((c, h))
+            differs = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])])
             first = order[differs]
             known = np.diff(np.flatnonzero(differs), append=len(order)) > 1
+            of = part.doc[at[first]]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(h[first]),
                     pa.array(c[first], pa.int32()),
                     pa.array(known),
-                    pa.array(key_id[rows[first]]),
-                    pa.array(key_text[rows[first]]),
-                    pa.array(pos[first], pa.int32()),
+                    pa.array(key_id[of + part.rows.start]),
+                    pa.array(key_text[of + part.rows.start]),
+                    pa.array(at[first] - part.begin[of], pa.int32()),
                 ],
                 ["h", "c", "known", "key_id", "key_text", "pos"],
             )
@@ -310,23 +315,18 @@ def _lone_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield sift(pending, before, None)
 
 
-def _covered(n: int, windows: np.ndarray | None, lone: list[int]) -> np.ndarray:
-    """Which of a document's n words lie in a window that occurs elsewhere."""
-    if windows is None:
-        return np.ones(n, bool)
-    if not len(windows):
-        return np.zeros(n, bool)
+def _covered(part: _Part, windows: np.ndarray, copied: np.ndarray, lone: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """By word, whether it lies in a window that occurs elsewhere."""
     repeated = windows.copy()
-    repeated[lone] = False
-    edges = np.zeros(n + 1, np.int64)
-    edges[: len(repeated)] += repeated
-    edges[WINDOW : WINDOW + len(repeated)] -= repeated
-    return np.cumsum(edges[:-1]) > 0
+    repeated[part.begin[of] + lone] = False
+    at = np.flatnonzero(repeated)
+    n = len(part.names) + WINDOW
+    edges = np.bincount(at, minlength=n) - np.bincount(at + WINDOW, minlength=n)
+    return (np.cumsum(edges)[: len(part.names)] > 0) | copied[part.doc]
 
 
-def cut(text: str, covered: np.ndarray) -> str:
+def cut(data: bytes, covered: np.ndarray) -> str:
     """A text without the covered words and the white space after each of them."""
-    data = text.encode("utf-8", "surrogatepass")
     spans = [m.start() for m in _WORD.finditer(data)] + [len(data)]
     parts = [data[: spans[0]]]
     parts += [data[spans[i] : spans[i + 1]] for i in np.flatnonzero(~covered)]
@@ -364,7 +364,8 @@ def remove_repeats(docs: DataFrame, joined: bool = False) -> DataFrame:
     keyed = docs.select(*kept).withColumns({"__key_id": id_key, "__key_text": text_key})
     keys = ["__key_id", "__key_text"]
     searched = keyed.join(shared, keys, "left")
-    windows = searched.select(*keys, "text", "__shared").mapInArrow(
+    # all columns, so that the texts dealt out by key for this search serve the end again
+    windows = searched.mapInArrow(
         _send_windows, "h bigint, c int, known boolean, key_id bigint, key_text int, pos int"
     )
     lone = (
@@ -376,19 +377,22 @@ def remove_repeats(docs: DataFrame, joined: bool = False) -> DataFrame:
     )
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        namer = Namer()
         for batch in batches:
             out, totals, removed = [], [], []
-            lone_of, texts = batch["__lone"], batch["text"]
-            for row, words, _, _, found, copied in _searched(batch, namer):
-                covered = _covered(len(words), None if copied else found, lone_of[row].as_py() or [])
-                totals.append(len(words))
-                removed.append(int(covered.sum()))
-                if joined:
-                    left = b" ".join([words[i] for i in np.flatnonzero(~covered)])
-                    out.append(left.decode("utf-8", "surrogatepass"))
-                else:
-                    out.append(cut(texts[row].as_py(), covered) if removed[-1] else texts[row].as_py())
+            texts = batch["text"]
+            for part, windows, copied, _ in _searched(batch):
+                covered = _covered(part, windows, copied, *_lists(batch, "__lone", part.rows))
+                gone = np.bincount(part.doc[covered], minlength=len(part.data))
+                totals += part.sizes.tolist()
+                removed += gone.tolist()
+                for i, data in enumerate(part.data):
+                    own = covered[part.begin[i] : part.begin[i + 1]]
+                    if joined:
+                        words = data.split()
+                        left = b" ".join(words if not gone[i] else [words[k] for k in np.flatnonzero(~own)])
+                        out.append(left.decode("utf-8", "surrogatepass"))
+                    else:
+                        out.append(cut(data, own) if gone[i] else texts[part.rows[i]].as_py())
             columns = {c: batch[c] for c in kept} | {"text": pa.array(out, pa.string())}
             columns |= {"n_words": pa.array(totals, pa.int64()), "n_removed": pa.array(removed, pa.int64())}
             yield pa.RecordBatch.from_pydict(columns)
