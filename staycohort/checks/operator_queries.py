@@ -204,7 +204,7 @@ def op_join_left_multi(t):
     """Only every fourth admission has a second stay, so some rows find no stay."""
     stay = (F.col("hadm_id") * 10 + F.col("microevent_id") % 2).alias("stay_id")
     cases = t.cultures.where(F.col("hadm_id").isNotNull()).select("microevent_id", "hadm_id", stay)
-    return op.stay_windows(cases, t.stays).select("microevent_id", "stay_id", "intime", "outtime")
+    return op.stay_windows(cases, t.stays, spread="microevent_id").select("microevent_id", "stay_id", "intime", "outtime")
 
 
 @_query
@@ -493,5 +493,5 @@ def op_stay_outcomes(t):
     cases = op.with_resistance_block(_representatives(t, "exact"))
     windows = t.stays.select("stay_id", "hadm_id", "intime", "outtime")
     return op.stay_outcomes(
-        op.stay_cultures(windows, cases), t.stays, t.patients, t.admissions, t.prescriptions
+        op.stay_cultures(windows, cases), t.patients, t.admissions, t.prescriptions
     )

@@ -14,6 +14,9 @@ from staycohort.functions import (
 )
 from staycohort.operators.lookup import join_lookup
 
+# Ids of one time are numbered in blocks of 2^12.
+_ID_BLOCK_BITS = 12
+
 
 def stay_cultures(stays: DataFrame, cultures: DataFrame) -> DataFrame:
     """Every culture of an admission, once for every stay of that admission.
@@ -62,7 +65,7 @@ def target_organisms(
 
 def exclude_specimens(df: DataFrame, specimens=v.EXCLUDED_SPECIMENS) -> DataFrame:
     """Drop the listed specimen types, and rows without a specimen type."""
-    return df.where(~lower_in("spec_type_desc", specimens))
+    return df.where(all_known("spec_type_desc") & ~lower_in("spec_type_desc", specimens))
 
 
 def tested_cultures(df: DataFrame, interpretations=v.INTERPRETATIONS) -> DataFrame:
@@ -94,29 +97,43 @@ def representative_culture(df: DataFrame, keys=("stay_id", "org_name")) -> DataF
 def numbered_cultures(df: DataFrame, keys=("stay_id", "org_name")) -> DataFrame:
     """Add row_num, the place of each culture in the order of `representative_culture`.
 
-    Rows are numbered inside (key, result, hour), and each hour starts after the rows of
-    the earlier ones. A hot key is thereby spread over its hours; only one count per hour
-    meets in the window over the whole key.
+    Rows are numbered inside buckets of one key, result, time and block of ids, which may
+    be small even where a key is charted at a single instant. A bucket starts after the
+    earlier ones of its hour, an hour after the earlier hours; only one count per bucket
+    or hour meets in these sums. The bucket is one column, so the rows are dealt out once.
     """
-    split = df.withColumn("_rank", interpretation_rank("interpretation")).withColumn(
-        "_hour", F.date_trunc("hour", F.col("charttime")).cast("timestamp_ntz")
+    bucket = F.struct(
+        *keys,
+        interpretation_rank("interpretation").alias("_rank"),
+        F.date_trunc("hour", F.col("charttime")).cast("timestamp_ntz").alias("_hour"),
+        F.col("charttime").alias("_time"),
+        F.shiftright("microevent_id", _ID_BLOCK_BITS).alias("_block"),
+    )
+    split = df.withColumn("_bucket", bucket)
+    buckets = split.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows")).select("*", "_bucket.*")
+    hour = Window.partitionBy(*keys, "_rank", "_hour").orderBy("_time", "_block")
+    key = Window.partitionBy(*keys).orderBy("_rank", "_hour")
+
+    def earlier(window):
+        rows = F.sum("_rows").over(window.rowsBetween(Window.unboundedPreceding, -1))
+        return F.coalesce(rows, F.lit(0))
+
+    hours = (
+        buckets.groupBy(*keys, "_rank", "_hour")
+        .agg(F.sum("_rows").alias("_rows"))
+        .select(F.struct(*keys, "_rank", "_hour").alias("_of"), earlier(key).alias("_hour_offset"))
     )
-    in_hour = Window.partitionBy(*keys, "_rank", "_hour").orderBy("charttime", "microevent_id")
-    up_to_hour = Window.partitionBy(*keys).orderBy("_rank", "_hour")
-    earlier = up_to_hour.rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        split.groupBy(*keys, "_rank", "_hour")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_offset", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-        .drop("_rows")
+        buckets.select("_bucket", F.struct(*keys, "_rank", "_hour").alias("_of"), earlier(hour).alias("_offset"))
+        .join(hours, "_of")
+        .select("_bucket", (F.col("_offset") + F.col("_hour_offset")).alias("_before"))
     )
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, "_rank", "_hour")]
-    place = (F.col("_in_hour") + F.col("_offset")).alias("row_num")
+    in_bucket = Window.partitionBy("_bucket").orderBy("charttime", "microevent_id")
+    place = (F.col("_in_bucket") + F.col("_before")).alias("row_num")
     return (
-        split.withColumn("_in_hour", F.row_number().over(in_hour))
-        .alias("a")
-        .join(offsets.alias("b"), same)
-        .select(*[F.col(f"a.{c}") for c in df.columns], place)
+        split.withColumn("_in_bucket", F.row_number().over(in_bucket))
+        .join(offsets, "_bucket")
+        .select(*df.columns, place)
     )
 
 

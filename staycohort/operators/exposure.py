@@ -64,10 +64,16 @@ def treatment_exposure(
 ) -> DataFrame:
     """Add boolean flags for listed drugs started around `at`.
 
-    prior: start in [at - before, at). post: start in [at, at + after]. A width of None
-    leaves that flag out. Equal widths share one join.
+    prior: start in [at - before, at). post: start in [at, at + after]. Widths are in whole
+    hours: None leaves that flag out, 0 makes prior false and post a start at `at` itself,
+    a negative one raises ValueError. Equal widths share one join.
     """
+    if any(width is not None and width < 0 for width in (before, after)):
+        raise ValueError("a width must not be negative")
     starts, columns = listed_starts(prescriptions, drugs), df.columns
+    if before == 0:
+        df = df.withColumn(prior_flag, F.lit(False))
+        columns = df.columns
     for hours in dict.fromkeys(width for width in (before, after) if width):
         width = f"INTERVAL '{hours}' HOUR"
         flags = []
@@ -85,6 +91,11 @@ def treatment_exposure(
             spread,
         ).selectExpr(*columns, *[f"coalesce({near}, false) AS {flag}" for flag, near in flags])
         columns = df.columns
+    if after == 0:
+        exact = starts.selectExpr("hadm_id", "starttime AS _at", "true AS _hit").distinct()
+        df = join_lookup(
+            df.withColumn("_at", F.expr(at)), exact, ["hadm_id", "_at"], "left", spread
+        ).selectExpr(*columns, f"coalesce(_hit, false) AS {post_flag}")
     return df
 
 

@@ -2,8 +2,9 @@
 
 from pyspark.sql import DataFrame
 
-# Parts a key is split into where the left side may hold very many rows of it.
-PARTS = 8
+# Session setting: the parts a key is split into where the left side may hold very many
+# rows of it. On a large cluster, raise it towards the number of cores.
+PARTS_SETTING, DEFAULT_PARTS = "staycohort.lookup.parts", 8
 
 
 def join_lookup(
@@ -12,18 +13,20 @@ def join_lookup(
     keys: list[str],
     how: str,
     spread: str | None = None,
-    parts: int = PARTS,
+    parts: int | None = None,
 ) -> DataFrame:
-    """Join `df` with `table`, which has at most one row per key.
+    """Join `df` with `table`, which has few rows per key, mostly one.
 
     `spread` names a column of `df` that differs between the rows of a key, such as an
     event id. Each key is then split into parts: a row goes to the part of that column's
-    hash, the one row of the table to every part. The exchange this puts on both sides
+    hash, the rows of the table to every part; `parts` is the session setting
+    staycohort.lookup.parts if not given. The exchange this puts on both sides
     also lets adaptive execution split a part that is still too large, which it cannot do
     right above an aggregate. Leave it out where `df` is already reduced per key.
     """
     if spread is None:
         return df.join(table, keys, how)
+    parts = parts or int(df.sparkSession.conf.get(PARTS_SETTING, str(DEFAULT_PARTS)))
     part = f"CAST(pmod(xxhash64({spread}), {parts}) AS INT) AS _part"
     every = ", ".join(str(i) for i in range(parts))
     return (

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from staycohort import vocabulary as v
 from staycohort.functions import all_known, days_between, hours_between, resistance_block
 from staycohort.operators.exposure import treatment_exposure
+from staycohort.operators.lookup import join_lookup
 
 
 def with_resistance_block(df: DataFrame) -> DataFrame:
@@ -13,10 +14,13 @@ def with_resistance_block(df: DataFrame) -> DataFrame:
     return df.withColumn("bloque", resistance_block("org_name", "antibiotic_class"))
 
 
-def stay_windows(df: DataFrame, stays: DataFrame) -> DataFrame:
-    """Add intime and outtime of the row's stay; NULL where the stay is unknown."""
+def stay_windows(df: DataFrame, stays: DataFrame, spread: str | None = None) -> DataFrame:
+    """Add intime and outtime of the row's stay; NULL where the stay is unknown.
+
+    `spread` as in `join_lookup`; repeated stay rows repeat the row.
+    """
     windows = stays.select("hadm_id", "stay_id", "intime", "outtime")
-    return df.join(windows, ["hadm_id", "stay_id"], "left")
+    return join_lookup(df, windows, ["hadm_id", "stay_id"], "left", spread)
 
 
 _OUTCOME_KEYS = [
@@ -33,7 +37,6 @@ _OUTCOME_KEYS = [
 
 def stay_outcomes(
     cases: DataFrame,
-    stays: DataFrame,
     patients: DataFrame,
     admissions: DataFrame,
     prescriptions: DataFrame,
@@ -41,18 +44,17 @@ def stay_outcomes(
     """One row of outcomes per block and stay.
 
     `cases` needs bloque, stay_id, hadm_id, subject_id, intime and outtime (see
-    `stay_windows`), with windows that come from `stays`.
+    `stay_windows`).
     """
     complete = prescriptions.where(all_known("starttime", "stoptime"))
-    people = (
-        cases.select("bloque", "stay_id", "hadm_id", "subject_id", "intime", "outtime")
-        .join(admissions.select("hadm_id", "deathtime"), "hadm_id")
-        .join(patients.select("subject_id", "gender"), "subject_id")
-    )
+    people = cases.select("bloque", "stay_id", "hadm_id", "subject_id", "intime", "outtime")
+    deaths, genders = admissions.select("hadm_id", "deathtime"), patients.select("subject_id", "gender")
+    people = join_lookup(people, deaths, ["hadm_id"], "inner", "stay_id")
+    people = join_lookup(people, genders, ["subject_id"], "inner", "stay_id")
     people = treatment_exposure(people, complete, after=None, at="intime", prior_flag="_prior")
 
     known = all_known("intime", "outtime")
-    timed = _with_treatment_hours(people.where(known), stays, complete).withColumn(
+    timed = _with_treatment_hours(people.where(known), complete).withColumn(
         "_days", days_between("intime", "outtime")
     )
     return _outcome_columns(
@@ -90,44 +92,72 @@ def _untimed_outcomes(people: DataFrame) -> DataFrame:
     return _outcome_columns(grouped, length="NULL", hours="NULL", died="false", improved="false")
 
 
-def _with_treatment_hours(people: DataFrame, stays: DataFrame, complete: DataFrame) -> DataFrame:
-    """Mean whole hours of the prescriptions that lie inside each stay, to one decimal.
+# Days are counted from here, so that every timestamp's day is positive.
+_DAY_ZERO = "DATE'0001-01-01'"
+# Aligned ranges are 8^level days long; eight levels reach past the year 9999.
+_LEVELS = "sequence(0, 21, 3)"
 
-    Rows meet on (admission, day) rather than on the admission: a stay lists its days, a
-    prescription only the day it starts. One that stops before it starts is inside every
-    stay it overlaps, so it lists the days in between, and a pair is counted on the first
-    day the two share.
 
-    Each stay adds a prescription of its own length and weight 0. It keeps stays without
-    treatment under an inner join, where a hot day can be split on either side.
-    """
-    own_windows = stays.where(all_known("intime", "outtime")).selectExpr(
-        "hadm_id", "intime", "outtime", "0"
+def _around(day: str, kind: int) -> str:
+    """SQL for the aligned ranges around a day, one of each level."""
+    return f"transform({_LEVELS}, b -> struct({kind} AS kind, b, shiftright({day}, b) AS place))"
+
+
+def _tiles(first: str, last: str, kind: int) -> str:
+    """SQL for aligned ranges that tile first to last: of each level those that fit, but
+    not into one of the next level that fits. At most 14 a level."""
+    low, high = f"shiftright({first} + shiftleft(1, b) - 1, b)", f"(shiftright({last} + 1, b) - 1)"
+    up_low = f"shiftleft(shiftright({first} + shiftleft(8, b) - 1, b + 3), 3)"
+    up_high = f"(shiftleft(shiftright({last} + 1, b + 3), 3) - 1)"
+    none = "CAST(array() AS array<int>)"
+    whole = f"IF({low} <= {high}, sequence({low}, {high}), {none})"
+    left = f"IF({low} < {up_low}, sequence({low}, {up_low} - 1), {none})"
+    right = f"IF({up_high} < {high}, sequence({up_high} + 1, {high}), {none})"
+    places = f"IF({up_low} <= {up_high}, concat({left}, {right}), {whole})"
+    return (
+        f"flatten(transform({_LEVELS}, b -> "
+        f"transform({places}, place -> struct({kind} AS kind, b, place))))"
     )
+
+
+def _with_treatment_hours(people: DataFrame, complete: DataFrame) -> DataFrame:
+    """Mean whole hours of the prescriptions that lie inside each stay, to one decimal.
+
+    A stay lists the few aligned day ranges that tile it, a prescription the ranges around
+    the day it starts, one of each level; a pair meets once, and a long stay costs few
+    rows. A prescription that stops before it starts may begin before the stay and cover
+    its first day; those two meet the other way round. Only prescriptions of the stays'
+    admissions take part, equal ones counted together. No stay meets another stay: those
+    without prescriptions are added after the join.
+    """
+    cases = people.groupBy(*_OUTCOME_KEYS).agg(F.expr("bool_or(_prior) AS _prior"))
+
+    def day(time: str) -> str:
+        return f"datediff({time}, {_DAY_ZERO})"
+
+    begins, ends = day("least(starttime, stoptime)"), day("starttime")
+    backward = f"IF(stoptime < starttime, {_tiles(f'({begins} + 1)', ends, 1)}, array())"
     orders = (
-        complete.selectExpr("hadm_id", "starttime", "stoptime", "1 AS _weight")
-        .unionAll(own_windows)
-        .selectExpr("*", "CAST(least(starttime, stoptime) AS DATE) AS _order_day")
-        .selectExpr(
-            "*",
-            "explode(sequence(_order_day, greatest(_order_day, CAST(starttime AS DATE)))) AS _day",
-        )
+        complete.join(cases.select("hadm_id").distinct(), "hadm_id", "left_semi")
+        .groupBy("hadm_id", "starttime", "stoptime")
+        .agg(F.count(F.lit(1)).alias("_times"))
+        .withColumn("_node", F.explode(F.expr(f"concat({_around(begins, 0)}, {backward})")))
     )
-    stay_days = people.selectExpr(
-        "*", "CAST(least(intime, outtime) AS DATE) AS _stay_day"
-    ).selectExpr(
-        "*",
-        "explode(sequence(_stay_day, CAST(greatest(intime, outtime) AS DATE))) AS _day",
+    enters, leaves = day("least(intime, outtime)"), day("greatest(intime, outtime)")
+    nodes = F.expr(f"concat({_tiles(enters, leaves, 0)}, {_around(enters, 1)})")
+    treated = (
+        cases.withColumn("_node", F.explode(nodes))
+        .join(orders, ["hadm_id", "_node"])
+        .where("starttime >= intime AND stoptime <= outtime")
+        .select(*cases.columns, hours_between("starttime", "stoptime").alias("_each"), "_times")
     )
-    hours = F.sum(hours_between("starttime", "stoptime") * F.col("_weight"))
+    untreated = cases.withColumns({"_each": F.lit(0).cast("bigint"), "_times": F.lit(0).cast("bigint")})
     return (
-        stay_days.join(orders, ["hadm_id", "_day"])
-        .where("starttime >= intime AND stoptime <= outtime")
-        .where("_day = greatest(_order_day, _stay_day)")
+        treated.unionByName(untreated)
         .groupBy(*_OUTCOME_KEYS)
         .agg(
             F.expr("bool_or(_prior) AS _prior"),
-            F.round(F.try_divide(hours, F.sum("_weight")), 1).alias("_hours"),
+            F.expr("round(try_divide(sum(_each * _times), sum(_times)), 1) AS _hours"),
         )
     )
 

@@ -152,10 +152,25 @@ def p09_prior_treatment_detail(tables: ClinicalTables) -> DataFrame:
         "interpretation",
         "has_prior_treatment",
     ]
-    cases = _cases_with_prior_treatment(tables, "contains")
-    stays = first_stays(tables.stays, v.PRIOR_TREATMENT_ROWS)
+    cultures = exclude_specimens(_tested(tables, "contains"))
+    eligible = exclude_comorbidities(admissions_of(cultures), tables.diagnoses)
+    # Every stay of an eligible admission fills a line, so ten stays are enough.
+    stays = (
+        tables.stays.select("stay_id", "hadm_id")
+        .join(eligible, "hadm_id", "left_semi")
+        .distinct()
+        .orderBy("stay_id")
+        .limit(v.PRIOR_TREATMENT_ROWS)
+    )
+    few = F.broadcast(stays)
+    near = cultures.join(few.select("hadm_id"), "hadm_id", "left_semi")
+    drugs = tables.prescriptions.join(few.select("hadm_id"), "hadm_id", "left_semi")
+    cases = with_antibiotic_class(representative_culture(near, ("hadm_id", "org_name")))
+    flagged = treated_ever_before(cases, drugs).withColumn(
+        "has_prior_treatment", F.expr("CAST(has_prior_treatment AS INT)")
+    )
     return (
-        distinct_cultures(stay_cultures(stays, cases), columns)
+        distinct_cultures(stay_cultures(few, flagged), columns)
         .orderBy("stay_id", "charttime", "org_name")
         .limit(v.PRIOR_TREATMENT_ROWS)
     )
@@ -221,7 +236,6 @@ def p13_clinical_metrics(tables: ClinicalTables) -> DataFrame:
     return block_report(
         stay_outcomes(
             stay_cultures(windows, _block_cases(tables)),
-            tables.stays,
             tables.patients,
             tables.admissions,
             tables.prescriptions,

@@ -70,7 +70,13 @@ TREATMENT_DRUGS = (
 COMORBIDITY_PREFIXES = ("N18", "E11", "I50")
 
 # Block -> organisms (lower case) and antibiotic classes.
-ENTEROBACTERALES = TARGET_ORGANISMS[:5]
+ENTEROBACTERALES = (
+    "escherichia coli",
+    "klebsiella pneumoniae",
+    "klebsiella aerogenes",
+    "enterobacter cloacae",
+    "enterobacter aerogenes",
+)
 RESISTANCE_BLOCKS = (
     ("Bloque 1", ENTEROBACTERALES, ("Cefalosporinas_3ra", "Cefalosporinas_4ta")),
     ("Bloque 2", ENTEROBACTERALES, ("Carbapenems",)),

@@ -63,14 +63,14 @@ def starts_by_admission(tables):
 
 
 @pytest.mark.parametrize("spread", [None, "microevent_id"])
-@pytest.mark.parametrize("before, after", [(48, 48), (24, 72), (7, None), (None, 5)])
+@pytest.mark.parametrize("before, after", [(48, 48), (24, 72), (7, None), (None, 5), (0, 48), (48, 0)])
 def test_exposure(tables, before, after, spread):
     starts = starts_by_admission(tables)
     expected = []
     for row in tables.cultures.collect():
         gaps = [(start - row.charttime) / timedelta(hours=1) for start in starts[row.hadm_id]]
-        prior = any(-before <= gap < 0 for gap in gaps) if before else None
-        post = any(0 <= gap <= after for gap in gaps) if after else None
+        prior = any(-before <= gap < 0 for gap in gaps) if before is not None else None
+        post = any(0 <= gap <= after for gap in gaps) if after is not None else None
         expected.append((row.microevent_id, prior, post))
     flagged = op.treatment_exposure(
         tables.cultures, tables.prescriptions, before, after, spread=spread
@@ -121,7 +121,7 @@ def mean_hours(tables, row):
 def test_treatment_hours(tables):
     cases = tables.stays.drop("subject_id").selectExpr("*", "1L AS subject_id", "'B' AS bloque")
     result = op.stay_outcomes(
-        cases, tables.stays, tables.patients, tables.admissions, tables.prescriptions
+        cases, tables.patients, tables.admissions, tables.prescriptions
     )
     found = {row.stay_id: row.duracion_tratamiento for row in result.collect()}
     stays = tables.stays.collect()

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from clinic import T0, at, clinic, culture, only, order, stay, table, values
 from staycohort import operators as op
 from staycohort import report
-from staycohort.functions import days_between, hours_between
+from staycohort.functions import days_between, hours_between, starts_with_any
+from staycohort.operators.outcomes import _DAY_ZERO, _tiles
 from staycohort.schemas import SCHEMAS
 
 
@@ -198,7 +199,7 @@ def outcomes(spark, windows, orders=(), deathtime=None):
         "*", "1L AS subject_id", "'Bloque 1' AS bloque"
     )
     return op.stay_outcomes(
-        cases, tables.stays, tables.patients, tables.admissions, tables.prescriptions
+        cases, tables.patients, tables.admissions, tables.prescriptions
     )
 
 
@@ -284,3 +285,71 @@ def test_ever_before_needs_a_start(spark):
     cultures = table(spark, "cultures", [culture()])
     none = op.treated_ever_before(cultures, table(spark, "prescriptions", [order(None)]))
     assert none.select(F.col("has_prior_treatment")).head()[0] is False
+
+
+def test_widths_of_zero_and_below(spark):
+    cultures = table(spark, "cultures", [culture(charttime=at(0))])
+    orders = table(spark, "prescriptions", [order(at(0))])
+    flags = ("has_prior_treatment", "has_post_treatment")
+    assert values(op.treatment_exposure(cultures, orders, 0, 48), *flags) == [(False, True)]
+    assert values(op.treatment_exposure(cultures, orders, 48, 0), *flags) == [(False, True)]
+    assert values(op.treatment_exposure(cultures, orders, 0, 0), *flags) == [(False, True)]
+    late = table(spark, "prescriptions", [order(at(0, microseconds=1)), order(at(-1))])
+    assert values(op.treatment_exposure(cultures, late, 48, 0), *flags) == [(True, False)]
+    for before, after in ((-1, 48), (48, -1)):
+        with pytest.raises(ValueError):
+            op.treatment_exposure(cultures, orders, before, after)
+
+
+def test_no_values_match_nothing(spark):
+    cultures = table(spark, "cultures", [culture(), culture(org_name=None, spec_type_desc=None)])
+    assert op.target_organisms(cultures, "contains", []).count() == 0
+    assert op.target_organisms(cultures, "exact", []).count() == 0
+    assert op.exclude_specimens(cultures, []).count() == 1
+    assert cultures.where(starts_with_any("org_name", [])).count() == 0
+
+
+def test_stays_meet_no_other_stays(spark):
+    """Stays of one day and no prescriptions: no row comes out of the join with orders."""
+    many = outcomes(spark, [(at(0), at(5 + i / 1000)) for i in range(300)])
+    assert many.count() == 300
+    long = spark.createDataFrame([(datetime(2024, 3, 1), datetime(9999, 12, 31))], "i timestamp_ntz, o timestamp_ntz")
+    first, last = (f"datediff({c}, {_DAY_ZERO})" for c in "io")
+    assert long.selectExpr(f"size({_tiles(first, last, 0)}) AS n").first().n < 100
+
+
+def test_prescriptions_of_reversed_order_and_long_stays(spark):
+    windows = [(at(0), at(days=400)), (at(days=3), at(days=9)), (at(days=5), at(days=5))]
+    orders = [order(at(days=4), at(days=6)), order(at(days=7), at(days=2)), order(at(days=1), at(days=900))]
+    result = outcomes(spark, windows, orders)
+    expected = []
+    for begin, end in windows:
+        inside = [int((o["stoptime"] - o["starttime"]).total_seconds() / 3600) for o in orders
+                  if o["starttime"] >= begin and o["stoptime"] <= end]
+        expected.append(round(sum(inside) / len(inside), 1) if inside else None)
+    assert [r.duracion_tratamiento for r in result.orderBy("stay_id").collect()] == expected
+
+
+def test_a_single_instant_is_numbered_in_many_parts(spark):
+    rows = spark.range(60_000).selectExpr(
+        "id AS microevent_id", "IF(id % 10 = 0, id, 7) AS hadm_id", "'e' AS org_name", "'R' AS interpretation",
+        "timestamp_ntz'2024-03-10 00:00:00' AS charttime",
+    )
+    numbered = op.numbered_cultures(rows, ("hadm_id", "org_name"))
+    hot = numbered.where("hadm_id = 7").agg(F.min("row_num"), F.max("row_num"), F.count_distinct("row_num"))
+    n = rows.where("hadm_id = 7").count()
+    assert tuple(hot.first()) == (1, n, n)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    placed = numbered.groupBy(F.spark_partition_id()).agg(F.count("row_num").alias("n"), F.max("row_num"))
+    sizes = [r.n for r in placed.collect()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert max(sizes) <= 4 * 60_000 / 8
+
+
+def test_parts_of_a_lookup_can_be_set(spark):
+    spark.conf.set("staycohort.lookup.parts", "3")
+    table_ = spark.createDataFrame([(1, "a")], "k int, v string")
+    joined = op.join_lookup(spark.range(10).selectExpr("id", "1 AS k"), table_, ["k"], "inner", "id")
+    spark.conf.unset("staycohort.lookup.parts")
+    assert joined.count() == 10 and "2" in joined._jdf.queryExecution().toString()

