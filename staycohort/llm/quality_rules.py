@@ -1,25 +1,31 @@
 """Quality rules with thresholds whose false rejections are bounded by labelled holdouts.
 
-A rule rejects a document whose measure lies above a cutoff. In each stratum (language)
-every rule's cutoffs are tried from the mildest to the strictest: a cutoff is certified
-if the exact binomial probability of seeing so few rejected good documents, were the true
-rate of false rejections `risk / rules`, is at most `doubt / (strata * rules)`; that is,
-if its Clopper-Pearson upper bound is below the rule's share of the risk. The first
-failure ends the sequence, so cutoffs need no further correction (fixed-sequence testing),
-and strata and rules are corrected for by Bonferroni. The strictest certified cutoff is
-used. With probability `1 - doubt` no stratum loses more than `risk` of its good documents.
+A rule rejects a document whose measure lies above a cutoff. All rules are tightened
+together along one fixed sequence of joint settings, `SETTINGS`, each stricter than the one
+before. In each stratum (language) a setting is certified if the exact binomial probability
+of seeing so few good documents rejected by any of its cutoffs, were the true rate `risk`,
+is at most `doubt / strata`; that is, if its Clopper-Pearson upper bound is below the risk.
+The first failure ends the sequence, so settings need no further correction (fixed-sequence
+testing), and strata are corrected for by Bonferroni. The strictest certified setting is
+used. Strata with too few labelled good documents to certify anything even without a false
+rejection are tested together, as one stratum. With probability `1 - doubt` the cutoffs
+reject no more than `risk` of the good documents of any stratum; what the base rule
+rejects besides is given, not learned.
 
 Nulls, ties and the rest: a null or wordless text has no words and measures of zero; a
-null language is a stratum of its own; a stratum without enough labelled documents
-certifies nothing, so its documents are judged by the base rule alone; several labels of
-one document count once, as good if any says so; a measure equal to the cutoff is kept;
-repeated rows are judged alike; no documents give no rows; other columns are untouched.
+null language is a stratum of its own; a stratum without labelled good documents, and small
+ones that are too few even together, are judged by the base rule alone; several labels of
+one document count once, as good if any says so, and so do its repeated rows, by their
+greatest measures; a measure equal to the cutoff is kept; repeated rows are judged alike;
+no documents give no rows; other columns are untouched.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -41,6 +47,19 @@ CUTOFFS = {
     "upper_ratio": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2),
 }
 
+
+
+def _settings() -> Iterator[dict[str, float]]:
+    setting = dict.fromkeys(CUTOFFS, math.inf)
+    for level in zip(*CUTOFFS.values(), strict=True):
+        for rule, cutoff in zip(CUTOFFS, level, strict=True):
+            setting[rule] = cutoff
+            yield dict(setting)
+
+
+#: Joint settings of all rules: from each to the next, one rule takes its next cutoff.
+SETTINGS = tuple(_settings())
+
 #: Strata up to which their thresholds are broadcast; more are joined by key.
 MOST_BROADCAST = 10_000
 
@@ -139,8 +158,8 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.fsum(terms))
 
 
-def certified(rejected: list[int], n: int, cutoffs: tuple[float, ...], risk: float, doubt: float) -> float | None:
-    """The strictest cutoff of the sequence that is certified, None if none is."""
+def certified[T](rejected: list[int], n: int, cutoffs: tuple[T, ...], risk: float, doubt: float) -> T | None:
+    """The strictest cutoff, or joint setting, of the sequence that is certified, None if none is."""
     best = None
     for k, cutoff in zip(rejected, cutoffs, strict=True):
         if k > risk * n or binomial_tail(k, n, risk) > doubt:
@@ -149,6 +168,12 @@ def certified(rejected: list[int], n: int, cutoffs: tuple[float, ...], risk: flo
     return best
 
 
+def least_labels(risk: float, doubt: float) -> int:
+    """How many good documents without a false rejection certify a setting."""
+    n = max(1, math.floor(math.log(doubt) / math.log1p(-risk)))
+    return n if binomial_tail(0, n, risk) <= doubt else n + 1
+
+
 def thresholds(measured: DataFrame, labels: DataFrame, risk: float, doubt: float) -> DataFrame:
     """(stratum, one cutoff or null per rule) from the labelled good documents.
 
@@ -161,28 +186,38 @@ def thresholds(measured: DataFrame, labels: DataFrame, risk: float, doubt: float
         .where(F.col("quality") == 1)
         .select("doc_id")
     )
-    counts = [
-        F.array(*[F.sum((F.col(rule) > c).cast("bigint")) for c in cutoffs]).alias(rule)
-        for rule, cutoffs in CUTOFFS.items()
+    steps = [f"step_{i}" for i in range(len(SETTINGS))]
+    rejected = [
+        F.count_if(reduce(or_, [F.col(rule) > c for rule, c in setting.items()])).alias(step)
+        for step, setting in zip(steps, SETTINGS, strict=True)
     ]
     held_out = materialised(
-        measured.join(good, "doc_id", "left_semi").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts)
+        measured.join(good, "doc_id", "left_semi")
+        .groupBy("doc_id", "stratum")
+        .agg(*[F.max(rule).alias(rule) for rule in CUTOFFS])
+        .groupBy("stratum")
+        .agg(F.count(F.lit(1)).alias("n"), *rejected)
     )
-    tests = max(1, held_out.count()) * len(CUTOFFS)
-    rule_risk, rule_doubt = risk / len(CUTOFFS), doubt / tests
+    enough = least_labels(risk, doubt / max(1, held_out.count()))
+    tested_as = F.when(F.col("n") >= enough, F.col("stratum")).otherwise("small").alias("tested_as")
+    tests = materialised(held_out.groupBy(tested_as).agg(*[F.sum(c).alias(c) for c in ("n", *steps)]))
+    test_doubt = doubt / max(1, tests.count())
 
     def certify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = pd.DataFrame({"stratum": frame["stratum"]})
-            for rule, cutoffs in CUTOFFS.items():
-                out[rule] = pd.Series(
-                    [certified(list(k), n, cutoffs, rule_risk, rule_doubt) for k, n in zip(frame[rule], frame["n"], strict=True)],
-                    dtype="float64",
-                )
+            best = [
+                certified(list(k), n, SETTINGS, risk, test_doubt) or {}
+                for k, n in zip(frame[steps].to_numpy(), frame["n"], strict=True)
+            ]
+            out = pd.DataFrame({"tested_as": frame["tested_as"]})
+            for rule in CUTOFFS:
+                out[rule] = pd.Series([b.get(rule, math.inf) for b in best], dtype="float64")
             yield out
 
-    schema = "stratum string, " + ", ".join(f"{rule} double" for rule in CUTOFFS)
-    return held_out.mapInPandas(certify, schema)
+    schema = "tested_as string, " + ", ".join(f"{rule} double" for rule in CUTOFFS)
+    found = tests.mapInPandas(certify, schema)
+    cutoffs = [F.when(F.col(rule) < math.inf, F.col(rule)).alias(rule) for rule in CUTOFFS]
+    return held_out.select("stratum", tested_as).join(found, "tested_as").select("stratum", *cutoffs)
 
 
 def _stratum() -> Column:

@@ -156,6 +156,19 @@ def test_thresholds_bound_the_false_rejections(spark):
     assert len(kept) >= 0.92 * len(good)
 
 
+def test_small_strata_are_tested_together_and_repeated_rows_count_once(spark):
+    def kept_junk(good, copies):
+        rows = [(i, prose(i, 40), lang) for k, lang in enumerate(("en", "fr", None)) for i in range(1000 * k, 1000 * k + good)] * copies
+        junk = [(5000 + k, " ".join(w + "%%%" for w in prose(k, 40).split()), lang) for k, lang in enumerate(("en", "fr", None, "unlabelled"))]
+        labels = spark.createDataFrame([(i, 1, 0) for i in {i for i, *_ in rows}], LABELS)
+        frame = spark.createDataFrame(rows + junk, "doc_id bigint, text string, lang string")
+        return {r.doc_id for r in quality_rules.verdicts(frame, labels, 0.04, 0.05).collect() if r.kept and r.doc_id >= 5000}
+
+    assert quality_rules.least_labels(0.04, 0.05 / 4) == 108
+    assert kept_junk(60, 1) == {5003}
+    assert kept_junk(20, 6) == {5000, 5001, 5002, 5003}
+
+
 def test_binomial_certificates():
     assert quality_rules.binomial_tail(0, 10, 0.1) == pytest.approx(0.9**10)
     assert quality_rules.binomial_tail(10, 10, 0.3) == 1

@@ -12,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import brute
-from staycohort.llm.queries import QUERIES
+from staycohort.llm.queries import QUALITY_RISK, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,6 +70,19 @@ def test_quality_counts_and_base_rule(spark, documents):
         assert not (failed and r.kept)
 
 
+def test_quality_rules_catch_labelled_junk_of_every_language(spark):
+    """The learned cutoffs work in small languages too, at the query's own risk."""
+    larger = "/root/testdata/sf0.1"
+    of_doc = f"(SELECT doc_id, max(quality) AS quality FROM '{larger}/labels.parquet' GROUP BY 1)"
+    labels = given(f"SELECT lang, quality, doc_id FROM '{larger}/documents.parquet' JOIN {of_doc} USING (doc_id)")
+    got = {r.doc_id: r for r in QUERIES["op2_quality_rules"](spark, larger).collect()}
+    for lang in {x for x, *_ in labels}:
+        good = [got[i] for x, quality, i in labels if x == lang and quality == 1]
+        junk = [got[i] for x, quality, i in labels if x == lang and quality == 0]
+        assert sum(not r.kept for r in junk) >= 0.9 * len(junk)
+        assert sum(not r.kept and not r.base_failed for r in good) <= QUALITY_RISK * len(good)
+
+
 def test_base_score_and_known_words(spark, documents):
     got = {r.doc_id: r for r in QUERIES["op3_lattice_score"](spark, SF).collect()}
     split = {i: [*brute.words(brute.lowered(t)), None] for i, t in documents}
