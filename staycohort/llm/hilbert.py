@@ -1,20 +1,23 @@
 """Approximate nearest neighbours by inner product, over shifted Hilbert curves.
 
-Vectors are scaled by the largest norm and given one more component that makes them unit
-vectors, so that inner products order them as distances do. Each curve projects them at
+Candidates are split by norm into bands, at quantiles ever closer to the greatest norms, as
+far as norms differ by more than `EVEN`. A band's vectors are scaled by its largest norm and
+given one more component that makes them unit vectors, so that inner products order them as
+distances do. Every query searches every band; the few rows of the top band, and bands too
+small for ranges, are scanned whole. Each curve projects them at
 random to a few dimensions, shifts the grid and takes the place on a Hilbert curve as key.
 Keys are cut at their quantiles into ranges of near equal size; a row goes to its range of
 every curve, a query to its own range and its neighbours', and every range ranks its rows
 for its queries by exact products. A query's lists are merged over ranges and curves and
-ranked again.
+ranked again. Equal places on a curve are ordered differently on each curve.
 
 Among equal vectors only the rows of least ids can be in a list, as many as it has places
 and one more for the query itself; the others are left out of the ranges. Equal query
 vectors are searched once. So copies of one vector make no range large.
 
 How far neighbours lie apart on a curve depends on the data: for vectors without structure
-a share of all rows must be looked at, and `REACH` is that share on each side. Recall was
-measured against brute force, see the README.
+a share of all rows must be looked at, and `REACH` is that share on each side. The README
+has recall measured against brute force.
 
 Nulls, ties and the rest: vectors that are null, zero, hold nulls or non-finite numbers,
 or are not of the most common length take no part, as query or as candidate; rows without
@@ -26,6 +29,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +40,10 @@ from pyspark.sql import functions as F
 from staycohort.llm.common import materialised
 
 CURVES, DIMENSIONS, BITS = 12, 8, 5
-#: Share of all rows that a query sees on each side at least, and bounds of a range's rows.
+#: Share of a band's rows that a query sees on each side at least, and bounds of a range's rows.
 REACH, LEAST_RANGE, MOST_RANGE = 0.05, 1_000, 50_000
+#: Norms up to this ratio may share a band whatever their quantiles.
+EVEN = 1.2
 _TIE_BITS = 22
 
 
@@ -64,32 +71,48 @@ def hilbert_keys(grid: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+def _hashed(ids: np.ndarray, curve: int) -> np.ndarray:
+    """Hashes of `_TIE_BITS` bits, in an order of its own on each curve."""
+    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(32)) ^ np.uint64(curve)) * np.uint64(0xD6E8FEB86659FD93)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed >> np.uint64(64 - _TIE_BITS)).astype(np.int64)
+
+
 class Curves:
-    """Keys of vectors of `size` components, whose largest norm is `norm`, on every curve."""
+    """Keys of vectors of `size` components on every curve."""
 
-    def __init__(self, size: int, norm: float, seed: int) -> None:
+    def __init__(self, size: int, seed: int) -> None:
         rng = np.random.default_rng(seed)
-        self.norm, self.size = norm, size
+        self.size = size
         self.axes = rng.normal(size=(CURVES, DIMENSIONS, size + 1))
         self.axes /= np.linalg.norm(self.axes, axis=2, keepdims=True)
         self.shifts = rng.uniform(-0.1, 0.1, (CURVES, DIMENSIONS))
 
-    def keys(self, vectors: np.ndarray, ids: np.ndarray, as_query: bool) -> np.ndarray:
-        """One row of keys per curve; equal places are told apart by a hash of the id."""
-        norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-        scaled = vectors / (norms if as_query else self.norm)
+    def keys(self, vectors: np.ndarray, ids: np.ndarray, scales: np.ndarray) -> np.ndarray:
+        """One row of keys per curve; `scales` are the largest norms of the vectors' bands, or a query's own norm."""
+        scaled = vectors / scales[:, None]
         last = np.sqrt(np.maximum(0, 1 - (scaled**2).sum(1, keepdims=True)))
         unit = np.concatenate([scaled, last], 1)
         spread = 6 / math.sqrt(self.size + 1)
-        tie = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TIE_BITS)
         out = []
-        for axes, shift in zip(self.axes, self.shifts, strict=True):
+        for number, (axes, shift) in enumerate(zip(self.axes, self.shifts, strict=True)):
             place = (unit @ axes.T) / spread + 0.5 + shift
             grid = np.clip(place * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
-            out.append((hilbert_keys(grid, BITS) << _TIE_BITS) | tie.astype(np.int64))
+            out.append((hilbert_keys(grid, BITS) << _TIE_BITS) | _hashed(ids, number))
         return np.stack(out)
 
 
+def band_edges(norms: list[float]) -> list[float]:
+    """Upper ends of all bands but the top one, from the least norm, ascending quantiles and the greatest norm."""
+    start, edges = norms[0], []
+    for edge, beyond in zip(norms[1:-1], norms[2:], strict=True):
+        if beyond > EVEN * start and edge < norms[-1]:
+            edges.append(edge)
+            start = edge
+    return sorted(set(edges))
+
+
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy().astype(np.float64).reshape(-1, size)
 
@@ -110,64 +133,100 @@ def _norm() -> Column:
     return F.sqrt(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
 
 
-def neighbours(embeddings: DataFrame, is_query: Column, places: int, seed: int = 11) -> DataFrame:
+def neighbours(
+    embeddings: DataFrame,
+    is_query: Column,
+    places: int,
+    seed: int = 11,
+    reach: float = REACH,
+    least_range: int = LEAST_RANGE,
+    most_range: int = MOST_RANGE,
+) -> DataFrame:
     """(query_id, rank, vec_id, score): the `places` best rows found for every query row.
 
     `is_query` is a condition on vec_id.
     """
-    rows = materialised(usable(embeddings))
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(_norm()).alias("norm"), F.max(F.size("embedding")).alias("size")).first()
-    total, size = facts["n"], facts["size"] or 1
-    curves = Curves(size, facts["norm"] or 1.0, seed)
-    ranges = max(1, min(round(1 / REACH), total // LEAST_RANGE), math.ceil(total / MOST_RANGE))
-    beside = math.ceil(ranges * REACH) if ranges > 1 else 0
-
     of_vector = Window.partitionBy("embedding").orderBy("vec_id")
-    candidates = rows.withColumn("nth", F.row_number().over(of_vector)).where(F.col("nth") <= places + 1).drop("nth")
-    queries = rows.where(is_query)
-    searched = queries.groupBy("embedding").agg(F.min("vec_id").alias("vec_id")).select("vec_id", "embedding")
+    rows = materialised(usable(embeddings).withColumn("nth", F.row_number().over(of_vector)).withColumn("norm", _norm()))
+    candidates = rows.where(F.col("nth") <= places + 1).select("vec_id", "embedding", "norm")
+    queries = rows.where(is_query).select("vec_id", "embedding")
+    searched = queries.groupBy("embedding").agg(F.min("vec_id").alias("vec_id")).select("vec_id", "embedding", F.lit(0).alias("band"))
+
+    facts = candidates.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("size")).first()
+    total, size = facts["n"], facts["size"] or 1
+    curves = Curves(size, seed)
+    edges: list[float] = []
+    if total > least_range:
+        top = least_range / total
+        tails = [4.0**-k for k in range(1, 16) if 4.0**-k > top]
+        at = [0.0, *[1 - t for t in tails], 1 - top, 1.0]
+        edges = band_edges(candidates.agg(F.percentile_approx("norm", at, 100_000)).first()[0])
+    band = reduce(add, [(F.col("norm") > e).cast("int") for e in edges], F.lit(0))
+    candidates = candidates.select("vec_id", "embedding", band.alias("band"), "norm")
+    of_band = candidates.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("norm")).collect()
+    scales = np.ones(len(edges) + 1)
+    ranges = dict.fromkeys(range(len(edges) + 1), 0)
+    for row in of_band:
+        scales[row["band"]] = row["norm"]
+        n = max(1, min(round(1 / reach), row["n"] // least_range), math.ceil(row["n"] / most_range))
+        whole = n <= 2 * math.ceil(n * reach) + 1 or (edges and row["band"] == len(edges))
+        ranges[row["band"]] = 1 if whole else n
 
     def keys_of(as_query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch["vec_id"].to_numpy()
-                keys = curves.keys(_matrix(batch["embedding"], size), ids, as_query)
-                for number, key in enumerate(keys):
+                ids, vectors = batch["vec_id"].to_numpy(), _matrix(batch["embedding"], size)
+                scale = np.linalg.norm(vectors, axis=1) if as_query else scales[batch["band"].to_numpy()]
+                for number, key in enumerate(curves.keys(vectors, ids, scale)):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(ids), number), pa.int32()), pa.array(key), batch["vec_id"], batch["embedding"]],
-                        ["curve", "key", "vec_id", "embedding"],
+                        [pa.array(np.full(len(ids), number), pa.int32()), batch["band"], pa.array(key), batch["vec_id"], batch["embedding"]],
+                        ["curve", "band", "key", "vec_id", "embedding"],
                     )
 
         return run
 
     kind = dict(rows.dtypes)["embedding"]
-    schema = f"curve int, key bigint, vec_id bigint, embedding {kind}"
-    placed = candidates.mapInArrow(keys_of(False), schema)
-    cuts = {number: np.zeros(0, np.int64) for number in range(CURVES)}
-    if ranges > 1:
-        at = [i / ranges for i in range(1, ranges)]
-        found = placed.groupBy("curve").agg(F.percentile_approx("key", at, 10_000).alias("cuts")).collect()
-        cuts |= {row["curve"]: np.array(row["cuts"], np.int64) for row in found}
+    candidates = candidates.select("vec_id", "embedding", "band")
+    cut = [b for b, n in ranges.items() if n > 1]
+    cuts = {(b, number): np.zeros(0, np.int64) for b in ranges for number in range(CURVES)}
+    if cut:
+        placed = candidates.where(F.col("band").isin(cut)).mapInArrow(
+            keys_of(False), f"curve int, band int, key bigint, vec_id bigint, embedding {kind}"
+        )
+        at = {n: [i / n for i in range(1, n)] for n in {ranges[b] for b in cut}}
+        for n, shares in at.items():
+            of_n = placed.where(F.col("band").isin([b for b in cut if ranges[b] == n]))
+            found = of_n.groupBy("band", "curve").agg(F.percentile_approx("key", shares, 10_000).alias("cuts")).collect()
+            cuts |= {(row["band"], row["curve"]): np.array(row["cuts"], np.int64) for row in found}
 
     def dealt(as_query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in keys_of(as_query)(batches):
                 if not batch.num_rows:
                     continue
-                own = np.searchsorted(cuts[batch["curve"][0].as_py()], batch["key"].to_numpy(), "right")
-                for step in range(-beside, beside + 1) if as_query else (0,):
-                    keep = np.flatnonzero((own + step >= 0) & (own + step < ranges))
-                    part = batch.take(pa.array(keep))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            part["curve"],
-                            pa.array(own[keep] + step, pa.int32()),
-                            pa.array(np.full(len(keep), as_query)),
-                            part["vec_id"],
-                            part["embedding"],
-                        ],
-                        ["curve", "range", "asks", "vec_id", "embedding"],
-                    )
+                curve, keys = batch["curve"][0].as_py(), batch["key"].to_numpy()
+                for b, n in ranges.items():
+                    if not n:
+                        continue
+                    own = np.searchsorted(cuts[b, curve], keys, "right")
+                    # A band of one range is whole on every curve; a query reads it once.
+                    asks = _hashed(batch["vec_id"].to_numpy(), CURVES) % CURVES == curve if n == 1 else True
+                    here = asks if as_query else batch["band"].to_numpy() == b
+                    beside = math.ceil(n * reach) if n > 1 and as_query else 0
+                    for step in range(-beside, beside + 1):
+                        keep = np.flatnonzero(here & (own + step >= 0) & (own + step < n))
+                        part = batch.take(pa.array(keep))
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                part["curve"],
+                                pa.array(np.full(len(keep), b), pa.int32()),
+                                pa.array(own[keep] + step, pa.int32()),
+                                pa.array(np.full(len(keep), as_query)),
+                                part["vec_id"],
+                                part["embedding"],
+                            ],
+                            ["curve", "band", "range", "asks", "vec_id", "embedding"],
+                        )
 
         return run
 
@@ -196,11 +255,11 @@ def neighbours(embeddings: DataFrame, is_query: Column, places: int, seed: int =
             {"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "product": pa.array(columns[2], pa.float64())}
         )
 
-    schema = f"curve int, range int, asks boolean, vec_id bigint, embedding {kind}"
+    schema = f"curve int, band int, range int, asks boolean, vec_id bigint, embedding {kind}"
     lists = (
         candidates.mapInArrow(dealt(False), schema)
         .union(searched.mapInArrow(dealt(True), schema))
-        .groupBy("curve", "range")
+        .groupBy("curve", "band", "range")
         .applyInArrow(best_of_range, "query_id bigint, vec_id bigint, product double")
     )
     by_product = Window.partitionBy("query_id").orderBy(F.desc("product"), "vec_id")

@@ -354,6 +354,33 @@ def test_neighbours_on_edges(spark):
     assert hilbert.neighbours(frame.limit(0), F.col("vec_id") % 20 == 0, 3).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["even", "one great norm", "groups, one great norm", "uneven", "common great vector"])
+def test_recall_of_windows(spark, kind):
+    """Twenty ranges a curve, of which a query sees three, against brute force."""
+    draw, n, places = np.random.default_rng(8), 4000, 10
+    vectors = draw.normal(size=(n, 32))
+    if "groups" in kind:
+        vectors = draw.normal(size=(50, 32))[draw.integers(0, 50, n)] + 0.3 * vectors
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    if "one" in kind:
+        vectors[7] *= 1000
+    if kind == "uneven":
+        vectors *= draw.lognormal(0, 1, (n, 1))
+    if kind == "common great vector":
+        vectors[draw.permutation(n)[: n // 3]] = 1000 * vectors[7]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>").repartition(4)
+    got = {}
+    for r in hilbert.neighbours(frame, F.col("vec_id") % 40 == 0, places, least_range=100).collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    reached = 0
+    for query in range(0, n, 40):
+        products = np.delete(vectors @ vectors[query], query)
+        least = np.sort(products)[-places]
+        assert len(got[query]) == places
+        reached += sum(score >= least - 1e-9 * abs(least) for score in got[query])
+    assert reached >= 0.9 * places * len(range(0, n, 40))
+
+
 def test_hilbert_steps_are_unit_steps():
     side = 8
     grid = np.array([(x, y, z) for x in range(side) for y in range(side) for z in range(side)])
