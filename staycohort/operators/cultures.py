@@ -132,7 +132,9 @@ def numbered_cultures(df: DataFrame, keys=("stay_id", "org_name")) -> DataFrame:
     place = (F.col("_in_bucket") + F.col("_before")).alias("row_num")
     return (
         split.withColumn("_in_bucket", F.row_number().over(in_bucket))
-        .join(offsets, "_bucket")
+        # merged, so that the numbered rows keep their buckets' partitions: broadcast, either
+        # side would leave them dealt out by the few (key, hour) pairs
+        .join(offsets.hint("merge"), "_bucket")
         .select(*df.columns, place)
     )
 

@@ -66,14 +66,16 @@ def treatment_exposure(
 
     prior: start in [at - before, at). post: start in [at, at + after]. Widths are in whole
     hours: None leaves that flag out, 0 makes prior false and post a start at `at` itself,
-    a negative one raises ValueError. Equal widths share one join.
+    a negative one raises ValueError. Equal widths share one join. A column of `df` that is
+    named like a flag to be added is replaced.
     """
     if any(width is not None and width < 0 for width in (before, after)):
         raise ValueError("a width must not be negative")
-    starts, columns = listed_starts(prescriptions, drugs), df.columns
+    added = [flag for flag, width in ((prior_flag, before), (post_flag, after)) if width is not None]
+    starts, df = listed_starts(prescriptions, drugs), df.drop(*added)
     if before == 0:
         df = df.withColumn(prior_flag, F.lit(False))
-        columns = df.columns
+    columns = df.columns
     for hours in dict.fromkeys(width for width in (before, after) if width):
         width = f"INTERVAL '{hours}' HOUR"
         flags = []

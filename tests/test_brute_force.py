@@ -75,14 +75,24 @@ def test_exposure(tables, before, after, spread):
     flagged = op.treatment_exposure(
         tables.cultures, tables.prescriptions, before, after, spread=spread
     )
-    if not before:
+    if before is None:
         flagged = flagged.selectExpr("*", "NULL AS has_prior_treatment")
-    if not after:
+    if after is None:
         flagged = flagged.selectExpr("*", "NULL AS has_post_treatment")
     columns = ["microevent_id", "has_prior_treatment", "has_post_treatment"]
     assert values(flagged, *columns) == sorted(expected, key=repr)
 
 
+@pytest.mark.parametrize("before, after", [(48, 48), (0, 0), (24, 72)])
+def test_a_column_named_like_a_flag_is_replaced(tables, before, after):
+    plain = op.treatment_exposure(tables.cultures, tables.prescriptions, before, after)
+    clashing = tables.cultures.selectExpr("*", "'x' AS has_prior_treatment", "'y' AS has_post_treatment")
+    flagged = op.treatment_exposure(clashing, tables.prescriptions, before, after)
+    assert sorted(flagged.columns) == sorted(plain.columns)
+    columns = ["microevent_id", "has_prior_treatment", "has_post_treatment"]
+    assert values(flagged, *columns) == values(plain, *columns)
+
+
 @pytest.mark.parametrize("spread", [None, "microevent_id"])
 def test_any_earlier_treatment(tables, spread):
     starts = starts_by_admission(tables)
