@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,12 +20,15 @@ def small_batches(spark: SparkSession) -> None:
 def materialised(df: DataFrame) -> DataFrame:
     """`df` written to the shared checkpoint folder, so that it is computed once.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset, as in
-    tests on one machine, a temporary folder is made.
+    The folder is the session's spark.checkpoint.dir. Only where all runs on one machine, as
+    in tests, a temporary folder is made if it is unset; on a cluster that is an error.
     """
-    context = df.sparkSession.sparkContext
+    session = df.sparkSession
+    context = session.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = session.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="staycohort-"))
     return df.checkpoint()
 

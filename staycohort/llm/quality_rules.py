@@ -6,23 +6,25 @@ before. In each stratum (language) a setting is certified if the exact binomial
 of seeing so few good documents rejected by any of its cutoffs, were the true rate `risk`,
 is at most `doubt / strata`; that is, if its Clopper-Pearson upper bound is below the risk.
 The first failure ends the sequence, so settings need no further correction (fixed-sequence
-testing), and strata are corrected for by Bonferroni. The strictest certified setting is
-used. Strata with too few labelled good documents to certify anything even without a false
-rejection are tested together, as one stratum. With probability `1 - doubt` the cutoffs
-reject no more than `risk` of the good documents of any stratum; what the base rule
-rejects besides is given, not learned.
+testing), and strata are corrected for by Bonferroni over those that are tested. The
+strictest certified setting is used. A stratum is tested if it has enough labelled good
+documents to certify a setting without a false rejection; which are tested depends on these
+numbers alone, so it needs no correction. A smaller stratum gets no cutoffs: none could be
+guaranteed for it, and a pool of several would only bound the pool. With probability
+`1 - doubt` the cutoffs reject no more than `risk` of the good documents of any stratum; what
+the base rule rejects besides is given, not learned.
 
 Nulls, ties and the rest: a null or wordless text has no words and measures of zero; a
-null language is a stratum of its own; a stratum without labelled good documents, and small
-ones that are too few even together, are judged by the base rule alone; several labels of
-one document count once, as good if any says so, and so do its repeated rows, by their
-greatest measures; a measure equal to the cutoff is kept; repeated rows are judged alike;
+null language is a stratum of its own; a stratum with too few labelled good documents, or
+none, is judged by the base rule alone; several labels of one document count once, as good
+if any says so, and so do its repeated rows, by their greatest measures; a measure equal to the cutoff is kept; repeated rows are judged alike;
 no documents give no rows; other columns are untouched.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 from operator import or_
@@ -198,38 +200,56 @@ def thresholds(measured: DataFrame, labels: DataFrame, risk: float, doubt: float
         .groupBy("stratum")
         .agg(F.count(F.lit(1)).alias("n"), *rejected)
     )
-    enough = least_labels(risk, doubt / max(1, held_out.count()))
-    tested_as = F.when(F.col("n") >= enough, F.col("stratum")).otherwise("small").alias("tested_as")
-    tests = materialised(held_out.groupBy(tested_as).agg(*[F.sum(c).alias(c) for c in ("n", *steps)]))
-    test_doubt = doubt / max(1, tests.count())
+    tests, enough = tested_strata(held_out, risk, doubt)
 
     def certify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             best = [
-                certified(list(k), n, SETTINGS, risk, test_doubt) or {}
+                certified(list(k), n, SETTINGS, risk, doubt / tests) or {}
                 for k, n in zip(frame[steps].to_numpy(), frame["n"], strict=True)
             ]
-            out = pd.DataFrame({"tested_as": frame["tested_as"]})
+            out = pd.DataFrame({"stratum": frame["stratum"]})
             for rule in CUTOFFS:
                 out[rule] = pd.Series([b.get(rule, math.inf) for b in best], dtype="float64")
             yield out
 
-    schema = "tested_as string, " + ", ".join(f"{rule} double" for rule in CUTOFFS)
-    found = tests.mapInPandas(certify, schema)
+    schema = "stratum string, " + ", ".join(f"{rule} double" for rule in CUTOFFS)
+    found = held_out.where(F.col("n") >= enough).mapInPandas(certify, schema)
     cutoffs = [F.when(F.col(rule) < math.inf, F.col(rule)).alias(rule) for rule in CUTOFFS]
-    return held_out.select("stratum", tested_as).join(found, "tested_as").select("stratum", *cutoffs)
+    return found.select("stratum", *cutoffs)
+
+
+def tested_strata(held_out: DataFrame, risk: float, doubt: float) -> tuple[int, int]:
+    """How many tests share the doubt, and the least `n` of a stratum that is tested.
+
+    The fewest tests are taken such that no more strata than that have enough labels at
+    their share of the doubt. Sizes reach the driver as a histogram, cut off where the
+    size no longer matters: about log(strata) / risk numbers.
+    """
+    most = max(1, held_out.count())
+    sizes = held_out.groupBy(F.least("n", F.lit(least_labels(risk, doubt / most))).alias("n")).count().collect()
+
+    def too_many(tests: int) -> bool:
+        enough = least_labels(risk, doubt / tests)
+        return sum(row["count"] for row in sizes if row["n"] >= enough) > tests
+
+    tests = bisect_left(range(1, most), True, key=lambda k: not too_many(k)) + 1
+    return tests, least_labels(risk, doubt / tests)
 
 
 def _stratum() -> Column:
     return F.coalesce(F.concat(F.lit("lang "), F.col("lang")), F.lit("none"))
 
 
-def learn_thresholds(docs: DataFrame, labels: DataFrame, risk: float, doubt: float) -> DataFrame:
-    """Thresholds from all labelled documents of `docs`."""
-    measured = with_counts(docs.select("doc_id", "text", "lang").join(
-        labels.select("doc_id").distinct(), "doc_id", "left_semi"
-    )).select("doc_id", _stratum().alias("stratum"), *[c.alias(k) for k, c in _measures().items()])
-    return thresholds(measured, labels, risk, doubt)
+def learn_thresholds(counted: DataFrame, labels: DataFrame, risk: float, doubt: float) -> DataFrame:
+    """Thresholds from all labelled documents of `counted` (doc_id, lang, `__counts`)."""
+    measures = [c.alias(k) for k, c in _measures().items()]
+    return thresholds(counted.select("doc_id", _stratum().alias("stratum"), *measures), labels, risk, doubt)
+
+
+def stored_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, `__counts`) of every row, stored without the texts."""
+    return materialised(with_counts(docs.select("doc_id", "text", "lang")).drop("text"))
 
 
 def judged(counted: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -250,16 +270,18 @@ def judged(counted: DataFrame, cutoffs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float, doubt: float) -> DataFrame:
-    """The documents that pass the base rule and every certified threshold."""
-    cutoffs = learn_thresholds(docs, labels, risk, doubt)
+    """The documents that pass the base rule and every certified threshold.
+
+    Texts are measured twice and never shuffled: labels meet the stored counts only.
+    """
+    cutoffs = learn_thresholds(stored_counts(docs), labels, risk, doubt)
     return judged(with_counts(docs), cutoffs).where("__kept").select(*docs.columns)
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, risk: float, doubt: float) -> DataFrame:
     """doc_id, counts, base_failed and kept, measuring each text once."""
-    counted = materialised(with_counts(docs.select("doc_id", "text", "lang")).drop("text"))
-    measured = counted.select("doc_id", _stratum().alias("stratum"), *[c.alias(k) for k, c in _measures().items()])
-    return judged(counted, thresholds(measured, labels, risk, doubt)).select(
+    counted = stored_counts(docs)
+    return judged(counted, learn_thresholds(counted, labels, risk, doubt)).select(
         "doc_id",
         *[F.col(f"__counts.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         F.col("__base_failed").alias("base_failed"),

@@ -156,17 +156,32 @@ def test_thresholds_bound_the_false_rejections(spark):
     assert len(kept) >= 0.92 * len(good)
 
 
-def test_small_strata_are_tested_together_and_repeated_rows_count_once(spark):
-    def kept_junk(good, copies):
-        rows = [(i, prose(i, 40), lang) for k, lang in enumerate(("en", "fr", None)) for i in range(1000 * k, 1000 * k + good)] * copies
-        junk = [(5000 + k, " ".join(w + "%%%" for w in prose(k, 40).split()), lang) for k, lang in enumerate(("en", "fr", None, "unlabelled"))]
-        labels = spark.createDataFrame([(i, 1, 0) for i in {i for i, *_ in rows}], LABELS)
-        frame = spark.createDataFrame(rows + junk, "doc_id bigint, text string, lang string")
-        return {r.doc_id for r in quality_rules.verdicts(frame, labels, 0.04, 0.05).collect() if r.kept and r.doc_id >= 5000}
-
-    assert quality_rules.least_labels(0.04, 0.05 / 4) == 108
-    assert kept_junk(60, 1) == {5003}
-    assert kept_junk(20, 6) == {5000, 5001, 5002, 5003}
+def test_each_stratum_is_certified_alone_and_repeated_rows_count_once(spark):
+    """Two languages of 100 good documents, and one of 5 of which three look like junk."""
+
+    def rejected(good, copies):
+        loud = [" ".join(w + "%%%" for w in prose(k, 40).split()) for k in range(3)]
+        rows = [(i, prose(i, 40), lang) for k, lang in enumerate(("en", None)) for i in range(1000 * k, 1000 * k + good)]
+        few = [(4000 + k, loud[k] if k < 3 else prose(k, 40), "fr") for k in range(5)]
+        junk = [(5000 + k, loud[0], lang) for k, lang in enumerate(("en", "fr", None, "unlabelled"))]
+        labels = spark.createDataFrame([(i, 1, 0) for i, *_ in rows + few], LABELS)
+        frame = spark.createDataFrame((rows + few) * copies + junk, "doc_id bigint, text string, lang string")
+        return {r.doc_id for r in quality_rules.verdicts(frame, labels, 0.04, 0.05).collect() if not r.kept}
+
+    assert quality_rules.least_labels(0.04, 0.05 / 2) == 91
+    assert rejected(100, 1) == {5000, 5002}
+    assert rejected(80, 6) == set()
+
+
+def test_the_doubt_is_shared_by_the_tested_strata_alone(spark):
+    def tests(*sizes):
+        frame = spark.createDataFrame([(str(i), n) for i, n in enumerate(sizes)], "stratum string, n long")
+        return quality_rules.tested_strata(frame, 0.04, 0.05)
+
+    least = [quality_rules.least_labels(0.04, 0.05 / k) for k in (1, 2, 3)]
+    assert least == [74, 91, 101]
+    assert tests() == (1, 74) and tests(*[5] * 50) == (1, 74) and tests(74, *[5] * 50) == (1, 74)
+    assert tests(91, 91) == (2, 91) and tests(100, 100, 100) == (3, 101) and tests(100, 100, 80) == (2, 91)
 
 
 def test_binomial_certificates():
