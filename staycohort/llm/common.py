@@ -17,19 +17,24 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder, so that it is computed once.
+def shared_folder(session: SparkSession) -> str:
+    """The folder for checkpoints and written tables, which all executors share.
 
-    The folder is the session's spark.checkpoint.dir. Only where all runs on one machine, as
-    in tests, a temporary folder is made if it is unset; on a cluster that is an error.
+    It lies in the session's spark.checkpoint.dir. Only where all runs on one machine, as in
+    tests, a temporary folder is made if that is unset; on a cluster that is an error.
     """
-    session = df.sparkSession
     context = session.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         shared = session.conf.get("spark.checkpoint.dir", None)
         if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="staycohort-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder, so that it is computed once."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staycohort.llm import chat_tree, factorisation, hilbert, lattice, mixing, quality_rules, recompression, simhash, trie_bpe, url_rules
+from staycohort.llm import (
+    chat_tree,
+    factorisation,
+    hilbert,
+    lattice,
+    mixing,
+    prefix_trie,
+    quality_rules,
+    recompression,
+    simhash,
+    spelling,
+    trie_bpe,
+    url_rules,
+    warc,
+)
 from staycohort.llm.common import crc_of_id
 
 #: Share of a language's good documents that the quality rules may reject, and the
@@ -126,6 +140,21 @@ def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, places=20)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    taken = F.crc32(conv.cast("string")) % 9
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"), conv - conv % 5, taken).drop("node")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(_table(spark, sf_dir, "documents"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archived(_table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_chat_tree": op1_chat_tree,
     "op2_quality_rules": op2_quality_rules,
@@ -137,4 +166,7 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_trie_bpe": op9_trie_bpe,
     "op10_hilbert_neighbours": op10_hilbert_neighbours,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_spelling": op12_spelling,
+    "op13_warc": op13_warc,
 }

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -95,3 +96,89 @@ def segmentations(text, ids):
     return [
         [text[:k], *rest] for k in range(1, len(text) + 1) if ids.get(text[:k], -1) >= 0 for rest in segmentations(text[k:], ids)
     ]
+
+
+def prefix_trie(turns, base=lambda c: c, taken=lambda c: 0):
+    """Rows of the trie from (conv_id, turn, role, text), by following every path."""
+    own = defaultdict(list)
+    for conv, turn, role, text in turns:
+        if conv is not None:
+            own[conv].append((turn is not None, turn or 0, f"{role or ''}\n{text or ''}", (role or "", text or "")))
+    own = {c: [x[3] for x in sorted(rows, key=lambda r: r[:3])] for c, rows in own.items()}
+    paths = {c: tuple(own.get(base(c), [])[: taken(c)] + rows[taken(c) :]) for c, rows in own.items()}
+    members = defaultdict(list)
+    for c, path in paths.items():
+        for d in range(len(path) + 1):
+            members[path[:d]].append(c)
+    children, leaves, saved = Counter(), Counter(), Counter()
+    for node in members:
+        if node:
+            children[node[:-1]] += 1
+    for node, convs in members.items():
+        for d in range(len(node) + 1):
+            leaves[node[:d]] += not children[node]
+            saved[node[:d]] += (len(convs) - 1) * len(node[-1][1].encode()) if node else 0
+    return sorted(
+        (
+            min(convs),
+            len(node),
+            min(members[node[:-1]]) if node else None,
+            len(convs),
+            children[node],
+            leaves[node],
+            saved[node],
+            sha(",".join(str(c) for c in sorted(convs) if paths[c] == node)),
+        )
+        for node, convs in members.items()
+    )
+
+
+def spelling(rows, least_length=7, least_times=2, ratio=10):
+    """Rows of spelling groups from (doc_id, text), by all one-character patterns of each word."""
+    counts = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = lowered(run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            counts[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 31 == 0 else run] += 1
+    counts = {w: n for w, n in counts.items() if len(w) >= least_length and n >= least_times}
+    patterns = defaultdict(set)
+    for w in counts:
+        for i in range(len(w) + 1):
+            patterns[w[:i] + "?" + w[i:]].add(w)
+            if i < len(w):
+                patterns[w[:i] + "?" + w[i + 1 :]].add(w)
+    near = defaultdict(set)
+    for group in patterns.values():
+        for a in group:
+            near[a] |= group - {a}
+    form = {}
+    for w, n in counts.items():
+        best = min(near[w], key=lambda v: (-counts[v], v), default=None)
+        if best is not None and counts[best] >= ratio * n:
+            form[w] = best
+    out = []
+    for w, n in counts.items():
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, form.get(w), root, n, len(near[w]), counts[form[w]] if w in form else None))
+    return sorted(out)
+
+
+def archived(pages, least=1000):
+    """Rows of the archive index from (page_id, html)."""
+    payloads = [(page_id, (html or "").encode()) for page_id, html in pages]
+    largest = {}
+    for page_id, data in payloads:
+        largest[data] = max(largest.get(data, page_id), page_id)
+    return sorted(
+        (
+            page_id,
+            len(data),
+            hashlib.sha1(data).hexdigest(),
+            "revisit" if len(data) >= least and largest[data] != page_id else "response",
+            largest[data] if len(data) >= least and largest[data] != page_id else None,
+        )
+        for page_id, data in payloads
+    )
