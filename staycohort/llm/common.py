@@ -46,6 +46,17 @@ def if_small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def join_spread(left: DataFrame, right: DataFrame, key: str, by: list[str], parts: int = 64) -> DataFrame:
+    """Inner join of `left` with a table that has one row per `key`, in up to `parts` parts a key.
+
+    Rows of `left` go to parts by the columns `by`. The parts that a key has are listed first,
+    reduced where the rows are, and the other side is repeated for these parts alone.
+    """
+    spread = left.withColumn("__part", F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int"))
+    present = spread.select(key, "__part").distinct().join(right, key)
+    return spread.join(present, [key, "__part"]).drop("__part")
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words `[^\\x20\\x09-\\x0D]+` of a text, as UTF-8 (null: none)."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -3,24 +3,29 @@
 Words become 64-bit names. A run of equal words gets one name; then rounds of pairing
 follow: a hash of a name and the round puts it on the left or the right side, and each
 neighbouring left-right pair gets a new name, hashed from the two. Names depend on content
-alone, so they are global without a dictionary, and equal stretches of text get equal
+alone, so they are global without a dictionary and every document goes through all rounds
+where it lies; no table of names is built or joined. Equal stretches of text get equal
 symbols in their interior. Every symbol carries the stretch of words that decides it; a
 window of words that holds this stretch has the symbol wherever the window occurs. So a
-symbol that occurs once in the whole corpus rules out all windows around it. What is left
-is verified: the remaining windows meet by a 96-bit hash of their words, those that meet
-no other are ruled out too, and the words of the others are removed. A window inside
-which no symbol is decided, as in a long run, is never ruled out early, so no repeat is
-missed.
+symbol that occurs once in the whole corpus rules out all windows around it; symbols meet
+in one shuffle. What is left is verified on the words: the remaining windows meet by a
+128-bit digest of their bytes, those that meet no other are ruled out too, and the words of
+the others are removed. A window inside which no symbol is decided, as in a long run, is
+never ruled out early, so no repeat is missed; names that happen to be equal only let more
+windows through to the digests.
 
 Rows are sent where symbols and windows meet; a symbol or window that already repeats
 within the rows a task holds is sent there once, and its other rows are spread, so a
 passage that a third of all documents share makes no hot key. Documents of equal words
 meet as wholes first, and one of them stands for all in the search for windows.
 
+A row is known by its id where no id has two texts, which is looked up first; a row without
+id by 128 bits hashed from its text; and if ids do have several texts, every row by its id
+and 64 bits more. Rows of one key are equal rows, and judged alike.
+
 Nulls, ties and the rest: a null text has no words and stays null unless joined; all occurrences of a repeat go, the
 first too; fewer words than a window are never touched; rows equal in id and text are each
-other's repeat; other columns are kept; no documents give no rows. Two different windows
-are taken for equal if all 96 bits agree, about once in 10^16 pairs of 10^6 windows.
+other's repeat; other columns are kept; no documents give no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest
 
 from staycohort.llm.common import materialised, small_batches
 
@@ -117,23 +122,14 @@ def symbols(names: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> dict[st
     return {"name": name.view(np.int64), "doc": d, "low": low, "high": high}
 
 
-def window_hashes(names: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit and a 32-bit hash of the `width` names from each position."""
-    out = []
-    for salt in (3, 4):
-        powers, size = {1: _mix(names + _U(salt))}, 1
-        while size * 2 <= width:
-            half = powers[size]
-            powers[size * 2] = _pair(half[: len(half) - size], half[size:], salt)
-            size *= 2
-        count = len(names) - width + 1
-        total, at = powers[size][:count], size
-        while at < width:
-            size = next(s for s in sorted(powers, reverse=True) if s <= width - at)
-            total = _pair(total, powers[size][at : at + count], salt + 2)
-            at += size
-        out.append(total)
-    return out[0].view(np.int64), (out[1] >> _U(32)).astype(np.uint32).view(np.int32)
+def window_digests(data: bytes, places: np.ndarray) -> np.ndarray:
+    """The 128-bit digests (two numbers a row) of the windows that begin at these words of a text."""
+    words = data.split()
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    spans = zip(starts[places].tolist(), ends[places + (WINDOW - 1)].tolist(), strict=True)
+    return np.frombuffer(b"".join([xxh3_128_digest(joined[a:b]) for a, b in spans]), "<i8").reshape(-1, 2)
 
 
 @dataclass(frozen=True)
@@ -169,7 +165,7 @@ def _parts(batch: pa.RecordBatch) -> Iterator[_Part]:
 
 def _whole(data: bytes) -> int:
     """A name for all words of a text together."""
-    return xxh64_intdigest(b" ".join(data.split()), seed=5) - (1 << 63)
+    return int.from_bytes(xxh3_128_digest(b" ".join(data.split()), seed=5)[:8], "little", signed=True)
 
 
 def _send_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,8 +266,10 @@ def _send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             at = np.flatnonzero(windows & ~silent[part.doc])
             if not len(at):
                 continue
-            hashes, checks = window_hashes(part.names, WINDOW)
-            h, c = hashes[at], checks[at]
+            rows, begins = np.unique(part.doc[at], return_index=True)
+            pieces = zip(rows.tolist(), np.split(at, begins[1:]), strict=True)
+            digests = np.concatenate([window_digests(part.data[i], p - part.begin[i]) for i, p in pieces])
+            h, c = digests[:, 0], digests[:, 1]
             order = np.lexsort((c, h))
             differs = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])])
             first = order[differs]
@@ -280,7 +278,7 @@ def _send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(h[first]),
-                    pa.array(c[first], pa.int32()),
+                    pa.array(c[first]),
                     pa.array(known),
                     pa.array(key_id[of + part.rows.start]),
                     pa.array(key_text[of + part.rows.start]),
@@ -333,14 +331,20 @@ def cut(data: bytes, covered: np.ndarray) -> str:
     return b"".join(parts).decode("utf-8", "surrogatepass")
 
 
-def _keys() -> list[Column]:
-    """An id and a short hash of the text, which tell rows of one id apart."""
+def _keys(by_id: bool) -> list[Column]:
+    """Two numbers that tell rows of different id or text apart; `by_id`: no id has two texts."""
+    no_id, text = F.col("doc_id").isNull(), F.xxhash64("text", F.col("text").isNull())
     return [
-        F.coalesce(F.col("doc_id"), F.lit(0).cast("bigint")).alias("key_id"),
-        F.hash(F.col("text"), F.col("doc_id").isNull(), F.col("text").isNull()).alias("key_text"),
+        F.when(no_id, F.xxhash64(F.lit("no id"), "text")).otherwise(F.col("doc_id").cast("bigint")).alias("key_id"),
+        F.when(no_id, text.bitwiseOR(F.lit(1))).otherwise(F.lit(0) if by_id else text.bitwiseAND(F.lit(-2))).cast("bigint").alias("key_text"),
     ]
 
 
+def _ids_have_one_text(docs: DataFrame) -> bool:
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text", F.col("text").isNull()).alias("h"))
+    return texts.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").isEmpty()
+
+
 def remove_repeats(docs: DataFrame, joined: bool = False) -> DataFrame:
     """`docs` without repeated windows, and n_words, n_removed of each.
 
@@ -350,28 +354,29 @@ def remove_repeats(docs: DataFrame, joined: bool = False) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     kept = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    texts = docs.select(*_keys(), "text")  # only below do keys stand beside the caller's columns
-    sent = texts.mapInArrow(_send_symbols, "sym bigint, spread int, key_id bigint, key_text int, idx int")
+    by_id = _ids_have_one_text(docs)
+    texts = docs.select(*_keys(by_id), "text")  # only below do keys stand beside the caller's columns
+    sent = texts.mapInArrow(_send_symbols, "sym bigint, spread int, key_id bigint, key_text bigint, idx int")
     place = F.when(F.col("spread") < 2, 0).otherwise(F.col("spread"))
     met = sent.repartition("sym", place).sortWithinPartitions("sym", "spread", "key_id", "key_text", "idx")
     shared = materialised(
-        met.mapInArrow(_shared_symbols, "key_id bigint, key_text int, idx int")
+        met.mapInArrow(_shared_symbols, "key_id bigint, key_text bigint, idx int")
         .groupBy(F.col("key_id").alias("__key_id"), F.col("key_text").alias("__key_text"))
         .agg(F.collect_set("idx").alias("__shared"))
     )
 
-    id_key, text_key = _keys()
+    id_key, text_key = _keys(by_id)
     keyed = docs.select(*kept).withColumns({"__key_id": id_key, "__key_text": text_key})
     keys = ["__key_id", "__key_text"]
     searched = keyed.join(shared, keys, "left")
     # all columns, so that the texts dealt out by key for this search serve the end again
     windows = searched.mapInArrow(
-        _send_windows, "h bigint, c int, known boolean, key_id bigint, key_text int, pos int"
+        _send_windows, "h bigint, c bigint, known boolean, key_id bigint, key_text bigint, pos int"
     )
     lone = (
         windows.repartition("h")
         .sortWithinPartitions("h", "c")
-        .mapInArrow(_lone_windows, "key_id bigint, key_text int, pos int")
+        .mapInArrow(_lone_windows, "key_id bigint, key_text bigint, pos int")
         .groupBy(F.col("key_id").alias("__key_id"), F.col("key_text").alias("__key_text"))
         .agg(F.collect_set("pos").alias("__lone"))
     )

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -72,6 +73,39 @@ def test_repeats_on_edges(docs, nothing):
     assert recompression.remove_repeats(nothing).count() == 0
 
 
+def test_repeats_of_rows_without_ids_and_of_ids_with_several_texts(spark):
+    """Texts that a 32-bit hash takes for one, under no id, one id and many ids."""
+    made = spark.range(400_000).selectExpr("concat('w', id, ' x') AS start", "hash(concat('w', id, ' x')) AS h")
+    pair = made.groupBy("h").agg(F.min("start").alias("a"), F.max("start").alias("b")).where("a <> b").first()
+    shared = prose(3, 45)
+    bodies = [f"{pair.a} {shared}", f"{pair.b} {prose(11, 45)}", f"own {shared}", prose(12, 80), pair.a, pair.b, None, ""]
+    for ids in ([None] * 8, [7] * 8, [None, 7, 7, 7, None, None, 1, 0], list(range(8))):
+        frame = spark.createDataFrame(list(zip(ids, bodies, strict=True)), "doc_id bigint, text string")
+        got = recompression.remove_repeats(frame, joined=True).select("doc_id", "n_words", "n_removed", F.sha2("text", 256)).collect()
+        expected = [(i, *x) for i, x in zip(ids, brute.cut_repeats(bodies), strict=True)]
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
+
+
+def test_windows_are_told_apart_by_their_bytes(monkeypatch):
+    """Where all words have one name, digests of the bytes alone decide."""
+    real = recompression.word_names
+
+    def one_name(data):
+        names, begins = real(data)
+        return np.full_like(names, 5), begins
+
+    monkeypatch.setattr(recompression, "word_names", one_name)
+    texts = [prose(1, 60), prose(2, 60), f"{prose(1, 60)} x"]
+    rows = {"key_id": [1, 2, 3], "key_text": [0, 0, 0], "text": texts}
+    (sent,) = recompression._send_symbols(iter([pa.RecordBatch.from_pydict(rows)]))
+    assert sent.num_rows
+    marks = {"__key_id": [1, 2, 3], "__key_text": [0, 0, 0], "text": texts, "__shared": [[0], [0], [0]]}
+    kinds = pa.schema([("__key_id", pa.int64()), ("__key_text", pa.int64()), ("text", pa.string()), ("__shared", pa.list_(pa.int32()))])
+    (windows,) = recompression._send_windows(iter([pa.RecordBatch.from_pydict(marks, kinds)]))
+    met = [(r["key_id"], r["pos"], r["known"]) for r in windows.to_pylist()]
+    assert sorted(met) == [(1, p, True) for p in range(26)] + [(2, p, False) for p in range(26)] + [(3, 26, False)]
+
+
 def test_repeats_in_random_texts_of_few_words(spark):
     draw = random.Random(9)
     texts = [" ".join(draw.choice("ab") if draw.random() < 0.9 else "c" for _ in range(draw.randint(0, 400))) for _ in range(60)]
