@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staycohort.llm.common import materialised
+from staycohort.llm.common import join_spread, materialised
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Tie every node's larger neighbours to its smallest neighbour (or itself)."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-    return both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    # a node with very many neighbours meets its least one in parts
+    up = join_spread(both.where(F.col("b") > F.col("a")), least, "a", ["b"])
+    return up.select(F.col("b").alias("a"), F.col("least").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Tie every node and its smaller neighbours to the smallest of these."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     least = down.groupBy("a").agg(F.min("b").alias("least"))
-    tied = down.join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    tied = join_spread(down, least, "a", ["b"]).where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return tied.union(least.select("a", F.col("least").alias("b"))).distinct()
 
 

@@ -7,9 +7,19 @@ segments together differ in at most `l * limit / (limit + 1)` bits, rounded down
 the first segment, at most one in the first two, and so on. So a distinct fingerprint is
 filed, for each segment, under that segment and each variant of the next one with at most
 one bit flipped; fingerprints filed together are checked chain length by chain length, and
-the last length is the whole Hamming distance. Within one file only links that join
-different groups so far are reported, so a dense group gives as many links as members,
-not as many as pairs; their components are the same.
+the last length is the whole Hamming distance.
+
+A file of more than `MOST_FILED` fingerprints is dense, as where a template is filled in
+slightly differently over and over. It is filed again under the chain's next segment: two
+chains of three segments differ there in at most two bits, so both with at most one bit
+flipped meet. Files that are dense even so are cut into blocks, and every two blocks are a
+file of their own: no task holds more than two blocks, and no pair of a file is left out.
+Within one file only links that join different groups so far are reported, so a dense group
+gives as many links as members, not as many as pairs, and a file ends as soon as it is one
+group; the components are the same.
+
+Rows meet their fingerprint's component, and fingerprints the name of it, in parts, so copies
+that are a third of all documents, or one large component, are dealt over tasks.
 
 Nulls, ties and the rest: a null or wordless text has fingerprint zero and links like any
 other; a text of fewer words than a shingle is one shingle; a bit set in exactly half of
@@ -28,11 +38,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from staycohort.llm.common import materialised, row_key, small_batches
+from staycohort.llm.common import join_spread, materialised, row_key, small_batches
 from staycohort.llm.components import components
 
 BITS = 64
 SEED = 42
+#: Fingerprints of a file; larger ones are split.
+MOST_FILED = 4000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -124,22 +136,23 @@ def _root(parent: np.ndarray, x: int) -> int:
     return x
 
 
-def _forest(keys: np.ndarray, fps: np.ndarray, limit: int, rings: np.ndarray) -> list[tuple[int, int]]:
+def _forest(keys: np.ndarray, fps: np.ndarray, segment: np.ndarray, limit: int, rings: np.ndarray) -> list[tuple[int, int]]:
     """Links that join the fingerprints filed under each key; rows sorted by key."""
     n = len(keys)
     parent = np.arange(n)
     label = parent.copy()
-    start = (keys >> 58).astype(np.int64)
     found: list[tuple[int, int]] = []
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if n else np.zeros(0, np.int64)
+    of_file = np.repeat(np.arange(len(first)), np.diff(first, append=n))
     left = np.arange(n - 1)
     step = 1
     while True:
         left = left[left + step < n]
-        left = left[keys[left] == keys[left + step]]
+        left = left[of_file[left] == of_file[left + step]]
         if not len(left):
             return found
         apart = left[label[left] != label[left + step]]
-        good = apart[linked(fps[apart], fps[apart + step], start[apart], limit, rings)]
+        good = apart[linked(fps[apart], fps[apart + step], segment[apart], limit, rings)]
         for i in good.tolist():
             a, b = _root(parent, i), _root(parent, i + step)
             if a != b:
@@ -153,31 +166,79 @@ def _forest(keys: np.ndarray, fps: np.ndarray, limit: int, rings: np.ndarray) ->
                     break
                 label = up
             parent = label.copy()
+            one_group = np.minimum.reduceat(label, first) == np.maximum.reduceat(label, first)
+            left = left[~one_group[of_file[left]]]
         step += 1
 
 
-def links(fingerprints: DataFrame, limit: int) -> DataFrame:
+def _split(filed: DataFrame, most_filed: int, refile: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows of files that are not dense, and of dense ones under the keys `refile` gives them, with `n` of the old file."""
+    part = F.pmod(F.xxhash64("fp"), F.lit(64)).cast("int")
+    filed = filed.withColumn("part", part)
+    counts = filed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("key").agg(F.sum("n").alias("n"), F.collect_list("part").alias("parts"))
+    dense = materialised(sizes.where(F.col("n") > most_filed).select("key", "n", F.explode("parts").alias("part")))
+    if dense.isEmpty():
+        return filed.drop("part"), dense.limit(0)
+    sparse = filed.join(dense.select("key", "part"), ["key", "part"], "left_anti").drop("part")
+    again = filed.join(dense, ["key", "part"]).select("fp", "segment", F.explode(refile).alias("key"))
+    return sparse, materialised(again)
+
+
+def _longer_chain(limit: int) -> Column:
+    """The keys under which a row of a dense file is filed again: the chain's third segment, at most one bit flipped."""
+    parts = segments(limit)
+    keys = None
+    for i in range(len(parts)):
+        start, size = parts[(i + 2) % len(parts)]
+        third = F.shiftrightunsigned("fp", start).bitwiseAND(F.lit((1 << size) - 1))
+        near = F.array(third, *[third.bitwiseXOR(F.lit(1 << bit)) for bit in range(size)])
+        # a hash, as both keys do not fit: files that meet by chance cost time and change nothing
+        named = F.transform(near, lambda x: F.xxhash64(F.col("key"), x))
+        keys = F.when(F.col("segment") == i, named) if keys is None else keys.when(F.col("segment") == i, named)
+    return keys
+
+
+def _blocks(most_filed: int) -> Column:
+    """The keys of the pairs of blocks that a row of a dense file belongs to."""
+    blocks = F.ceil(F.col("n") / F.lit(most_filed / 2)).cast("int")
+    own = F.pmod(F.xxhash64("fp", F.lit("block")), blocks).cast("int")
+    return F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.xxhash64(F.col("key"), F.least(x, own), F.greatest(x, own)))
+
+
+def links(fingerprints: DataFrame, limit: int, most_filed: int = MOST_FILED) -> DataFrame:
     """(a, b): links between distinct fingerprints (`fp`) that join every pair of them that
     differs in at most `limit` bits, directly or through others filed under the same key."""
-    filed = (
-        fingerprints.select("fp", F.explode(_files(F.col("fp"), limit)).alias("key"))
-        .repartition("key")
-        .sortWithinPartitions("key", "fp")
+    spark = fingerprints.sparkSession
+    # a number of its own, as few rows of fingerprints become many rows of files
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    filed = materialised(
+        fingerprints.repartition(tasks, "fp")
+        .select("fp", F.explode(_files(F.col("fp"), limit)).alias("key"))
+        .withColumn("segment", F.shiftrightunsigned("key", 58).cast("int"))
     )
+    sparse, dense = _split(filed, most_filed, _longer_chain(limit))
+    if not dense.isEmpty():
+        middle, denser = _split(dense, most_filed, _blocks(most_filed))
+        sparse = sparse.unionByName(middle)
+        if not denser.isEmpty():
+            sparse = sparse.unionByName(denser)
+    sorted_files = sparse.select("fp", "segment", "key").repartition("key").sortWithinPartitions("key", "fp")
     rings = _rings(limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, fps, segment = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             keys = np.concatenate([keys, batch["key"].to_numpy()])
             fps = np.concatenate([fps, batch["fp"].to_numpy()])
+            segment = np.concatenate([segment, batch["segment"].to_numpy()])
             # the last key may go on in the next batch
             whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            yield _as_batch(_forest(keys[:whole], fps[:whole], limit, rings))
-            keys, fps = keys[whole:], fps[whole:]
-        yield _as_batch(_forest(keys, fps, limit, rings))
+            yield _as_batch(_forest(keys[:whole], fps[:whole], segment[:whole], limit, rings))
+            keys, fps, segment = keys[whole:], fps[whole:], segment[whole:]
+        yield _as_batch(_forest(keys, fps, segment, limit, rings))
 
-    return filed.mapInArrow(run, "a bigint, b bigint").distinct()
+    return sorted_files.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _as_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -199,22 +260,24 @@ def near_duplicates(docs: DataFrame, width: int, limit: int) -> DataFrame:
     """(doc_id, fp, component_id) of every document."""
     found = materialised(with_fingerprint(docs.select("doc_id", "text"), width).select("doc_id", "__fp"))
     classes = materialised(_classes(found, limit))
-    least = found.groupBy("__fp").agg(F.min("doc_id").alias("least"))
-    smallest = (
-        classes.join(least, F.col("fp") == F.col("__fp")).groupBy("root").agg(F.min("least").alias("component_id"))
-    )
-    of = classes.join(smallest, "root").select("fp", "component_id")
-    return found.join(of, F.col("__fp") == F.col("fp")).select("doc_id", "fp", "component_id")
+    least = found.groupBy(F.col("__fp").alias("fp")).agg(F.min("doc_id").alias("least"))
+    smallest = classes.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    of = materialised(join_spread(classes, smallest, "root", ["fp"]).select(F.col("fp").alias("__fp"), "component_id"))
+    named = join_spread(found, of, "__fp", ["doc_id"])
+    return named.select("doc_id", F.col("__fp").alias("fp"), "component_id")
 
 
 def keep_one(docs: DataFrame, width: int, limit: int) -> DataFrame:
     """One document of each component: of its smallest doc_id, then of its least text hash."""
     slim = with_fingerprint(docs.select("doc_id", "text"), width)
     found = materialised(slim.select("doc_id", *row_key(), "__fp"))
+    first = F.struct(F.col("doc_id").isNull(), "key_id", "key_text")
     kept = (
-        found.join(_classes(found, limit), F.col("__fp") == F.col("fp"))
+        found.groupBy(F.col("__fp").alias("fp"))
+        .agg(F.min(first).alias("first"))
+        .join(_classes(found, limit), "fp")
         .groupBy("root")
-        .agg(F.min(F.struct(F.col("doc_id").isNull(), "key_id", "key_text")).alias("one"))
+        .agg(F.min("first").alias("one"))
         .select(F.col("one.key_id").alias("__one_id"), F.col("one.key_text").alias("__one_text"))
         .distinct()
     )

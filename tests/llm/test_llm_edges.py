@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import itertools
 import random
 
 import numpy as np
@@ -160,6 +161,29 @@ def test_every_pair_of_close_fingerprints_is_joined(spark, limit):
     assert [root.get(p, p) for p in signed] == expected
 
 
+@pytest.mark.parametrize("limit", [3, 4])
+def test_dense_files_are_split_and_lose_no_link(spark, limit):
+    """Templates filled in differently: fingerprints that share all but a few bits."""
+    draw = random.Random(limit)
+    prints = set()
+    for spread in (6, 10, 20):
+        middle, bits = draw.getrandbits(64), draw.sample(range(64), spread)
+        for _ in range(250):
+            p = middle
+            for bit in draw.sample(bits, draw.randint(0, 5)):
+                p ^= 1 << bit
+            prints.add(p)
+    for a, b in itertools.pairwise(draw.sample(sorted(prints), 20)):  # some bits between the groups
+        prints.add(a ^ ((a ^ b) & draw.getrandbits(64)))
+    prints = sorted(prints)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    frame = spark.createDataFrame([(p,) for p in signed], "fp bigint")
+    expected = brute.components(signed, prints, limit)
+    for most_filed in (10, 60):
+        root = {r.node: r.root for r in components(simhash.links(frame, limit, most_filed)).collect()}
+        assert [root.get(p, p) for p in signed] == expected
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 60)] + [(3, 3)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
