@@ -3,14 +3,20 @@
 Conversations that share their first turns share the nodes of those turns. Each node is
 written once, as tokens, in depth-first order within its tree (one tree per first turn),
 with position ids that count along its own conversation and the intervals of the packed
-sequence that it may attend to: its ancestors'. A conversation is read back from its
-path of nodes.
+sequence that it may attend to: its ancestors'. A conversation is the tokens of its intervals,
+and is read back from them alone.
 
 A node belongs to the conversation of least id that passes it, so the nodes that belong to
-one conversation are the end of its path, a chain; chains are sorted by where they leave
-which others (deepest first, then by id), which is depth-first order, and a running sum of
-their lengths places them. The sums are taken within ranges of that order and then over
-ranges, so a tree that holds a third of all conversations is spread like any other.
+one conversation are the end of its path, a chain, and a path is a few stretches, each of one
+owner: owners never fall along a path, and each further one has a conversation at least as
+long, so a path has at most as many stretches as the root of twice the number of turns.
+Stretches are sums over the path's nodes by owner; the turns themselves are never gathered.
+Chains are sorted by where they leave which others (deepest first, then by id), which is
+depth-first order, and a running sum of their lengths places them. The sums are taken within
+ranges of that order and then over ranges, and along a chain within blocks of depths and then
+over blocks, so neither a tree that holds a third of all conversations nor a conversation
+that holds a third of all turns is in one task. To read, intervals and packed nodes meet in
+blocks of the packed sequence, and what very many conversations share is dealt out by them.
 
 A turn is written `<|im_start|>role, newline, text<|im_end|>, newline`. A backslash in a
 role or text is doubled, one is put after the first character of every control string in
@@ -18,7 +24,7 @@ it, and a newline in a role becomes backslash and semicolon; reading undoes this
 
 Nulls, ties and the rest: rows without a conv_id belong to no conversation and are left
 out; a null role or text is empty; turns are ordered by turn (null first), then role and
-text, and repeated rows are turns of their own; no conversations give no rows; other
+text joined by a line end, and repeated rows are turns of their own; no conversations give no rows; other
 columns are unused.
 """
 
@@ -35,12 +41,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from staycohort.llm.common import materialised, small_batches
+from staycohort.llm.common import join_spread, materialised, small_batches
+from staycohort.llm.prefix_trie import named_turns
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Strings that steer one or another chat template; inside texts they are escaped.
 CONTROL = (START, END, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 LEARNED_ROLE = "assistant"
+#: Turns of a conversation, and tokens of the packed sequence, that are worked on together.
+DEPTHS, BLOCK = 1024, 4096
 
 _FIRST = re.compile("|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL))
 _ESCAPED = re.compile(r"\\([\\;])?")
@@ -80,49 +89,14 @@ class ChatTree:
     """`nodes`: node, tree, depth, role, ids, learned (text under the loss mask), text_from
     and text_to (its tokens), start (place in the tree's packed sequence), position (id of
     the first token) and ancestors (intervals of the packed sequence).
-    `paths`: conv_id, depth, node. `conversations`: conv_id, tree and intervals."""
+    `conversations`: conv_id, tree and its intervals. `paths`: conv_id, depth and node, for
+    callers; reading back needs the packed sequence and the intervals only."""
 
     nodes: DataFrame
     paths: DataFrame
     conversations: DataFrame
 
 
-def _turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, depth, node (a hash of all turns so far), role, text."""
-    rows = (
-        conversations.where(F.col("conv_id").isNotNull())
-        .select(
-            F.col("conv_id").cast("bigint").alias("conv_id"),
-            "turn",
-            F.coalesce("role", F.lit("")).alias("role"),
-            F.coalesce("text", F.lit("")).alias("text"),
-        )
-        .repartition("conv_id")
-        .sortWithinPartitions("conv_id", "turn", "role", "text")
-    )
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, depth, digest = None, 0, hashlib.blake2b(digest_size=16)
-        for batch in batches:
-            depths, nodes = [], []
-            for conv, role, text in zip(*[batch[c].to_pylist() for c in ("conv_id", "role", "text")], strict=True):
-                if conv != current:
-                    current, depth, digest = conv, 0, hashlib.blake2b(digest_size=16)
-                for part in (role, text):
-                    data = part.encode("utf-8", "surrogatepass")
-                    digest.update(len(data).to_bytes(8, "little"))
-                    digest.update(data)
-                depths.append(depth)
-                nodes.append(digest.copy().digest())
-                depth += 1
-            yield pa.RecordBatch.from_arrays(
-                [batch["conv_id"], pa.array(depths, pa.int32()), pa.array(nodes, pa.binary()), batch["role"], batch["text"]],
-                ["conv_id", "depth", "node", "role", "text"],
-            )
-
-    return rows.mapInArrow(walk, "conv_id bigint, depth int, node binary, role string, text string")
-
-
 def _encoded(nodes: DataFrame, path: str) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
@@ -144,35 +118,26 @@ def _encoded(nodes: DataFrame, path: str) -> DataFrame:
     return nodes.mapInArrow(encode, schema)
 
 
-def _stretches(paths: DataFrame) -> DataFrame:
-    """Per conversation: tree, the stretches of its path by owner (owner, depth, size,
-    position) and the sort key of its own chain."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            trees, orders, stretches = [], [], []
-            for path in batch["path"].to_pylist():
-                found: list[dict] = []
-                position = 0
-                for step in path:
-                    if not found or found[-1]["owner"] != step["owner"]:
-                        found.append({"owner": step["owner"], "depth": step["depth"], "size": 0, "position": position})
-                    found[-1]["size"] += step["size"]
-                    position += step["size"]
-                trees.append(found[0]["owner"])
-                orders.append([x for f in found for x in (-f["depth"], f["owner"])])
-                stretches.append(found)
-            kind = pa.struct([("owner", pa.int64()), ("depth", pa.int32()), ("size", pa.int64()), ("position", pa.int64())])
-            yield pa.RecordBatch.from_arrays(
-                [batch["conv_id"], pa.array(trees, pa.int64()), pa.array(orders, pa.list_(pa.int64())), pa.array(stretches, pa.list_(kind))],
-                ["conv_id", "tree", "order", "stretches"],
-            )
-
-    gathered = paths.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("depth", "owner", "size"))).alias("path"))
-    return gathered.mapInArrow(
-        cut,
-        "conv_id bigint, tree bigint, order array<bigint>, "
-        "stretches array<struct<owner: bigint, depth: int, size: bigint, position: bigint>>",
+def _stretches(steps: DataFrame) -> DataFrame:
+    """Per conversation of `steps` (conv_id, depth, owner, size): tree, the stretches of its
+    path by owner (owner, depth, size, position) and the sort key of its own chain."""
+    by_owner = steps.groupBy("conv_id", "owner").agg(F.min("depth").alias("depth"), F.sum("size").alias("size"))
+    paths = by_owner.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("depth", "owner", "size"))).alias("path"))
+    ends = F.aggregate(
+        "path",
+        F.array(F.lit(0).cast("bigint")),
+        lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x["size"])),
+    )
+    placed = F.zip_with(
+        "path",
+        F.slice("ends", 1, F.size("path")),
+        lambda x, position: F.struct(x["owner"].alias("owner"), x["depth"].alias("depth"), x["size"].alias("size"), position.alias("position")),
+    )
+    return paths.withColumn("ends", ends).select(
+        "conv_id",
+        F.col("path")[0]["owner"].alias("tree"),
+        F.flatten(F.transform("path", lambda x: F.array(-x["depth"].cast("bigint"), x["owner"]))).alias("order"),
+        placed.alias("stretches"),
     )
 
 
@@ -193,22 +158,42 @@ def _chain_starts(stretches: DataFrame) -> DataFrame:
     )
 
 
+def _ahead(encoded: DataFrame) -> DataFrame:
+    """Nodes with `ahead`: the tokens of their chain before them, summed in blocks of depths."""
+    size = F.size("ids").cast("bigint")
+    blocks = encoded.withColumn("depths", F.expr(f"depth div {DEPTHS}"))
+    sums = blocks.groupBy("owner", "depths").agg(F.sum(size).alias("all"))
+    over_blocks = Window.partitionBy("owner").orderBy("depths")
+    before = sums.select("owner", "depths", (F.sum("all").over(over_blocks) - F.col("all")).alias("before"))
+    inside = Window.partitionBy("owner", "depths").orderBy("depth")
+    return (
+        blocks.withColumn("inside", F.sum(size).over(inside) - size)
+        .join(before, ["owner", "depths"])
+        .withColumn("ahead", F.col("before") + F.col("inside"))
+        .drop("depths", "before", "inside")
+    )
+
+
 def format_conversations(conversations: DataFrame, tokenizer_path: str) -> ChatTree:
     """The packed trees of all conversations."""
     small_batches(conversations.sparkSession)
-    turns = materialised(_turns(conversations))
+    turns = named_turns(conversations, with_texts=True).select(
+        "conv_id", (F.col("place") - 1).cast("int").alias("depth"), F.col("name").alias("node"), "role", "text"
+    )
     owners = turns.groupBy("node").agg(F.min("conv_id").alias("owner"))
-    owned = turns.join(owners, "node").where(F.col("owner") == F.col("conv_id"))
-    encoded = materialised(_encoded(owned.select("node", "owner", "depth", "role", "text"), tokenizer_path))
-
-    paths = turns.select("conv_id", "depth", "node")
-    sized = encoded.select("node", "owner", F.size("ids").cast("bigint").alias("size"))
-    stretches = materialised(_stretches(paths.join(sized, "node").select("conv_id", "depth", "owner", "size")))
+    paths = materialised(join_spread(turns.select("conv_id", "depth", "node"), owners, "node", ["conv_id"]))
+    # a node's text is its owner's; the owner passes it at one depth
+    owned = paths.where(F.col("owner") == F.col("conv_id")).select("conv_id", "depth", "node", "owner")
+    texts = turns.select("conv_id", "depth", "role", "text").join(owned, ["conv_id", "depth"])
+    encoded = materialised(_encoded(texts.select("node", "owner", "depth", "role", "text"), tokenizer_path))
+
+    sizes = encoded.select("node", F.size("ids").cast("bigint").alias("size"))
+    stretches = materialised(_stretches(join_spread(paths, sizes, "node", ["conv_id"])))
     starts = materialised(_chain_starts(stretches))
 
-    placed = (
-        stretches.select("conv_id", "tree", F.posexplode("stretches").alias("nth", "one"))
-        .join(starts.select("owner", "start"), F.col("one.owner") == F.col("owner"))
+    passed = stretches.select("conv_id", "tree", F.posexplode("stretches").alias("nth", "one")).withColumn("owner", F.col("one.owner"))
+    placed = materialised(
+        join_spread(passed, starts.select("owner", "start"), "owner", ["conv_id"])
         .groupBy("conv_id", "tree")
         .agg(
             F.transform(
@@ -217,12 +202,9 @@ def format_conversations(conversations: DataFrame, tokenizer_path: str) -> ChatT
             ).alias("intervals")
         )
     )
-    chain = Window.partitionBy("owner").orderBy("depth")
-    size = F.size("ids").cast("bigint")
+    of_chain = starts.join(placed.withColumnRenamed("conv_id", "owner"), "owner")
     nodes = (
-        encoded.withColumn("ahead", F.sum(size).over(chain) - size)
-        .join(starts, "owner")
-        .join(placed.withColumnRenamed("conv_id", "owner"), "owner")
+        join_spread(_ahead(encoded), of_chain, "owner", ["depth"])
         .withColumn("start_here", F.col("start") + F.col("ahead"))
         .withColumn("above", F.slice("intervals", 1, F.size("intervals") - 1))
         .select(
@@ -241,24 +223,42 @@ def format_conversations(conversations: DataFrame, tokenizer_path: str) -> ChatT
             .alias("ancestors"),
         )
     )
-    return ChatTree(nodes, paths, placed)
+    return ChatTree(materialised(nodes), paths.select("conv_id", "depth", "node"), placed)
 
 
-def read_back(tree: ChatTree, tokenizer_path: str) -> DataFrame:
-    """Per conversation, from the tokens on its path: conv_id, n_turns, turns_sha256 (of
-    role, newline, text, newline a turn), loss_chars and loss_sha256 (of the text under the
-    loss mask), formatted_chars (code points of the written turns)."""
-    rows = (
-        tree.paths.join(tree.nodes.select("node", "ids", "learned", "text_from", "text_to"), "node")
-        .select("conv_id", "depth", "ids", "learned", "text_from", "text_to")
-        .repartition("conv_id")
-        .sortWithinPartitions("conv_id", "depth")
+def _read_intervals(tree: ChatTree) -> DataFrame:
+    """(conv_id, position, ids, learned, text_from, text_to): what lies in a conversation's intervals.
+
+    Intervals and nodes meet in blocks of the packed sequence; the blocks that very many
+    conversations see are repeated for up to 64 parts of them.
+    """
+    tokens = F.size("ids").cast("bigint")
+    packed = tree.nodes.select("tree", "start", "position", "ids", "learned", "text_from", "text_to", (F.col("start") + tokens).alias("stop"))
+    blocks = packed.groupBy("tree", F.expr(f"start div {BLOCK}").alias("block")).agg(
+        F.collect_list(F.struct("start", "stop", "position", "ids", "learned", "text_from", "text_to")).alias("held")
     )
+    one = tree.conversations.select("conv_id", "tree", F.inline("intervals")).where("start < stop")
+    asked = one.withColumn("block", F.explode(F.expr(f"sequence(start div {BLOCK}, (stop - 1) div {BLOCK})")))
+    keyed = asked.withColumn("seen", F.struct("tree", "block")).drop("tree", "block")
+    held = blocks.select(F.struct("tree", "block").alias("seen"), "held")
+    inside = F.filter("held", lambda x: (x["start"] >= F.col("start")) & (x["stop"] <= F.col("stop")))
+    return join_spread(keyed, held, "seen", ["conv_id"]).select("conv_id", F.inline(inside).alias(*_HELD)).drop("start", "stop")
+
+
+_HELD = ("start", "stop", "position", "ids", "learned", "text_from", "text_to")
+
+
+def read_back(tree: ChatTree, tokenizer_path: str) -> DataFrame:
+    """Per conversation, from the packed tokens in its intervals: conv_id, n_turns, turns_sha256
+    (of role, newline, text, newline a turn), loss_chars and loss_sha256 (of the text under the
+    loss mask), formatted_chars (code points of the written turns). Position ids must count its
+    tokens without a gap; else ValueError."""
+    rows = _read_intervals(tree).repartition("conv_id").sortWithinPartitions("conv_id", "position")
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
-        current, state = None, None
+        current, state, following = None, None, 0
 
         def closed(done: list) -> pa.RecordBatch:
             columns = zip(*done, strict=True) if done else [[]] * len(names)
@@ -274,11 +274,15 @@ def read_back(tree: ChatTree, tokenizer_path: str) -> DataFrame:
             begin, stop = batch["text_from"].to_numpy(), batch["text_to"].to_numpy()
             written = tokenizer.decode_batch(ids, skip_special_tokens=False)
             masked = tokenizer.decode_batch([x[a:b] for x, a, b in zip(ids, begin, stop, strict=True)], skip_special_tokens=False)
-            for conv, turn, inside, learned in zip(batch["conv_id"].to_pylist(), written, masked, batch["learned"].to_pylist(), strict=True):
+            told = zip(batch["conv_id"].to_pylist(), batch["position"].to_pylist(), ids, written, masked, batch["learned"].to_pylist(), strict=True)
+            for conv, position, tokens, turn, inside, learned in told:
                 if conv != current:
                     if state is not None:
                         done.append(row(current, state))
-                    current, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    current, state, following = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0], 0
+                if position != following:
+                    raise ValueError(f"conversation {conv}: a turn at position {position} follows {following} tokens")
+                following += len(tokens)
                 role, text = read_turn(turn)
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))

@@ -81,9 +81,10 @@ def turn_hash(role: str, text: str) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=15).digest(), "little") + 1
 
 
-def _turns(conversations: DataFrame) -> DataFrame:
+def named_turns(conversations: DataFrame, with_texts: bool = False) -> DataFrame:
     """(conv_id, part, place, name, size), stored: of each turn its place from 1, the name of
-    its conversation's turns up to it, and the bytes of its text. `part`: a range of all turns."""
+    its conversation's turns up to it, and the bytes of its text. `part`: a range of all turns.
+    `with_texts`: role and text, too."""
     empty = F.lit("")
     rows = conversations.where(F.col("conv_id").isNotNull()).select(
         F.col("conv_id").cast("bigint").alias("conv_id"), "turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text")
@@ -109,9 +110,12 @@ def _turns(conversations: DataFrame) -> DataFrame:
                 names.append(_name(name))
                 sizes.append(len(text.encode("utf-8", "surrogatepass")))
             columns = [pa.array(places, pa.int64()), pa.array(names, pa.binary()), pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch["conv_id"], batch["part"], *columns], ["conv_id", "part", "place", "name", "size"])
+            said = [batch[c] for c in texts]
+            yield pa.RecordBatch.from_arrays([batch["conv_id"], batch["part"], *columns, *said], ["conv_id", "part", "place", "name", "size", *texts])
 
-    walked = materialised(ranged.mapInArrow(walk, "conv_id bigint, part int, place bigint, name binary, size bigint"))
+    texts = ["role", "text"] if with_texts else []
+    schema = ", ".join(["conv_id bigint, part int, place bigint, name binary, size bigint", *(f"{c} string" for c in texts)])
+    walked = materialised(ranged.mapInArrow(walk, schema))
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, before, name = None, 0, 0
@@ -141,12 +145,11 @@ def _turns(conversations: DataFrame) -> DataFrame:
                     old = _shifted(_number(batch["name_before"][i].as_py()), batch["place"][i].as_py())
                     names[i] = _name((old + _number(names[i])) % _PRIME)
             place = pa.array(batch["before"].to_numpy() + batch["place"].to_numpy())
-            yield pa.RecordBatch.from_arrays(
-                [batch["conv_id"], batch["part"], place, pa.array(names, pa.binary()), batch["size"]], ["conv_id", "part", "place", "name", "size"]
-            )
+            columns = [batch["conv_id"], batch["part"], place, pa.array(names, pa.binary()), batch["size"], *(batch[c] for c in texts)]
+            yield pa.RecordBatch.from_arrays(columns, ["conv_id", "part", "place", "name", "size", *texts])
 
-    joined = walked.join(starts, ["conv_id", "part"]).select("conv_id", "part", "place", "name", "size", "before", "name_before")
-    return materialised(joined.mapInArrow(settle, "conv_id bigint, part int, place bigint, name binary, size bigint"))
+    joined = walked.join(starts, ["conv_id", "part"]).select("conv_id", "part", "place", "name", "size", *texts, "before", "name_before")
+    return materialised(joined.mapInArrow(settle, schema))
 
 
 _PLAN = (
@@ -468,7 +471,7 @@ def prefix_trie(
     `MOST_TAKEN`, are replaced by those of the conversation `base`.
     """
     small_batches(conversations.sparkSession)
-    turns = _turns(conversations)
+    turns = named_turns(conversations)
     plans = _plans(turns, base if base is not None else F.col("conv_id"), taken if taken is not None else F.lit(0))
     facts = plans.agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("least")).first()
     nodes, total = _preorder(_steps(turns, plans), facts["n"], facts["least"])

@@ -416,6 +416,31 @@ def test_packed_trees_hold_each_shared_turn_once(spark):
         assert [x for i in whole.intervals for x in packed[whole.tree][i.start : i.stop]] == before
 
 
+def test_a_conversation_of_a_third_of_all_turns(spark):
+    """It runs, in blocks of depths, and is read back whole; so is one very long turn."""
+    path, draw = public_tokenizers.path("byte_bpe_50k.json"), random.Random(6)
+    rows = [(5, t, "user" if t % 2 == 0 else "assistant", draw.choice(["yes", "no"])) for t in range(2500)]
+    rows += [(6, t, *rows[t][2:]) for t in range(1800)] + [(6, 1800, "user", "other")] + [(c, t, *rows[t][2:]) for c in (1, 2, 9) for t in range(1100)]
+    rows += [(100 + c, 0, "user", f"hello {c % 7}") for c in range(60)] + [(300, 0, "user", "wörd " * 60_000)]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    tree = chat_tree.format_conversations(frame, path)
+    got = {r.conv_id: r for r in chat_tree.read_back(tree, path).collect()}
+    for conv in {c for c, *_ in rows}:
+        turns = [r for r in rows if r[0] == conv]
+        assert got[conv].n_turns == len(turns) and got[conv].turns_sha256 == brute.sha("".join(f"{t[2]}\n{t[3]}\n" for t in turns))
+    assert tree.nodes.count() == len({tuple(x[2:] for x in rows if x[0] == c)[: t + 1] for c in (5, 6) for t in range(2500)}) + 8
+    assert max(len(r.intervals) for r in tree.conversations.collect()) <= 4
+
+
+def test_reading_back_needs_whole_intervals(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    frame = spark.createDataFrame([(1, t, "user", "word " * 9) for t in range(3)], "conv_id bigint, turn bigint, role string, text string")
+    tree = chat_tree.format_conversations(frame, path)
+    broken = chat_tree.ChatTree(tree.nodes.where("depth <> 1"), tree.paths, tree.conversations)
+    with pytest.raises(Exception, match="follows"):
+        chat_tree.read_back(broken, path).collect()
+
+
 def test_neighbours_on_edges(spark):
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]),
             (6, [None, 1.0]), (40, [float("inf"), 1.0]), (7, [-1.0, 0.0]), (8, [1.0]), (None, [1.0, 1.0]), (2, [0.5, 0.5])]

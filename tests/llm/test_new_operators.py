@@ -86,7 +86,7 @@ def test_a_long_conversation_is_dealt_out(spark):
     )
     before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    parts = [r["count"] for r in prefix_trie._turns(rows).groupBy("part").count().collect()]
+    parts = [r["count"] for r in prefix_trie.named_turns(rows).groupBy("part").count().collect()]
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     assert max(parts) <= 3 * 30_000 / 8
     found = prefix_trie.prefix_trie(rows, shard_nodes=700)
