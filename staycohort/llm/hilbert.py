@@ -3,21 +3,28 @@
 Candidates are split by norm into bands, at quantiles ever closer to the greatest norms, as
 far as norms differ by more than `EVEN`. A band's vectors are scaled by its largest norm and
 given one more component that makes them unit vectors, so that inner products order them as
-distances do. Every query searches every band; the few rows of the top band, and bands too
-small for ranges, are scanned whole. Each curve projects them at
-random to a few dimensions, shifts the grid and takes the place on a Hilbert curve as key.
-Keys are cut at their quantiles into ranges of near equal size; a row goes to its range of
-every curve, a query to its own range and its neighbours', and every range ranks its rows
-for its queries by exact products. A query's lists are merged over ranges and curves and
-ranked again. Equal places on a curve are ordered differently on each curve.
-
-Among equal vectors only the rows of least ids can be in a list, as many as it has places
-and one more for the query itself; the others are left out of the ranges. Equal query
-vectors are searched once. So copies of one vector make no range large.
-
-How far neighbours lie apart on a curve depends on the data: for vectors without structure
-a share of all rows must be looked at, and `REACH` is that share on each side. The README
-has recall measured against brute force.
+distances do. Every query searches every band; only the few rows of the top band are scanned
+whole. Each curve projects the vectors at random to a few dimensions, shifts the grid and
+takes the place on a Hilbert curve as key. Keys are cut at their quantiles into ranges of a
+number of rows; a row goes to its range of every curve, a query to its own range and those
+beside it, and every range ranks its rows for its queries. A query's lists are merged over
+ranges and curves. Equal places on a curve are ordered differently on each curve.
+
+A window is a number of neighbours along the curve, by rank: a query sees at least `reach(n)` of
+a band's n rows on each side, SCALE * n^POWER. How far true neighbours lie apart along a curve
+depends on the data; the power was measured on vectors without any structure, where it is
+hardest, and being below one it makes the products of a query grow more slowly than the rows. The
+README has recall and products against brute force. Where a window holds more rows than a
+task should, it is several ranges; where a range is asked by more queries than a task should
+answer, they are split, and its rows are repeated for each part.
+
+Products inside a range are found as matrices, whose last bit depends on the place in the
+matrix; those of the best rows, and of all that come within rounding of them, are worked out
+again component by component, in one order, so equal vectors have equal scores everywhere.
+
+Equal vectors are one candidate, of which the rows of least ids can be in a list, as many as it
+has places and one more for the query itself. Equal query vectors are searched once. So copies
+of one vector make no range large, and none of them is missed where one is found.
 
 Nulls, ties and the rest: vectors that are null, zero, hold nulls or non-finite numbers,
 or are not of the most common length take no part, as query or as candidate; rows without
@@ -37,11 +44,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from staycohort.llm.common import materialised
+from staycohort.llm.common import join_spread, materialised
 
-CURVES, DIMENSIONS, BITS = 12, 8, 5
-#: Share of a band's rows that a query sees on each side at least, and bounds of a range's rows.
-REACH, LEAST_RANGE, MOST_RANGE = 0.05, 1_000, 50_000
+CURVES, DIMENSIONS, BITS = 32, 8, 4
+#: A query sees SCALE * n^POWER of n rows on each side of its place on a curve at least.
+SCALE, POWER = 0.035, 0.82
+#: Rows of the top band, which is scanned whole unless it has twice as many of equal norms;
+#: rows of a range, queries that it answers in one task, and ranges of a curve, after which
+#: ranges get larger. The ends of all ranges of all curves reach every task.
+TOP_ROWS, MOST_RANGE, MOST_ASKS, MOST_RANGES = 200, 20_000, 20_000, 20_000
 #: Norms up to this ratio may share a band whatever their quantiles.
 EVEN = 1.2
 _TIE_BITS = 22
@@ -113,6 +124,11 @@ def band_edges(norms: list[float]) -> list[float]:
     return sorted(set(edges))
 
 
+def reach(n: int, scale: float = SCALE) -> int:
+    """Rows that a query sees on each side of its place, of `n`."""
+    return max(1, math.ceil(scale * n**POWER))
+
+
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy().astype(np.float64).reshape(-1, size)
 
@@ -138,26 +154,32 @@ def neighbours(
     is_query: Column,
     places: int,
     seed: int = 11,
-    reach: float = REACH,
-    least_range: int = LEAST_RANGE,
+    scale: float = SCALE,
     most_range: int = MOST_RANGE,
+    most_asks: int = MOST_ASKS,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the `places` best rows found for every query row.
 
     `is_query` is a condition on vec_id.
     """
     of_vector = Window.partitionBy("embedding").orderBy("vec_id")
-    rows = materialised(usable(embeddings).withColumn("nth", F.row_number().over(of_vector)).withColumn("norm", _norm()))
-    candidates = rows.where(F.col("nth") <= places + 1).select("vec_id", "embedding", "norm")
-    queries = rows.where(is_query).select("vec_id", "embedding")
-    searched = queries.groupBy("embedding").agg(F.min("vec_id").alias("vec_id")).select("vec_id", "embedding", F.lit(0).alias("band"))
+    rows = materialised(usable(embeddings))
+    # the limit stands right above the window, so each task keeps that many of a vector at most
+    numbered = rows.withColumn("nth", F.row_number().over(of_vector)).where(F.col("nth") <= places + 1)
+    vectors = numbered.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.collect_list("vec_id").alias("ids"))
+    candidates = materialised(vectors.select("vec_id", "ids", "embedding", _norm().alias("norm")))
+    copies = candidates.select("vec_id", "ids")
+    queries = rows.where(is_query)
+    searched = materialised(
+        queries.groupBy("embedding").agg(F.min("vec_id").alias("vec_id")).select("vec_id", "embedding", F.lit(0).alias("band"))
+    )
 
     facts = candidates.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("size")).first()
     total, size = facts["n"], facts["size"] or 1
     curves = Curves(size, seed)
     edges: list[float] = []
-    if total > least_range:
-        top = least_range / total
+    if total > TOP_ROWS:
+        top = TOP_ROWS / total
         tails = [4.0**-k for k in range(1, 16) if 4.0**-k > top]
         at = [0.0, *[1 - t for t in tails], 1 - top, 1.0]
         edges = band_edges(candidates.agg(F.percentile_approx("norm", at, 100_000)).first()[0])
@@ -165,12 +187,17 @@ def neighbours(
     candidates = candidates.select("vec_id", "embedding", band.alias("band"), "norm")
     of_band = candidates.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("norm")).collect()
     scales = np.ones(len(edges) + 1)
-    ranges = dict.fromkeys(range(len(edges) + 1), 0)
+    asked_by = searched.count()
+    ranges, beside, splits = ({b: 0 for b in range(len(edges) + 1)} for _ in range(3))
     for row in of_band:
-        scales[row["band"]] = row["norm"]
-        n = max(1, min(round(1 / reach), row["n"] // least_range), math.ceil(row["n"] / most_range))
-        whole = n <= 2 * math.ceil(n * reach) + 1 or (edges and row["band"] == len(edges))
-        ranges[row["band"]] = 1 if whole else n
+        b, n = row["band"], row["n"]
+        scales[b] = row["norm"]
+        window = reach(n, scale)
+        whole = bool(edges) and b == len(edges) and n <= 2 * TOP_ROWS
+        ranges[b] = 1 if whole else math.ceil(n / max(min(window, most_range), n / MOST_RANGES))
+        beside[b] = 0 if whole else math.ceil(window * ranges[b] / n)
+        asks = asked_by / CURVES if whole else asked_by * min(1, (2 * beside[b] + 1) / ranges[b])
+        splits[b] = max(1, math.ceil(asks / most_asks))
 
     def keys_of(as_query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +223,7 @@ def neighbours(
         at = {n: [i / n for i in range(1, n)] for n in {ranges[b] for b in cut}}
         for n, shares in at.items():
             of_n = placed.where(F.col("band").isin([b for b in cut if ranges[b] == n]))
-            found = of_n.groupBy("band", "curve").agg(F.percentile_approx("key", shares, 10_000).alias("cuts")).collect()
+            found = of_n.groupBy("band", "curve").agg(F.percentile_approx("key", shares, max(10_000, 20 * n)).alias("cuts")).collect()
             cuts |= {(row["band"], row["curve"]): np.array(row["cuts"], np.int64) for row in found}
 
     def dealt(as_query: bool):
@@ -204,29 +231,32 @@ def neighbours(
             for batch in keys_of(as_query)(batches):
                 if not batch.num_rows:
                     continue
-                curve, keys = batch["curve"][0].as_py(), batch["key"].to_numpy()
+                curve, keys, ids = batch["curve"][0].as_py(), batch["key"].to_numpy(), batch["vec_id"].to_numpy()
                 for b, n in ranges.items():
                     if not n:
                         continue
                     own = np.searchsorted(cuts[b, curve], keys, "right")
                     # A band of one range is whole on every curve; a query reads it once.
-                    asks = _hashed(batch["vec_id"].to_numpy(), CURVES) % CURVES == curve if n == 1 else True
+                    asks = _hashed(ids, CURVES) % CURVES == curve if n == 1 else True
                     here = asks if as_query else batch["band"].to_numpy() == b
-                    beside = math.ceil(n * reach) if n > 1 and as_query else 0
-                    for step in range(-beside, beside + 1):
+                    near = beside[b] if as_query else 0
+                    for step in range(-near, near + 1):
                         keep = np.flatnonzero(here & (own + step >= 0) & (own + step < n))
                         part = batch.take(pa.array(keep))
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                part["curve"],
-                                pa.array(np.full(len(keep), b), pa.int32()),
-                                pa.array(own[keep] + step, pa.int32()),
-                                pa.array(np.full(len(keep), as_query)),
-                                part["vec_id"],
-                                part["embedding"],
-                            ],
-                            ["curve", "band", "range", "asks", "vec_id", "embedding"],
-                        )
+                        mine = _hashed(ids[keep], CURVES + 1) % splits[b]
+                        for split in range(1 if as_query else splits[b]):
+                            yield pa.RecordBatch.from_arrays(
+                                [
+                                    part["curve"],
+                                    pa.array(np.full(len(keep), b), pa.int32()),
+                                    pa.array(own[keep] + step, pa.int32()),
+                                    pa.array(mine if as_query else np.full(len(keep), split), pa.int32()),
+                                    pa.array(np.full(len(keep), as_query)),
+                                    part["vec_id"],
+                                    part["embedding"],
+                                ],
+                                ["curve", "band", "range", "split", "asks", "vec_id", "embedding"],
+                            )
 
         return run
 
@@ -240,42 +270,49 @@ def neighbours(
         rows_ids, rows = rows_ids[by_id], rows[by_id]
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         questions, question_ids = vectors[asks], ids[asks]
+        longest = np.sqrt((rows**2).sum(1).max(initial=0))
         for start in range(0, len(questions), 128):
-            products = questions[start : start + 128] @ rows.T
-            for query, line in zip(question_ids[start : start + 128], products, strict=True):
+            block = questions[start : start + 128]
+            products = block @ rows.T
+            for question, query, line in zip(block, question_ids[start : start + 128], products, strict=True):
+                near = np.arange(len(line))
                 if len(line) > places + 1:
                     least = np.partition(line, len(line) - places - 1)[len(line) - places - 1]
-                    near = np.flatnonzero(line >= least)
-                else:
-                    near = np.arange(len(line))
-                near = near[np.argsort(-line[near], kind="stable")[: places + 1]]
-                out.append((np.full(len(near), query), rows_ids[near], line[near]))
+                    near = np.flatnonzero(line >= least - 1e-12 * longest * np.sqrt(question @ question))
+                exact = np.cumsum(rows[near] * question, axis=1)[:, -1]  # one after the other, whatever the block
+                best = np.argsort(-exact, kind="stable")[: places + 1]
+                out.append((np.full(len(best), query), rows_ids[near[best]], exact[best]))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
         return pa.table(
             {"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "product": pa.array(columns[2], pa.float64())}
         )
 
-    schema = f"curve int, band int, range int, asks boolean, vec_id bigint, embedding {kind}"
+    schema = f"curve int, band int, range int, split int, asks boolean, vec_id bigint, embedding {kind}"
     lists = (
         candidates.mapInArrow(dealt(False), schema)
         .union(searched.mapInArrow(dealt(True), schema))
-        .groupBy("curve", "band", "range")
+        .groupBy("curve", "band", "range", "split")
         .applyInArrow(best_of_range, "query_id bigint, vec_id bigint, product double")
     )
     by_product = Window.partitionBy("query_id").orderBy(F.desc("product"), "vec_id")
-    merged = (
+    nearest = (
         lists.groupBy("query_id", "vec_id")
         .agg(F.max("product").alias("product"))
         .withColumn("place", F.row_number().over(by_product))
         .where(F.col("place") <= places + 1)
+    )
+    rows_of = F.transform("ids", lambda i: F.struct((-F.col("product")).alias("order"), i.alias("vec_id"), F.col("product").alias("product")))
+    merged = (
+        join_spread(nearest, copies, "vec_id", ["query_id"])
+        .groupBy("query_id")
+        .agg(F.array_sort(F.flatten(F.collect_list(rows_of))).alias("found"))
         .join(searched.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
-        .groupBy("embedding")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "product"))).alias("found"))
+        .select("embedding", "found")
     )
     others = F.filter("found", lambda x: x["vec_id"] != F.col("query_id"))
+    asked = queries.select(F.col("vec_id").alias("query_id"), "embedding")
     return (
-        queries.select(F.col("vec_id").alias("query_id"), "embedding")
-        .join(merged, "embedding")
+        join_spread(asked, merged, "embedding", ["query_id"])
         .select("query_id", F.posexplode(F.slice(others, 1, places)).alias("at", "one"))
         .select(
             "query_id",

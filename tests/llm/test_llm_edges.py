@@ -454,7 +454,7 @@ def test_neighbours_on_edges(spark):
 
 @pytest.mark.parametrize("kind", ["even", "one great norm", "groups, one great norm", "uneven", "common great vector"])
 def test_recall_of_windows(spark, kind):
-    """Twenty ranges a curve, of which a query sees three, against brute force."""
+    """Windows of some dozen rows on each side, against brute force."""
     draw, n, places = np.random.default_rng(8), 4000, 10
     vectors = draw.normal(size=(n, 32))
     if "groups" in kind:
@@ -468,7 +468,7 @@ def test_recall_of_windows(spark, kind):
         vectors[draw.permutation(n)[: n // 3]] = 1000 * vectors[7]
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>").repartition(4)
     got = {}
-    for r in hilbert.neighbours(frame, F.col("vec_id") % 40 == 0, places, least_range=100).collect():
+    for r in hilbert.neighbours(frame, F.col("vec_id") % 40 == 0, places).collect():
         got.setdefault(r.query_id, []).append(r.score)
     reached = 0
     for query in range(0, n, 40):
@@ -479,6 +479,43 @@ def test_recall_of_windows(spark, kind):
     assert reached >= 0.9 * places * len(range(0, n, 40))
 
 
+def test_split_ranges_and_queries_find_the_same(spark):
+    draw = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(draw.normal(size=(900, 16)))] + [(900 + i, [1.0] * 16) for i in range(60)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
+    found = [sorted(map(tuple, hilbert.neighbours(frame, F.col("vec_id") % 3 == 0, 5, scale=0.4, **o).collect())) for o in ({}, {"most_asks": 7})]
+    assert found[0] == found[1] and len(found[0]) == 5 * 320
+    narrow = hilbert.neighbours(frame, F.col("vec_id") % 3 == 0, 5, scale=0.4, most_range=10, most_asks=20).collect()
+    assert len({r[:3] for r in map(tuple, narrow)} & {r[:3] for r in found[0]}) >= 0.95 * len(found[0])
+
+
+def test_windows_grow_more_slowly_than_the_rows():
+    share = [hilbert.CURVES * 3 * hilbert.reach(n) / n for n in (10**4, 10**5, 10**6, 10**9)]
+    assert share == sorted(share, reverse=True) and share[-1] < share[0] / 5
+
+
+def test_equal_vectors_have_equal_scores_wherever_they_lie(spark):
+    draw = np.random.default_rng(12)
+    vectors = np.repeat(draw.normal(size=(300, 64)), 8, axis=0)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>").repartition(5)
+    by_query = {}
+    for r in hilbert.neighbours(frame, F.col("vec_id") % 20 == 0, 20).collect():
+        by_query.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for found in by_query.values():
+        found.sort()
+        assert found == [(k + 1, *x) for k, x in enumerate(sorted((x[1:] for x in found), key=lambda x: (-x[1], x[0])))]
+        of_vector = {}
+        for _, i, score in found:
+            of_vector.setdefault(i // 8, []).append((i, score))
+        assert all(len({s for _, s in x}) == 1 for x in of_vector.values())
+        # ties to smaller ids: of each vector the least ones, without a gap
+        assert all([i for i, _ in x] == [i for i in range(8 * k, 8 * k + 8) if i != found_query(by_query, found)][: len(x)] for k, x in of_vector.items())
+
+
+def found_query(by_query, found):
+    return next(q for q, x in by_query.items() if x is found)
+
+
 def test_hilbert_steps_are_unit_steps():
     side = 8
     grid = np.array([(x, y, z) for x in range(side) for y in range(side) for z in range(side)])
