@@ -295,7 +295,7 @@ def neighbours(
         .applyInArrow(best_of_range, "query_id bigint, vec_id bigint, product double")
     )
     by_product = Window.partitionBy("query_id").orderBy(F.desc("product"), "vec_id")
-    nearest = (
+    nearest = materialised(
         lists.groupBy("query_id", "vec_id")
         .agg(F.max("product").alias("product"))
         .withColumn("place", F.row_number().over(by_product))

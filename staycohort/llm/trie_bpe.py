@@ -34,8 +34,9 @@ from pyspark.sql import types as T
 
 from staycohort.llm.common import small_batches
 
-#: Words whose encodings a task keeps between batches: up to so many of late, and as many before.
-KEPT_WORDS = 350_000
+#: Words whose encodings a task keeps between batches: up to so many of late, and as many before,
+#: and of so many characters.
+KEPT_WORDS, KEPT_CHARACTERS = 350_000, 16_000_000
 
 _NEVER = float("inf")
 
@@ -80,6 +81,7 @@ class TrieEncoder:
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.characters_kept = 0
 
     def _spine(self, token: int, side: int, kept: dict) -> list[tuple[int, float, float]]:
         """The tokens that stood at one end of `token` while it was built: each with
@@ -197,9 +199,10 @@ class TrieEncoder:
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         split = [self._chunks(t) for t in texts]
         present = set(chain.from_iterable(split))
-        if len(self.known) + len(present) > KEPT_WORDS:
-            self.older, self.known = self.known, {}
+        if len(self.known) + len(present) > KEPT_WORDS or self.characters_kept > KEPT_CHARACTERS:
+            self.older, self.known, self.characters_kept = self.known, {}, 0
         missing = present.difference(self.known)
+        self.characters_kept += sum(map(len, missing))
         for chunk in missing & self.older.keys():
             self.known[chunk] = self.older[chunk]
         new = {c: self.pieces(c) for c in missing.difference(self.known)}
@@ -233,13 +236,16 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         gc.disable()  # kept words form no cycles, and scanning them over and over is slow
-        for batch in batches:
-            found = coder.encode(batch.column(at).to_pylist())
-            ends = np.cumsum([0, *map(len, found)])
-            flat = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            decoded = pa.array([coder.decode(x) for x in found], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids, decoded], [*kept, "ids", "decoded"])
+        try:
+            for batch in batches:
+                found = coder.encode(batch.column(at).to_pylist())
+                ends = np.cumsum([0, *map(len, found)])
+                flat = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+                decoded = pa.array([coder.decode(x) for x in found], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns, ids, decoded], [*kept, "ids", "decoded"])
+        finally:
+            gc.enable()  # the worker goes on with other stages
 
     fields = [*source.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
     return source.mapInArrow(run, T.StructType(fields))

@@ -182,3 +182,76 @@ def archived(pages, least=1000):
         )
         for page_id, data in payloads
     )
+
+
+def quality_kept(docs, labels, settings, risk, doubt):
+    """Which of (doc_id, text, lang) the base rule and certified thresholds keep."""
+    measured = []
+    for doc_id, text, lang in docs:
+        w, text = words(text), text or ""
+        lines = [x for x in text.split("\n") if words(x)]
+        repeats, chars = repeated_words(text), sum(map(len, w))
+        share = {
+            "symbol_ratio": (sum(text.count(c) for c in "#*$%&|<>"), chars),
+            "dup_line_ratio": (len(lines) - len(set(lines)), len(lines)),
+            "repeat_ratio": (repeats, len(w)),
+            "upper_ratio": (sum("A" <= c <= "Z" for c in text), chars),
+        }
+        failed = len(w) < 20 or 100 * repeats > 30 * len(w)
+        measured.append((doc_id, lang, failed, {k: a / b if b else 0.0 for k, (a, b) in share.items()}))
+    quality = {}
+    for doc_id, q in labels:
+        if doc_id is not None and q is not None:
+            quality[doc_id] = max(q, quality.get(doc_id, q))
+    good = defaultdict(dict)
+    for doc_id, lang, _, m in measured:
+        if quality.get(doc_id) == 1:
+            old = good[lang].get(doc_id, m)
+            good[lang][doc_id] = {k: max(m[k], old[k]) for k in m}
+
+    def tail(k, n):
+        return sum(math.comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(k + 1))
+
+    sizes = [len(x) for x in good.values()]
+    tests = next(t for t in range(1, len(sizes) + 2) if sum((1 - risk) ** n <= doubt / t for n in sizes) <= t)
+    cutoffs = {}
+    for lang, of_good in good.items():
+        if (1 - risk) ** len(of_good) > doubt / tests:
+            continue
+        for setting in settings:
+            rejected = sum(any(m[k] > c for k, c in setting.items()) for m in of_good.values())
+            if rejected > risk * len(of_good) or tail(rejected, len(of_good)) > doubt / tests:
+                break
+            cutoffs[lang] = setting
+    return [not failed and not any(m[k] > c for k, c in cutoffs.get(lang, {}).items()) for _, lang, failed, m in measured]
+
+
+def cut_texts(texts, width=35):
+    """Each text without its repeated words and the white space behind each of them."""
+    split = [words(t) for t in texts]
+    seen = Counter(tuple(w[i : i + width]) for w in split for i in range(len(w) - width + 1))
+    out = []
+    for text, w in zip(texts, split, strict=True):
+        covered = {j for i in range(len(w) - width + 1) if seen[tuple(w[i : i + width])] > 1 for j in range(i, i + width)}
+        if not covered:
+            out.append(text)
+            continue
+        starts = [m.start() for m in WORD.finditer(text)] + [len(text)]
+        out.append(text[: starts[0]] + "".join(text[starts[i] : starts[i + 1]] for i in range(len(w)) if i not in covered))
+    return out
+
+
+def poisson_copies(rows, exponent, seed):
+    """Copies of each (doc_id, source)."""
+    present = Counter(source for _, source in rows)
+    weight = {s: n**exponent for s, n in present.items()}
+    rate = {s: round(weight[s] / sum(weight.values()) * len(rows) / n, 9) for s, n in present.items()}
+    out = []
+    for doc_id, source in rows:
+        u = int(hashlib.md5(f"{seed}|{'null' if doc_id is None else doc_id}".encode()).hexdigest()[:13], 16) / 2**52
+        k, total = 0, math.exp(-rate[source])
+        while total <= u:
+            k += 1
+            total += math.exp(-rate[source] + k * math.log(rate[source]) - math.lgamma(k + 1))
+        out.append(k)
+    return out
