@@ -4,7 +4,9 @@ A rule is a regular expression over `host + path` and the literal tokens every m
 must hold. Tokens are counted over all URLs; a rule is filed under its token that
 occurs least. A URL then fetches, with its distinct tokens, the rules filed under them,
 and only those run their regular expressions. Rules without a token are filed under the
-empty token, which every URL has.
+empty token, which every URL has. A list of rules up to `MOST_BROADCAST` is looked up as one
+map in every task; a longer one is joined with the tokens of the distinct addresses, token by
+token in parts, and only the best rule of each address comes back to its pages.
 
 Nulls, ties and the rest: a null URL or one without `://` has an empty host and path and
 matches only rules whose pattern matches the empty string; of the rules that match, the
@@ -20,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from staycohort.llm.common import join_spread, materialised
+
 #: Rules up to which the index, under 1 KB a rule, is broadcast.
 MOST_BROADCAST = 20_000
 
@@ -76,7 +80,7 @@ def rarest_tokens(addresses: DataFrame, rules: DataFrame) -> DataFrame:
     wanted = rules.select("name", F.explode("tokens").alias("token"))
     counts = (
         addresses.select(F.explode(tokens_of(F.col("address"))).alias("token"))
-        .join(F.broadcast(wanted.select("token").distinct()), "token", "left_semi")
+        .join(wanted.select("token").distinct(), "token", "left_semi")
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -90,20 +94,43 @@ def rarest_tokens(addresses: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], otherwise: str) -> DataFrame:
+def _joined(located: DataFrame, index: DataFrame) -> DataFrame:
+    """`located` with `__best`, by a join of its addresses' tokens with the filed rules."""
+    addresses = materialised(located.select("__address").distinct())
+    tokens = addresses.select("__address", F.explode(tokens_of(F.col("__address"))).alias("filed"))
+    rules = index.groupBy("filed").agg(F.collect_list(F.struct("priority", "name", "verdict", "pattern")).alias("rules"))
+    best = (
+        join_spread(tokens, rules, "filed", ["__address"])
+        .select("__address", F.inline("rules"))
+        .where(F.expr("rlike(__address, pattern)"))
+        .groupBy("__address")
+        .agg(F.min(F.struct((-F.col("priority")).alias("p"), "name", "verdict")).alias("__best"))
+    )
+    of_address = addresses.join(best, "__address", "left")
+    return join_spread(located, of_address, "__address", [c for c in located.columns if c != "__address"])
+
+
+def judge_urls(pages: DataFrame, rules: list[Rule], otherwise: str, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """`pages` with host, path, the winning rule's name (or null) and the verdict."""
-    if len(rules) > MOST_BROADCAST:
-        raise ValueError(f"more than {MOST_BROADCAST} rules: keep them in a table and join it")
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     located = pages.select(
         *kept, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")
     ).withColumn("__address", F.concat("host", "path"))
     rules_df = rule_table(pages.sparkSession, rules)
     index = rarest_tokens(located.select(F.col("__address").alias("address")), rules_df)
+    judged = [
+        *kept,
+        "host",
+        "path",
+        F.col("__best.name").alias("rule"),
+        F.coalesce("__best.verdict", F.lit(otherwise)).alias("verdict"),
+    ]
+    if len(rules) > most_broadcast:
+        return _joined(located, index).select(*judged)
     filed = index.groupBy("filed").agg(
         F.collect_list(F.struct("priority", "name", "verdict", "pattern")).alias("rules")
     )
-    # A map of at most MOST_BROADCAST rules, worked out once; a URL looks its tokens up in it.
+    # A map of at most `most_broadcast` rules, worked out once; a URL looks its tokens up in it.
     book = filed.agg(F.map_from_entries(F.collect_list(F.struct("filed", "rules"))).alias("__book"))
     fetched = F.flatten(
         F.filter(F.transform(tokens_of(F.col("__address")), lambda t: F.col("__book")[t]), F.isnotnull)
@@ -122,11 +149,5 @@ def judge_urls(pages: DataFrame, rules: list[Rule], otherwise: str) -> DataFrame
         located.withColumn("__book", book.scalar())
         .withColumn("__rules", fetched)
         .withColumn("__best", F.when(F.size(matching) > 0, best))
-        .select(
-            *kept,
-            "host",
-            "path",
-            F.col("__best.name").alias("rule"),
-            F.coalesce("__best.verdict", F.lit(otherwise)).alias("verdict"),
-        )
+        .select(*judged)
     )

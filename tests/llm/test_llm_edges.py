@@ -299,10 +299,25 @@ def test_url_rules_on_edges(spark):
         ("example.com", "/DE/1", None, "allow"),
         ("spam.org", "", "no token", "block"),
     ]
+    joined = url_rules.judge_urls(pages, rules, "allow", most_broadcast=0).orderBy("page_id").select("host", "path", "rule", "verdict").collect()
+    assert joined == got
+    assert url_rules.judge_urls(pages.limit(0), rules, "allow", most_broadcast=0).count() == 0
+    clashing = pages.withColumns({"host": F.lit("h"), "path": F.lit("p"), "name": F.lit("n")}).union(pages.selectExpr("*", "'h'", "'p'", "'n'"))
+    for most in (0, 9):
+        twice = url_rules.judge_urls(clashing, rules, "allow", most_broadcast=most)
+        assert sorted(twice.columns) == ["host", "name", "page_id", "path", "rule", "url", "verdict"] and twice.count() == 2 * len(urls)
     assert url_rules.judge_urls(pages.limit(0), rules, "allow").count() == 0
     assert url_rules.judge_urls(pages, [], "allow").count() == len(urls)
 
 
+def test_more_rules_than_are_broadcast(spark):
+    rules = [url_rules.Rule(f"r{i:05}", "block", rf"^h{i}\.org/", (f"h{i}", "org"), 1) for i in range(20_500)]
+    pages = spark.range(40_000).selectExpr("id AS page_id", "concat('http://', IF(id % 3 = 0, 'h7', concat('h', id)), '.org/x') AS url")
+    got = url_rules.judge_urls(pages, rules, "allow")
+    assert got.where("verdict = 'block'").count() == sum(i % 3 == 0 or i < 20_500 for i in range(40_000))
+    assert got.where("page_id % 3 = 0 AND rule = 'r00007'").count() == len(range(0, 40_000, 3))
+
+
 def test_encoding_on_edges(docs, nothing):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
