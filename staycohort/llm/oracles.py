@@ -59,7 +59,20 @@ SELECT doc_id, text, lang, source, n_chars, CAST(unnest(range(1, copies + 1)) AS
 FROM counted WHERE copies > 0
 """
 
+OP13 = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, ''))) AS size,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS largest
+  FROM pages
+)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest,
+       CASE WHEN size >= 1000 AND page_id <> largest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN size >= 1000 AND page_id <> largest THEN largest END AS refers_to
+FROM payloads
+"""
+
 ORACLE_SQL = {
     "op7_url_filters": OP7,
     "op8_source_mixing": OP8,
+    "op13_warc": OP13,
 }
