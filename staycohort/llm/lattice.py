@@ -10,8 +10,9 @@ corpus; a text's is the product of its words' and the end's. A character that is
 is spelled by its byte pieces.
 
 Word counts hold every word and live in a table. Texts meet them in two ways: the most
-frequent words, at most `HEAD_WORDS`, are broadcast; every other word of a text is joined
-with the table, where it is rare by construction and so no join key is hot.
+frequent words, at most `HEAD_WORDS`, are broadcast, those longer than `HEAD_BYTES` by their
+SHA-256; every other word of a text is joined with the table, where it is rare by construction
+and so no join key is hot.
 
 Nulls, ties and the rest: a null or empty text is the end alone; A-Z are lower-cased; a
 null id belongs to the training rows unless said otherwise by the caller's `held_out`;
@@ -21,6 +22,7 @@ vocabulary's own ranking; other columns are unused.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import struct
 from collections import Counter
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from staycohort.llm.common import materialised, row_key, small_batches
 
-#: Frequent words that are broadcast at most, and the longest of them in bytes.
+#: Frequent words that are broadcast at most, and the longest in bytes that are not named by a digest.
 HEAD_WORDS, HEAD_BYTES = 150_000, 64
 #: Distinct words that a task counts before it hands them on.
 COUNTED_WORDS = 300_000
@@ -280,6 +282,16 @@ def _head_limit(counts: DataFrame) -> int:
     return limit
 
 
+def _head_name(word: bytes) -> bytes:
+    """What a word is called in the broadcast head; a digest begins with a space, as no word does."""
+    return word if len(word) <= HEAD_BYTES else b" " + hashlib.sha256(word).digest()
+
+
+def _head_name_column() -> Column:
+    digest = F.concat(F.lit(bytearray(b" ")), F.unhex(F.sha2("word", 256)))
+    return F.when(F.length("word") <= HEAD_BYTES, F.col("word")).otherwise(digest)
+
+
 @dataclass(frozen=True)
 class Totals:
     """Training tokens, distinct ones, and training texts; a text's end is a token."""
@@ -307,12 +319,9 @@ def scored(docs: DataFrame, held_out: Column, pieces: Pieces, rounds: int = ROUN
 
     limit = _head_limit(counts)
     size = F.floor(F.log2(F.col("trained") + F.col("other")) * 16)
-    in_head = (size >= F.lit(limit)) & (F.length("word") <= HEAD_BYTES)
-    head = {
-        w: (c, p)
-        for w, c, p in (tuple(r) for r in with_likelihood(counts.where(in_head), model).collect())
-    }
-    shared = docs.sparkSession.sparkContext.broadcast({bytes(w): (int(c > 0), total.base(c), p) for w, (c, p) in head.items()})
+    in_head = size >= F.lit(limit)
+    head = with_likelihood(counts.where(in_head), model).select(_head_name_column(), "trained", "log_p").collect()
+    shared = docs.sparkSession.sparkContext.broadcast({bytes(w): (int(c > 0), total.base(c), p) for w, c, p in head})
     end_known, end_base = int(total.texts > 0), total.base(total.texts)
     end_log_p = float(model.log_p[model.end]) / math.log(10)
 
@@ -325,7 +334,7 @@ def scored(docs: DataFrame, held_out: Column, pieces: Pieces, rounds: int = ROUN
                 n, known, base, score = 1, end_known, end_base, end_log_p
                 for word, times in Counter(words(text)).items():
                     n += times
-                    found = frequent.get(word)
+                    found = frequent.get(_head_name(word))
                     if found is None:
                         for column, value in zip(columns, (key_id, key_text, word, times, 0, 0, 0.0, 0.0), strict=True):
                             column.append(value)

@@ -98,6 +98,57 @@ def segmentations(text, ids):
     ]
 
 
+def lattice_scores(texts, held_out, path, rounds=2, smoothing=0.1):
+    """log10 probability of each text: words over all segmentations, forward and backward, word by word."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    names, n = piece_names(path), model.get_piece_size()
+    longest = max(map(len, names))
+    by_score = sorted(range(n), key=lambda i: (-model.get_score(i), i))
+    total = math.fsum(1 / (rank + 10) for rank in range(n))
+    odds = {i: 1 / (rank + 10) / total for rank, i in enumerate(by_score)}
+    log_p = [math.log(odds[i]) for i in range(n)]
+
+    def added(a, b):
+        return max(a, b) + math.log1p(math.exp(-abs(a - b))) if min(a, b) > -math.inf else max(a, b)
+
+    def steps_of(word):
+        text = "▁" + word
+        for end in range(1, len(text) + 1):
+            for start in range(max(0, end - longest), end):
+                if text[start:end] in names:
+                    yield start, end, [names[text[start:end]]]
+            if text[end - 1] not in names:
+                yield end - 1, end, [model.piece_to_id(f"<0x{b:02X}>") for b in text[end - 1].encode()]
+
+    split = [words(lowered(t)) for t in texts]
+    steps = {w: list(steps_of(w)) for w in {w for each in split for w in each}}
+
+    def forward(word):
+        out = [0.0] + [-math.inf] * (len(word) + 1)
+        for start, end, ids in steps[word]:
+            out[end] = added(out[end], out[start] + sum(log_p[i] for i in ids))
+        return out
+
+    trained = Counter(w for each, held in zip(split, held_out, strict=True) if not held for w in each)
+    for _ in range(rounds):
+        expected = [smoothing] * n
+        expected[model.eos_id()] += sum(not held for held in held_out)
+        for word, times in trained.items():
+            ahead, behind = forward(word), [-math.inf] * (len(word) + 1) + [0.0]
+            for start, end, ids in reversed(steps[word]):
+                weight = sum(log_p[i] for i in ids)
+                behind[start] = added(behind[start], behind[end] + weight)
+                share = times * math.exp(ahead[start] + weight + behind[end] - ahead[-1])
+                for i in ids:
+                    expected[i] += share
+        total = math.fsum(expected)
+        log_p = [math.log(x / total) for x in expected]
+    of_word = {w: forward(w)[-1] for w in steps}
+    return [(log_p[model.eos_id()] + math.fsum(of_word[w] for w in each)) / math.log(10) for each in split]
+
+
 def prefix_trie(turns, base=lambda c: c, taken=lambda c: 0):
     """Rows of the trie from (conv_id, turn, role, text), by following every path."""
     own = defaultdict(list)

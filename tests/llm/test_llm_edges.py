@@ -387,6 +387,24 @@ def test_lattice_on_edges(spark, docs, nothing, pieces):
     assert lattice.scored(docs, F.lit(True), pieces, rounds=1).select("n_known").distinct().first()[0] == 0
 
 
+def test_long_frequent_words_are_in_the_head(spark, pieces, monkeypatch):
+    """A word beyond `HEAD_BYTES` in every text is looked up by its digest, not joined."""
+    rows = [(i, f"{'x' * 100} é{'y' * 90} {prose(i, 20)} {'z' * 32}") for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+
+    def scores():
+        return {r.doc_id: (r.n_tokens, r.n_known, r.base_score, r.score) for r in lattice.scored(frame, F.col("doc_id") % 3 == 1, pieces).collect()}
+
+    named = spark.createDataFrame([(w.encode(),) for w in ("x" * 64, "x" * 65, "é" * 40, "z" * 32)], "word binary")
+    for word, name in named.select("word", lattice._head_name_column()).collect():
+        assert bytes(name) == lattice._head_name(bytes(word)) and (len(word) <= 64) == (name == word)
+    expected = brute.lattice_scores([t for _, t in rows], [i % 3 == 1 for i, _ in rows], public_tokenizers.path("piece_bpe_32k.model"))
+    with_head = scores()
+    assert [with_head[i][3] for i, _ in rows] == pytest.approx(expected)
+    monkeypatch.setattr(lattice, "_head_limit", lambda counts: 10**6)  # every word is joined
+    assert {i: pytest.approx(x) for i, x in scores().items()} == with_head
+
+
 def test_training_raises_the_likelihood_of_training_words(spark, pieces):
     frame = spark.createDataFrame([(i, prose(i, 50)) for i in range(40)], "doc_id bigint, text string")
     total = [lattice.scored(frame, F.lit(False), pieces, rounds=n).agg(F.sum("score")).first()[0] for n in (0, 1, 2)]

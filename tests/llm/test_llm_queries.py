@@ -1,7 +1,6 @@
 """The registered queries against brute force on the smallest given tables."""
 
 import itertools
-import math
 import zlib
 from collections import Counter
 
@@ -83,16 +82,19 @@ def test_quality_rules_catch_labelled_junk_of_every_language(spark):
         assert sum(not r.kept and not r.base_failed for r in good) <= QUALITY_RISK * len(good)
 
 
-def test_base_score_and_known_words(spark, documents):
+def test_scores_and_known_words(spark, documents):
     got = {r.doc_id: r for r in QUERIES["op3_lattice_score"](spark, SF).collect()}
     split = {i: [*brute.words(brute.lowered(t)), None] for i, t in documents}
     counts = Counter(t for i, tokens in split.items() if crc(i) % 7 != 2 for t in tokens)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    scores = brute.lattice_scores([t for _, t in documents], [crc(i) % 7 == 2 for i, _ in documents], path)
+    plain = dict(zip(split, scores, strict=True))
     for doc_id, tokens in split.items():
         r = got[doc_id]
         assert r.held_out == (crc(doc_id) % 7 == 2) and r.train_tokens == sum(counts.values())
         assert (r.n_tokens, r.n_known) == (len(tokens), sum(counts[t] > 0 for t in tokens))
         assert r.base_score == pytest.approx(brute.base_score(tokens, counts))
-        assert r.score < 0 and math.isfinite(r.score)
+        assert r.score == pytest.approx(plain[doc_id])
 
 
 def test_factorisation_machine_tells_held_out_quality(spark):
