@@ -206,17 +206,24 @@ def _blocks(most_filed: int) -> Column:
     return F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.xxhash64(F.col("key"), F.least(x, own), F.greatest(x, own)))
 
 
-def links(fingerprints: DataFrame, limit: int, most_filed: int = MOST_FILED) -> DataFrame:
-    """(a, b): links between distinct fingerprints (`fp`) that join every pair of them that
-    differs in at most `limit` bits, directly or through others filed under the same key."""
-    spark = fingerprints.sparkSession
-    # a number of its own, as few rows of fingerprints become many rows of files
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    filed = materialised(
-        fingerprints.repartition(tasks, "fp")
+def _filed(fingerprints: DataFrame, limit: int) -> DataFrame:
+    """(fp, key, segment): every fingerprint in all its files, in as many parts as a shuffle has.
+
+    Few rows become many here. They are dealt by a hash of `fp`: a frame that is dealt by `fp`
+    already, into few parts as its rows are few, would be taken as it is.
+    """
+    tasks = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        fingerprints.repartition(tasks, F.xxhash64("fp"))
         .select("fp", F.explode(_files(F.col("fp"), limit)).alias("key"))
         .withColumn("segment", F.shiftrightunsigned("key", 58).cast("int"))
     )
+
+
+def links(fingerprints: DataFrame, limit: int, most_filed: int = MOST_FILED) -> DataFrame:
+    """(a, b): links between distinct fingerprints (`fp`) that join every pair of them that
+    differs in at most `limit` bits, directly or through others filed under the same key."""
+    filed = materialised(_filed(fingerprints, limit))
     sparse, dense = _split(filed, most_filed, _longer_chain(limit))
     if not dense.isEmpty():
         middle, denser = _split(dense, most_filed, _blocks(most_filed))

@@ -184,6 +184,14 @@ def test_dense_files_are_split_and_lose_no_link(spark, limit):
         assert [root.get(p, p) for p in signed] == expected
 
 
+def test_filing_is_dealt_over_all_tasks(spark):
+    """Few distinct fingerprints lie in few parts, their many files in as many as a shuffle has."""
+    distinct = spark.range(5000).select(F.xxhash64("id").alias("fp")).distinct()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = [r["count"] for r in simhash._filed(distinct, 4).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == tasks and max(sizes) < 2 * sum(sizes) / tasks
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 60)] + [(3, 3)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
