@@ -3,7 +3,7 @@
 A source's mean repetition rate is its target share of all documents over its present
 share. A document's copies are the Poisson quantile, at that rate, of a number in [0, 1)
 hashed from its id and a seed, so a retried task or a second run draws the same copies.
-Only DataFrame functions are used.
+Hashes have 52 bits, so rates below 2e-16 draw nothing. Only DataFrame functions are used.
 
 Nulls, ties and the rest: a null source is a source of its own; documents of equal id
 get equal numbers of copies (a null id counts as one id); a source without a weight, or
@@ -33,7 +33,11 @@ def smoothed_weights(docs: DataFrame, exponent: float) -> DataFrame:
 
 
 def repetition_rates(docs: DataFrame, weights: DataFrame) -> DataFrame:
-    """(source, rate): mean copies of a document, for weights of any positive sum."""
+    """(source, rate): mean copies of a document, for weights of any positive sum.
+
+    Rates have nine significant digits, so the order in which weights were summed leaves none
+    of them different, and a rare draw of a huge source keeps its rate.
+    """
     present = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     known = present.join(
         weights.select(F.col("source").alias("w_source"), F.greatest("weight", F.lit(0.0)).alias("w")),
@@ -43,7 +47,8 @@ def repetition_rates(docs: DataFrame, weights: DataFrame) -> DataFrame:
     totals = known.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w")).first()
     all_n, all_w = totals["all_n"] or 0, totals["all_w"] or 0.0
     share = F.col("w") / F.lit(all_w) if all_w > 0 else F.lit(0.0)
-    return known.select("source", F.round(share * F.lit(all_n) / F.col("n"), 9).alias("rate"))
+    rate = share * F.lit(all_n) / F.col("n")
+    return known.select("source", F.format_string("%.8e", rate).cast("double").alias("rate"))
 
 
 def hashed_uniform(*parts: Column) -> Column:

@@ -37,7 +37,7 @@ WITH present AS (
   SELECT source, count(*) AS n, pow(count(*)::DOUBLE, {q.MIXING_EXPONENT}) AS w FROM documents GROUP BY source
 ),
 rates AS (
-  SELECT source, round(w / sum(w) OVER () * sum(n) OVER () / n, 9) AS rate FROM present
+  SELECT source, CAST(printf('%.8e', w / sum(w) OVER () * sum(n) OVER () / n) AS DOUBLE) AS rate FROM present
 ),
 steps AS (
   SELECT source, k,

@@ -296,7 +296,7 @@ def poisson_copies(rows, exponent, seed):
     """Copies of each (doc_id, source)."""
     present = Counter(source for _, source in rows)
     weight = {s: n**exponent for s, n in present.items()}
-    rate = {s: round(weight[s] / sum(weight.values()) * len(rows) / n, 9) for s, n in present.items()}
+    rate = {s: float(f"{weight[s] / sum(weight.values()) * len(rows) / n:.8e}") for s, n in present.items()}
     out = []
     for doc_id, source in rows:
         u = int(hashlib.md5(f"{seed}|{'null' if doc_id is None else doc_id}".encode()).hexdigest()[:13], 16) / 2**52

@@ -286,6 +286,15 @@ def test_mixing_follows_the_poisson_distribution(spark):
     assert high == pytest.approx(1, abs=1e-9)
 
 
+def test_small_rates_keep_their_digits(spark):
+    docs = spark.createDataFrame([(i, "a" if i else "b") for i in range(4)], "doc_id bigint, source string")
+    weights = spark.createDataFrame([("a", 3e-13), ("b", 1.0)], "source string, weight double")
+    rates = {r.source: r.rate for r in mixing.repetition_rates(docs, weights).collect()}
+    assert rates["a"] == pytest.approx(4e-13, rel=1e-8) and rates["b"] == pytest.approx(4, rel=1e-8)
+    steps = spark.createDataFrame([(rates["a"],)], "rate double").select(mixing._cumulative("rate")[0]).first()[0]
+    assert 0 < 1 - steps < 1e-12
+
+
 def test_url_rules_on_edges(spark):
     urls = [None, "", "no scheme/x", "http://", "HTTP://A.Example.NET/en/x?q#f", "http://example.net/en", "http://net/", "ftp://x.org/fr/",
             "http://xexample.com/de/", "http://example.com/de/1", "http://example.com/DE/1", "http://spam.org?x=http://net/"]
