@@ -4,9 +4,9 @@ from staycohort.llm import queries as q
 
 _HOST = r"regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)"
 _LOWER = f"translate({_HOST}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_BLOCKED = " OR ".join(
-    f"'.' || split_part(host, '/', 1) LIKE '%.{word}.%'" for word in q.BLOCKED_HOST_WORDS
-)
+_NAMED = f"regexp_matches(host, '(^|[.-])({'|'.join(q.BLOCKED_HOST_WORDS)})([.-]|$)')"
+_PARTS = " OR ".join(f"contains(path || '/', '/{part}/')" for part in q.BLOCKED_PATH_PARTS)
+_BLOCKED = f"{_NAMED} OR {_PARTS}"
 _BASE = ", ".join(
     f"('{verdict}', '{rule}', '{rule.split('/', 1)[0]}', '/{rule.split('/', 1)[1]}')"
     for verdict, rule in q.BASE_URL_RULES

@@ -38,8 +38,23 @@ BASE_URL_RULES = (
     ("block", "example.com/de/"),
     ("allow", "org/fr/"),
 )
-#: Hosts whose name holds these words are blocked where no base rule speaks.
-BLOCKED_HOST_WORDS = ("spam-farm", "cheap-pills", "casino", "free-money")
+#: Blocked where no base rule speaks: hosts that name one of these between dots or hyphens
+#: (gambling, adult, drugs, loans and schemes, pirated copies, link farms).
+BLOCKED_HOST_WORDS = (
+    "casino", "casinos", "poker", "roulette", "blackjack", "jackpot", "slots", "sportsbook",
+    "betting", "free-bets", "bet365",
+    "porn", "porno", "xxx", "hentai", "camgirls", "escort", "escorts", "nudes", "milf",
+    "viagra", "cialis", "levitra", "tramadol", "xanax", "cheap-pills", "diet-pills", "online-pharmacy",
+    "payday-loans", "quick-loans", "free-money", "easy-money", "get-rich", "forex-signals",
+    "warez", "keygen", "serialz", "torrents", "free-movies", "cracked-software",
+    "spam-farm", "link-farm", "buy-backlinks", "article-spinner", "free-traffic", "replica-watches",
+)
+#: ... and pages whose path has one of these segments: forms, shops' steps, feeds, server files.
+BLOCKED_PATH_PARTS = (
+    "login", "signin", "signup", "register", "logout", "password-reset", "unsubscribe",
+    "cart", "checkout", "basket", "wishlist", "wp-login.php", "wp-admin", "wp-json",
+    "xmlrpc.php", "cgi-bin", "feed", "rss.xml", "sitemap.xml", "robots.txt", "404.html",
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,13 +116,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def url_rule_list() -> list[url_rules.Rule]:
     base = [url_rules.prefix_rule(verdict, rule) for verdict, rule in BASE_URL_RULES]
-    hosts = [
-        url_rules.Rule(
-            f"host {word}", "block", rf"^([^/]*\.)?{word}\.[^/]*(/|$)", tuple(word.split("-")), -1
-        )
-        for word in BLOCKED_HOST_WORDS
-    ]
-    return base + hosts
+    hosts = [url_rules.host_word_rule("block", word) for word in BLOCKED_HOST_WORDS]
+    paths = [url_rules.path_part_rule("block", part) for part in BLOCKED_PATH_PARTS]
+    return base + hosts + paths
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,20 @@ def prefix_rule(verdict: str, rule: str) -> Rule:
     return Rule(rule, verdict, pattern, tokens, len(rule))
 
 
+def _whole(text: str) -> tuple[str, ...]:
+    return tuple(re.findall(r"[0-9A-Za-z]+", text))
+
+
+def host_word_rule(verdict: str, word: str, priority: int = -1) -> Rule:
+    """Hosts with a label that is `word`, or has it between hyphens: `my-word.example.org`."""
+    return Rule(f"host {word}", verdict, rf"^([^/]*[.-])?{re.escape(word)}([.-][^/]*)?(/|\z)", _whole(word), priority)
+
+
+def path_part_rule(verdict: str, part: str, priority: int = -2) -> Rule:
+    """Paths with the whole segment `part`, in its case."""
+    return Rule(f"path {part}", verdict, rf"(?s)/(.*/)?{re.escape(part)}(/|\z)", _whole(part), priority)
+
+
 def host_of(url: Column) -> Column:
     """Between the first `://` and the next `/`, `?` or `#`, A-Z lower-cased."""
     host = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)

@@ -327,6 +327,19 @@ def test_url_rules_on_edges(spark):
     assert url_rules.judge_urls(pages, [], "allow").count() == len(urls)
 
 
+def test_rules_for_host_words_and_path_parts(spark):
+    blocked = ["http://casino.org", "http://my-casino.example.org/x", "http://a.Casino-1.net?q", "http://x.free-money.com/",
+               "http://x-free-money-y.org", "http://a.org/login", "http://a.org/en/login/?next=1", "http://a.org/wp.php"]
+    left = ["http://casinos.org", "http://mycasino.org", "http://free.money.com", "http://freemoney.com", "http://a.org/casino",
+            "http://a.org/logins", "http://a.org/Login", "http://login.org/", "http://a.org/?p=/login", "http://a.org/wpxphp", "http://a.org/login\n", None]
+    pages = spark.createDataFrame(list(enumerate(blocked + left)), "page_id bigint, url string")
+    rules = [url_rules.host_word_rule("block", w) for w in ("casino", "free-money")]
+    rules += [url_rules.path_part_rule("block", part) for part in ("login", "wp.php")]
+    for most in (0, 9):
+        got = url_rules.judge_urls(pages, rules, "allow", most_broadcast=most).orderBy("page_id").collect()
+        assert [r.verdict for r in got] == ["block"] * len(blocked) + ["allow"] * len(left)
+
+
 def test_more_rules_than_are_broadcast(spark):
     rules = [url_rules.Rule(f"r{i:05}", "block", rf"^h{i}\.org/", (f"h{i}", "org"), 1) for i in range(20_500)]
     pages = spark.range(40_000).selectExpr("id AS page_id", "concat('http://', IF(id % 3 = 0, 'h7', concat('h', id)), '.org/x') AS url")
