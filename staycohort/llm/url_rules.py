@@ -92,9 +92,9 @@ def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
 def rarest_tokens(addresses: DataFrame, rules: DataFrame) -> DataFrame:
     """The rules, each with `filed`: its token that occurs in the fewest addresses."""
     wanted = rules.select("name", F.explode("tokens").alias("token"))
+    # Counted before the join, so that a token that many addresses share is summed in the map tasks.
     counts = (
         addresses.select(F.explode(tokens_of(F.col("address"))).alias("token"))
-        .join(wanted.select("token").distinct(), "token", "left_semi")
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
