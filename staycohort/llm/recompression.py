@@ -48,9 +48,12 @@ WINDOW = 35
 ROUNDS = 7
 #: Bytes of text that a task parses at once.
 PARSED_BYTES = 2_000_000
+#: Bytes of text whose words are named at once; naming takes some 40 bytes for each.
+NAMED_BYTES = 1 << 18
 
 _FAR = 1 << 40
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 _U = np.uint64
 
 
@@ -71,6 +74,18 @@ _LETTER = _mix(np.arange(1, 257, dtype=_U) * _U(0xA0761D6478BD642F))
 
 def word_names(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Names of the words of some UTF-8 text, hashed from all their bytes, and where each begins."""
+    names, begins, start = [], [], 0
+    while start < len(data) or not names:
+        gap = _GAP.search(data, start + NAMED_BYTES)
+        stop = gap.start() if gap else len(data)
+        some, at = _names_of_piece(data[start:stop])
+        names.append(some)
+        begins.append(at + start)
+        start = stop
+    return np.concatenate(names), np.concatenate(begins)
+
+
+def _names_of_piece(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     text = np.frombuffer(data, np.uint8)
     inside = ~_SPACE[text]
     change = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -585,3 +586,22 @@ def test_hilbert_steps_are_unit_steps():
     keys = hilbert.hilbert_keys(grid, 3)
     assert sorted(keys) == list(range(side**3))
     assert (np.abs(np.diff(grid[np.argsort(keys)], axis=0)).sum(1) == 1).all()
+
+
+def test_words_named_in_pieces_have_the_same_names(monkeypatch):
+    data = " é\tb\n\nc  a-long-word-of-one-piece \r\x0b d\x0c".encode() * 3 + b" " * 20 + prose(4, 50).encode()
+    whole = recompression.word_names(data)
+    assert len(whole[0]) == len(data.split()) and [data[b : b + 1] for b in whole[1][:3]] == ["é".encode()[:1], b"b", b"c"]
+    for size in (1, 2, 7, 40):
+        monkeypatch.setattr(recompression, "NAMED_BYTES", size)
+        pieces = recompression.word_names(data)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, pieces, strict=True))
+
+
+def test_naming_words_takes_little_memory():
+    data = (prose(5, 1000).encode() + b" ") * 300
+    tracemalloc.start()
+    recompression.word_names(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(data) > 1_000_000 and peak < 25 * len(data)
