@@ -17,7 +17,9 @@ windows through to the digests.
 Rows are sent where symbols and windows meet; a symbol or window that already repeats
 within the rows a task holds is sent there once, and its other rows are spread, so a
 passage that a third of all documents share makes no hot key. Documents of equal words
-meet as wholes first, and one of them stands for all in the search for windows.
+meet as wholes first, and one of them stands for all in the search for windows. Columns
+that differ from row to row lie side by side in what is shuffled, and rows in their order
+in the documents, so that a block of rows compresses to little more than its digests.
 
 A row is known by its id where no id has two texts, which is looked up first; a row without
 id by 128 bits hashed from its text; and if ids do have several texts, every row by its id
@@ -147,6 +149,12 @@ def window_digests(data: bytes, places: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join([xxh3_128_digest(joined[a:b]) for a, b in spans]), "<i8").reshape(-1, 2)
 
 
+def _reversed(places: np.ndarray) -> np.ndarray:
+    """Places with their eight bytes in reverse, or back: the low bytes, which differ from row
+    to row, then come last, beside the next column's."""
+    return places.astype(np.int64).byteswap()
+
+
 @dataclass(frozen=True)
 class _Part:
     """Some rows of a batch, laid end to end: `rows`, `data` of each, and by word its name
@@ -184,9 +192,9 @@ def _whole(data: bytes) -> int:
 
 
 def _send_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sym, spread, key_id, key_text, idx): symbols by place in their document, and each
-    document as a whole with idx -1. spread: 0 once here, 1 the first of several here,
-    from 2 a further one."""
+    """(spread, key_text, place, sym, key_id): symbols by place (reversed) in their document,
+    and each document as a whole with place -1. spread: 0 once here, 1 the first of several
+    here, from 2 a further one."""
     for batch in batches:
         key_id, key_text = batch["key_id"].to_numpy(), batch["key_text"].to_numpy()
         for part in _parts(batch):
@@ -203,8 +211,8 @@ def _send_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             spread[first[times > 1]] = 1
             spread[(idx == -1) & (spread > 1)] = 1  # one document in all is to stand for the others
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sym), pa.array(spread, pa.int32()), pa.array(key_id[of]), pa.array(key_text[of]), pa.array(idx, pa.int32())],
-                ["sym", "spread", "key_id", "key_text", "idx"],
+                [pa.array(spread, pa.int32()), pa.array(key_text[of]), pa.array(_reversed(idx)), pa.array(sym), pa.array(key_id[of])],
+                ["spread", "key_text", "place", "sym", "key_id"],
             )
 
 
@@ -215,7 +223,7 @@ def _shared_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     last_sym: int | None = None
 
     def sift(rows: pa.Table, known_before: int | None, following: int | None) -> pa.RecordBatch:
-        sym, spread, idx = (rows[c].to_numpy() for c in ("sym", "spread", "idx"))
+        sym, spread, idx = rows["sym"].to_numpy(), rows["spread"].to_numpy(), _reversed(rows["place"].to_numpy())
         same = sym[1:] == sym[:-1]
         before = np.concatenate([[known_before is not None and sym[0] == known_before], same])
         after = np.concatenate([same, [following is not None and sym[-1] == following]])
@@ -289,6 +297,8 @@ def _send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             differs = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])])
             first = order[differs]
             known = np.diff(np.flatnonzero(differs), append=len(order)) > 1
+            in_place = np.argsort(first)
+            first, known = first[in_place], known[in_place]
             of = part.doc[at[first]]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -303,6 +313,16 @@ def _send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
+def _send_windows_to_meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(known, key_text, place, h, c, key_id): the rows of `_send_windows`, place reversed."""
+    for rows in _send_windows(batches):
+        place = pa.array(_reversed(rows["pos"].to_numpy()))
+        yield pa.RecordBatch.from_arrays(
+            [rows["known"], rows["key_text"], place, rows["h"], rows["c"], rows["key_id"]],
+            ["known", "key_text", "place", "h", "c", "key_id"],
+        )
+
+
 def _lone_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by window hash, those that meet no other."""
     pending: pa.RecordBatch | None = None
@@ -313,8 +333,9 @@ def _lone_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         same = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
         again = np.concatenate([[before == (h[0], c[0])], same]) | np.concatenate([same, [following == (h[-1], c[-1])]])
         keep = ~(again | rows["known"].to_numpy(zero_copy_only=False))
+        pos = pa.array(_reversed(rows["place"].to_numpy()[keep]), pa.int32())
         return pa.RecordBatch.from_arrays(
-            [pa.array(rows[k].to_numpy()[keep]) for k in ("key_id", "key_text", "pos")], ["key_id", "key_text", "pos"]
+            [pa.array(rows[k].to_numpy()[keep]) for k in ("key_id", "key_text")] + [pos], ["key_id", "key_text", "pos"]
         )
 
     for batch in batches:
@@ -371,9 +392,9 @@ def remove_repeats(docs: DataFrame, joined: bool = False) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     by_id = _ids_have_one_text(docs)
     texts = docs.select(*_keys(by_id), "text")  # only below do keys stand beside the caller's columns
-    sent = texts.mapInArrow(_send_symbols, "sym bigint, spread int, key_id bigint, key_text bigint, idx int")
-    place = F.when(F.col("spread") < 2, 0).otherwise(F.col("spread"))
-    met = sent.repartition("sym", place).sortWithinPartitions("sym", "spread", "key_id", "key_text", "idx")
+    sent = texts.mapInArrow(_send_symbols, "spread int, key_text bigint, place bigint, sym bigint, key_id bigint")
+    part = F.when(F.col("spread") < 2, 0).otherwise(F.col("spread"))
+    met = sent.repartition("sym", part).sortWithinPartitions("sym", "spread", "key_id", "key_text", "place")
     shared = materialised(
         met.mapInArrow(_shared_symbols, "key_id bigint, key_text bigint, idx int")
         .groupBy(F.col("key_id").alias("__key_id"), F.col("key_text").alias("__key_text"))
@@ -386,7 +407,7 @@ def remove_repeats(docs: DataFrame, joined: bool = False) -> DataFrame:
     searched = keyed.join(shared, keys, "left")
     # all columns, so that the texts dealt out by key for this search serve the end again
     windows = searched.mapInArrow(
-        _send_windows, "h bigint, c bigint, known boolean, key_id bigint, key_text bigint, pos int"
+        _send_windows_to_meet, "known boolean, key_text bigint, place bigint, h bigint, c bigint, key_id bigint"
     )
     lone = (
         windows.repartition("h")
