@@ -50,7 +50,7 @@ WINDOW = 35
 ROUNDS = 7
 #: Bytes of text that a task parses at once.
 PARSED_BYTES = 2_000_000
-#: Bytes of text whose words are named at once; naming takes some 40 bytes for each.
+#: Bytes of text whose words are named at once; naming takes some 27 bytes for each.
 NAMED_BYTES = 1 << 18
 
 _FAR = 1 << 40

@@ -604,7 +604,7 @@ def test_naming_words_takes_little_memory():
     recompression.word_names(data)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert len(data) > 1_000_000 and peak < 25 * len(data)
+    assert len(data) > 1_000_000 and peak < 10 * len(data)
 
 
 def block_bytes(batch: pa.RecordBatch, columns: list[str], by: str) -> float:
